@@ -116,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], *, sample: in
     return list(fitted[0]["features"]), [np.array(r["weights"]) for r in fitted]
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], *, target: str = "toxic", cut: float = 0.3, **options) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], *, target: str = "toxic", cut: float = 0.2, **options) -> DataFrame:
     """One row per document: doc_id, p_<category> for each of the chain, and ``target`` (boolean, at ``cut``).
 
     Labels with a null are left out; a document with several labels has a category if any says so. Null and empty
