@@ -5,8 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-LINE = "array<struct<lon:double,lat:double>>"
+LINE = ArrayType(StructType([StructField("lon", DoubleType()), StructField("lat", DoubleType())]))
 
 
 def decode(text: str, precision: int = 5) -> np.ndarray:

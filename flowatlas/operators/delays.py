@@ -18,7 +18,7 @@ def delay_bins(rows: DataFrame) -> DataFrame:
 
     Bins are sorted by their start; weights are shares of the operator's bins. Missing percentages count 0.
     """
-    bins = rows.where(~F.col("label").isin("cancelled", "substituted")).select(F.lower("operator").alias("operator"), F.regexp_extract("label", "^([0-9]+)", 1).cast("int").alias("start"), percent(F.col("percent")).alias("_w"))
+    bins = rows.where(~F.col("label").isin("cancelled", "substituted")).select(F.lower("operator").alias("operator"), F.regexp_extract("label", "^([0-9]+)", 1).try_cast("int").alias("start"), percent(F.col("percent")).alias("_w"))
     order = Window.partitionBy("operator").orderBy("start")
     whole = F.sum("_w").over(Window.partitionBy("operator"))
     shares = bins.withColumn("weight", F.try_divide(F.col("_w"), whole)).withColumn("bin", (F.row_number().over(order) - 1).cast("int")).withColumn("end", F.coalesce(F.lead("start").over(order), F.col("start") + LAST_BIN))

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from flowatlas.functions import geo
 
@@ -91,7 +92,7 @@ def clipped_area(ring: np.ndarray, window: np.ndarray) -> float:
     return float(abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def area_in_cell(ring: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
     """Area of a projected ring inside the hexagon around (x, y)."""
     return pd.Series([clipped_area(np.array([(p["x"], p["y"]) for p in r]), hexagon(cx, cy)) for r, cx, cy in zip(ring, x, y)], dtype="float64")
