@@ -1,8 +1,57 @@
 """SQL for the training-data queries that it can express, run by DuckDB on the same tables."""
 
+import math
+
+from flowatlas.llm import fingerprints, licenses
+
 _SQUEEZED = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PIECES = rf"(?s)[^\n.!?]{{1,{fingerprints.PIECE}}}[.!?]*\n?|[.!?]+\n?|\n"
+
+
+def _leaves(text: str) -> str:
+    return f"list_transform(regexp_extract_all({text}, '{_PIECES}'), lambda x: substr(sha256(x), 1, {fingerprints.LEAF}))"
+
+
+def _sections(text: str) -> str:
+    line = _leaves("y")
+    return f"list_transform(string_split({text}, chr(10)), lambda y: substr(sha256(coalesce(array_to_string({line}, ''), '')), 1, {fingerprints.SECTION}))"
+
+
+def _like(a: str, b: str) -> str:
+    return f"CASE WHEN len({a}) + len({b}) = 0 THEN 1e0 ELSE 2e0 * len(list_intersect({a}, {b})) / (len(list_distinct({a})) + len(list_distinct({b}))) END"
+
+
+def _license_sql() -> str:
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    phrases = list(licenses.PHRASES.items())
+    at = lambda p: "list_filter(range(len(w)), lambda i: " + " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(p.split())) + ")"
+    templates = ", ".join(f"('{label}', [{', '.join(repr(x) for x in sorted(set(t.split())))}], {math.ceil(len(set(t.split())) * licenses.THRESHOLD - 1e-9)})" for label, t in licenses.TEMPLATES.items())
+    sep = "chr(10)"
+    return f"""
+WITH t AS (SELECT doc_id, {_LOWER} AS t FROM documents), d AS (SELECT doc_id, regexp_extract_all(t, '{word}') AS w FROM t),
+p AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, {', '.join(f"{at(p)} AS p{k}" for k, (p, _) in enumerate(phrases))} FROM d),
+q AS (SELECT *, {' || '.join(f'p{k}' for k in range(len(phrases)))} AS spots, list_filter([{', '.join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(phrases))}], lambda x: x IS NOT NULL) AS base FROM p),
+v(label, words, need) AS (VALUES {templates}),
+lines AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '{word}')) AS w FROM (SELECT doc_id, unnest(string_split(t, {sep})) AS line FROM t) x),
+m AS (SELECT doc_id, label, len(list_intersect(w, words)) / len(words) AS c FROM lines JOIN v ON len(list_intersect(w, words)) >= need),
+f AS (SELECT doc_id, list(DISTINCT label) AS found, max(c) AS best FROM m GROUP BY doc_id)
+SELECT q.doc_id, n_words, CAST(len(spots) AS BIGINT) AS n_base, list_min(spots) AS first_word, list_max(spots) AS last_word, array_to_string(list_sort(list_distinct(base)), ',') AS base_labels,
+array_to_string(list_sort(list_distinct(base || coalesce(found, []))), ',') AS labels, CASE WHEN len(spots) > 0 THEN 1e0 ELSE coalesce(best, 0e0) END AS score FROM q LEFT JOIN f ON q.doc_id = f.doc_id
+"""
+
 
 ORACLE_SQL = {
+    "op2_document_fingerprints": f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS after, length(text) AS n FROM t),
+e AS (SELECT *, substr(text, 1, n - n // 2) || substr(after, 1, n // 2) AS edited FROM n),
+h AS (SELECT *, {_leaves('text')} AS a, {_leaves('edited')} AS b, {_leaves('after')} AS c, {_sections('text')} AS sa, {_sections('edited')} AS sb FROM e),
+j AS (SELECT *, coalesce(array_to_string(a, ''), '') AS ja, coalesce(array_to_string(b, ''), '') AS jb, array_to_string(sa, '') AS jsa, array_to_string(sb, '') AS jsb FROM h)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, sha256(jsa || '|' || ja) || ':' || jsa || ':' || ja AS fingerprint, sha256(jsb || '|' || jb) || ':' || jsb || ':' || jb AS edited_fingerprint,
+{_like('a', 'b')} AS near_edited, {_like('a', 'c')} AS near_next, CAST(len(list_filter(range(1, len(sb) + 1), lambda i: sa[i] IS DISTINCT FROM sb[i])) AS INTEGER) AS edited_changed_sections FROM j
+""",
+    "op3_license_scans": _license_sql(),
     "op7_exact_dedup": f"""
 WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, {_SQUEEZED} AS body FROM documents),
 best AS (SELECT body, arg_max(doc_id, (n, -doc_id)) AS keep_id, count(*) AS group_size FROM t GROUP BY body)
