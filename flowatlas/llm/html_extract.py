@@ -26,9 +26,13 @@ NEVER = frozenset("head title script style noscript template nav footer aside fo
 #: Elements that start a new line.
 BLOCKS = frozenset("html body address article blockquote caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr legend li main ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 #: Words of class and id that mark what isn't main text, and roles that do.
-MARKS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer masthead menu modal nav navbar navigation newsletter notice notices overlay pagination popup promo promoted promotion recommended related replies respond sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split())
-COMMENTS = frozenset("comment comments replies disqus".split())
+MARKS = frozenset("ad ads adv advert adverts advertisement advertising alert aside banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright discussion disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices overlay pagination paywall popup promo promoted promotion recommended related replies reply respond responses sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split())
+COMMENTS = frozenset("comment comments discussion disqus replies reply responses".split())
+#: Marks only outside the article, where an article has parts of the same name.
+OUTSIDE = frozenset("header topbar".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+#: Words that say what an element has or lacks, not what it is.
+_ABOUT = re.compile(r"\b(?:has|no|not|with|without|is|hide|show)[-_][a-z_-]+")
 #: What closes an open element of the same group (a page rarely ends its paragraphs and list items itself).
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _WORDS = re.compile(r"[a-z]+")
@@ -37,7 +41,7 @@ _WORDS = re.compile(r"[a-z]+")
 class _Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # element, left out, region
+        self.open: list[tuple[str, int, int]] = []  # element, left out, region
         self.lines: list[tuple[str, int, int, int]] = []  # text, tags, characters in links, region
         self.parts: list[str] = []
         self.tags = self.linked = self.regions = 0
@@ -49,19 +53,22 @@ class _Lines(HTMLParser):
         self.parts.clear()
         self.tags = self.linked = 0
 
-    def _left_out(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def _left_out(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
+        """2: never main text, 1: marked by its name only, 0: neither."""
         inside = any(t in ("article", "main") for t, _, _ in self.open)
         if tag in NEVER or tag == "header" and not inside:
-            return True
+            return 2
         if tag in ("html", "body"):
-            return False
+            return 0
         named = dict(attrs)
         if "hidden" in named or (named.get("aria-hidden") or "").lower() == "true" or re.search(r"display\s*:\s*none", named.get("style") or "", re.I):
-            return True
+            return 2
         if (named.get("role") or "").lower() in ROLES:
-            return True
-        words = set(_WORDS.findall(f"{named.get('class') or ''} {named.get('id') or ''}".lower()))
-        return bool(words & (COMMENTS if tag in ("article", "main") else MARKS))
+            return 2
+        words = set(_WORDS.findall(_ABOUT.sub(" ", f"{named.get('class') or ''} {named.get('id') or ''}".lower())))
+        if words & COMMENTS:
+            return 2
+        return int(tag not in ("article", "main") and bool(words & MARKS or not inside and words & OUTSIDE))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS or tag in NEVER:
@@ -74,12 +81,13 @@ class _Lines(HTMLParser):
         for group in (CLOSES.get(tag, ()), {"p"} if tag in BLOCKS else ()):
             if group and self.open and self.open[-1][0] in group:
                 self.open.pop()
-        above = self.open[-1] if self.open else ("", False, 0)
-        region = above[2]
-        if tag in ("article", "main") and not above[1]:
+        _, above, region = self.open[-1] if self.open else ("", 0, 0)
+        out = max(above, self._left_out(tag, attrs))
+        if tag in ("article", "main") and out < 2:  # a name around the whole article doesn't count
+            out = 0
             self.regions += 1
             region = self.regions
-        self.open.append((tag, above[1] or self._left_out(tag, attrs), region))
+        self.open.append((tag, out, region))
         self.tags += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:

@@ -32,6 +32,8 @@ def docs(spark, texts, langs=None):
         ("<article><p>Long text of the article here.</p><div class='ad'>buy</div><section id='comments'><p>first!</p></section><p>End.</p></article>", ["Long text of the article here.", "End."]),
         ("<div class=cookie-notice>ok?</div><main><p>Body text that is long enough.</p><form><p>mail</p></form><script>var t='</p>';</script></main>", ["Body text that is long enough."]),
         ("<header>Site</header><article><header><h1>Title</h1></header><p>Text&nbsp;x &lt;b&gt;</p>", ["Title", "Text x <b>"]),
+        ("<div class='page has-sidebar'><div class='layout sidebar-right'><article class='post no-comments'><p>Kept text of the article.</p></article></div><div class=sidebar><p>Other things to read here today.</p></div></div>", ["Kept text of the article."]),
+        ("<div class=header>Site name</div><main><div class=header><h1>Head</h1></div><p>Text of the body.</p><aside><p>x</p></aside><ol class=comment-list><li>me too</li></ol></main>", ["Head", "Text of the body."]),
         ("<body><p>No article, just a text with many words in it.</p><p>Short.</p></body>", ["No article, just a text with many words in it.", "Short."]),
     ],
 )
