@@ -39,13 +39,13 @@ def draw_delays(legs: DataFrame, bins: DataFrame, rates: DataFrame, seed: int =
     A bin is drawn by weight, then a whole minute evenly in it. Cancelled legs have no delay.
     """
     known = rates.select(F.col("operator").alias("_known"), "cancelled_percent")
-    named = legs.withColumn("_op", F.lower("operator")).join(F.broadcast(known), F.col("_op") == F.col("_known"), "left")
+    named = legs.withColumn("_op", F.lower("operator")).join(known, F.col("_op") == F.col("_known"), "left")
     named = named.withColumn("_op", F.when(F.col("_known").isNull(), "average").otherwise(F.col("_op"))).drop("_known", "cancelled_percent")
-    rated = named.join(F.broadcast(known.withColumnRenamed("_known", "_op")), "_op")
+    rated = named.join(known.withColumnRenamed("_known", "_op"), "_op")
     u, v = uniform(F.col("leg_key"), Salt.DELAY_BIN, seed), uniform(F.col("leg_key"), Salt.DELAY_MINUTE, seed)
     # a handful of bins per operator: all of them in one row, the first whose end isn't below the draw
     packed = bins.groupBy(F.col("operator").alias("_op")).agg(F.array_sort(F.collect_list(F.struct("bin", "start", "end", "cum_hi"))).alias("_bins"))
-    drawn = rated.join(F.broadcast(packed), "_op").withColumn("_bin", F.element_at(F.filter("_bins", lambda b: u <= b["cum_hi"]), 1))
+    drawn = rated.join(packed, "_op").withColumn("_bin", F.element_at(F.filter("_bins", lambda b: u <= b["cum_hi"]), 1))
     cancelled = uniform(F.col("leg_key"), Salt.DELAY, seed) * 100 < F.col("cancelled_percent")
     minute = (F.col("_bin.start") + F.floor(v * (F.col("_bin.end") - F.col("_bin.start")))).cast("int")
     return drawn.withColumn("cancelled", cancelled).withColumn("delay", F.when(~cancelled, minute)).drop("_op", "cancelled_percent", "_bins", "_bin")

@@ -25,16 +25,21 @@ def fill_agency_url(agency: DataFrame) -> DataFrame:
     return agency.withColumn("agency_url", F.coalesce("agency_url", F.lit("-")))
 
 
-def nearest_links(links: DataFrame, targets: DataFrame) -> DataFrame:
+def _with_targets(links: DataFrame, targets: list[str]) -> DataFrame:
+    """``links`` once per target date; the targets are a short literal list, so nothing is joined."""
+    return links.withColumn("target", F.explode(F.array(*[F.lit(t).cast("date") for t in targets])))
+
+
+def nearest_links(links: DataFrame, targets: list[str]) -> DataFrame:
     """(place, target, link): the link nearest to each target date on either side, the first (``ord``) of equals.
 
-    ``links`` has place, date, ord, link; ``targets`` a short list of dates.
+    ``links`` has place, date, ord, link; ``targets`` are dates as text.
     """
-    pairs = links.join(F.broadcast(targets))  # targets are few by their meaning
-    return pairs.groupBy("place", "target").agg(F.min_by("link", F.struct(F.abs(F.datediff("date", "target")), F.col("ord"))).alias("link"))
+    nearest = F.min_by("link", F.struct(F.abs(F.datediff("date", "target")), F.col("ord")))
+    return _with_targets(links, targets).groupBy("place", "target").agg(nearest.alias("link"))
 
 
-def latest_links(links: DataFrame, targets: DataFrame) -> DataFrame:
+def latest_links(links: DataFrame, targets: list[str]) -> DataFrame:
     """(provider, target, link): the latest link not after the target; providers without one drop out; the first of equals."""
-    pairs = links.join(F.broadcast(targets)).where(F.col("date").cast("date") <= F.col("target"))
-    return pairs.groupBy("provider", "target").agg(F.min_by("link", F.struct(F.datediff("target", "date"), F.col("ord"))).alias("link"))
+    past = _with_targets(links, targets).where(F.col("date").cast("date") <= F.col("target"))
+    return past.groupBy("provider", "target").agg(F.min_by("link", F.struct(F.datediff("target", "date"), F.col("ord"))).alias("link"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from flowatlas.functions.polyline import decode_polyline
 from flowatlas.functions.predicates import is_number
 from flowatlas.operators import congestion, delays, feeds, matching, traces
-from flowatlas.plans.fixtures import NEST, Tables
+from flowatlas.plans.fixtures import NEST, TARGETS, Tables
 from flowatlas.plans.mobility import rounded
 from flowatlas.sources import journeys, store
 
@@ -38,12 +38,12 @@ def agency_fill(t: Tables) -> DataFrame:
 
 @query("SELECT place, target, arg_min(link, (abs(date_diff('day', CAST(date AS DATE), target)), ord)) AS link FROM fx_links CROSS JOIN fx_targets GROUP BY place, target")
 def nearest_link(t: Tables) -> DataFrame:
-    return feeds.nearest_links(t.links, t.targets)
+    return feeds.nearest_links(t.links, list(TARGETS))
 
 
 @query("SELECT provider, target, arg_min(link, (date_diff('day', CAST(date AS DATE), target), ord)) AS link FROM fx_links CROSS JOIN fx_targets WHERE CAST(date AS DATE) <= target GROUP BY provider, target")
 def latest_link(t: Tables) -> DataFrame:
-    return feeds.latest_links(t.links, t.targets)
+    return feeds.latest_links(t.links, list(TARGETS))
 
 
 BINS = """bins AS (SELECT lower(operator) AS operator, CAST(regexp_extract(label, '^([0-9]+)', 1) AS INTEGER) AS start, coalesce(try_cast(replace(percent, '%', '') AS DOUBLE), 0) AS w FROM fx_delay_rows WHERE label NOT IN ('cancelled', 'substituted')),
