@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowatlas.llm import exact_dedup, mixing, near_dedup, packing, quality
-from flowatlas.llm.common import shared_folder, table
+from flowatlas.llm.common import shared_folder, stable, table
 from flowatlas.llm.queries import tokenizer_path
 
 
@@ -23,8 +23,12 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    dropped = exact_dedup.exact_dedup(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    found = stable(exact_dedup.exact_dedup(docs).select("doc_id", "kept"))
+    rest = docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti")
+    if not found.where("kept").groupBy("doc_id").count().where("count > 1").isEmpty():  # rows that repeat a document
+        text = exact_dedup.squeezed(F.coalesce("text", F.lit("")))
+        rest = rest.withColumn("_sha", F.sha2(text, 256)).dropDuplicates(["doc_id", "_sha"])
+    return rest.select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +41,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture: a row for each pass over a document, cut to the words that the pass takes."""
     mixture, _ = mixing.mix(docs)
     passes = mixture.groupBy("doc_id", "pass").agg(F.sum("n_words").alias("_words"))
-    known = docs.withColumnRenamed("doc_id", "_id").join(passes, F.col("_id") == F.col("doc_id"))
+    known = docs.withColumnRenamed("doc_id", "_id").join(passes, F.col("_id").eqNullSafe(F.col("doc_id")))
     # whole words from the front: within a pass a document's stretches follow each other
     split = F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.greatest(F.col("_words"), F.lit(1)).cast("int"))
     cut = F.when(F.col("_words") >= mixing.word_count(F.coalesce("text", F.lit(""))), F.col("text")).otherwise(F.concat_ws("", split))

@@ -37,3 +37,28 @@ def test_stages_take_effect_and_keep_columns(spark, tmp_path):
 
 def test_run_is_the_stages(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() > 0
+
+
+def odd_documents(spark):
+    rows = [(1, "same text here", "en", "a", 0), (1, "same text here", "en", "a", 0), (2, "same  text here", "en", None, 0), (3, None, None, "b", None), (None, "no id " * 3, "en", "b", 0), (4, "word " * 9000, "de", "c", 0), (5, "", "en", "a", 0)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_take_odd_rows_and_none(spark, k):
+    name, stage = corpus_pipeline.STAGES[k]
+    docs = odd_documents(spark)
+    out = stage(spark, docs, FOLDER)
+    rows = out.collect()
+    assert stage(spark, docs.limit(0), FOLDER).count() == 0
+    if k < 4:
+        assert out.columns == docs.columns
+    if name == "exact dedup":
+        assert sorted((r.doc_id or 0) for r in rows) == [0, 2, 3, 4]  # the longest of the equal texts stays
+    if name == "source mixing":
+        assert any(r.doc_id is None for r in rows) and all(r.n_chars == len(r.text) for r in rows)
+
+
+def test_repeated_rows_leave_one(spark):
+    docs = odd_documents(spark).where("doc_id = 1")
+    assert corpus_pipeline.exact_copies(spark, docs, FOLDER).count() == 1

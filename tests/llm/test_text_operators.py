@@ -301,7 +301,7 @@ def test_kneser_ney_against_the_recursion(spark):
         for i in range(len(s) - quality.ORDER + 1):
             counts[tuple(s[i : i + quality.ORDER])] += 1
     p = brute_kneser_ney(counts, quality.ORDER)
-    grams = list(counts)[:40] + [tuple(dice.randrange(64) for _ in range(quality.ORDER)) for _ in range(20)]
+    grams = list(counts)[:40] + [tuple(dice.randrange(quality.ALPHABET) for _ in range(quality.ORDER)) for _ in range(20)]
     for g in grams:
         key = 0
         for x in g:
