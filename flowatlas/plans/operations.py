@@ -36,14 +36,14 @@ def agency_fill(t: Tables) -> DataFrame:
     return feeds.fill_agency_url(agency)
 
 
-@query("SELECT place, target, arg_min(link, (abs(date_diff('day', CAST(date AS DATE), target)), ord)) AS link FROM fx_links CROSS JOIN fx_targets GROUP BY place, target")
+@query("SELECT place, CAST(target AS VARCHAR) AS target, arg_min(link, (abs(date_diff('day', CAST(date AS DATE), target)), ord)) AS link FROM fx_links CROSS JOIN fx_targets GROUP BY place, fx_targets.target")
 def nearest_link(t: Tables) -> DataFrame:
-    return feeds.nearest_links(t.links, list(TARGETS))
+    return feeds.nearest_links(t.links, list(TARGETS)).withColumn("target", F.col("target").cast("string"))
 
 
-@query("SELECT provider, target, arg_min(link, (date_diff('day', CAST(date AS DATE), target), ord)) AS link FROM fx_links CROSS JOIN fx_targets WHERE CAST(date AS DATE) <= target GROUP BY provider, target")
+@query("SELECT provider, CAST(target AS VARCHAR) AS target, arg_min(link, (date_diff('day', CAST(date AS DATE), target), ord)) AS link FROM fx_links CROSS JOIN fx_targets WHERE CAST(date AS DATE) <= target GROUP BY provider, fx_targets.target")
 def latest_link(t: Tables) -> DataFrame:
-    return feeds.latest_links(t.links, list(TARGETS))
+    return feeds.latest_links(t.links, list(TARGETS)).withColumn("target", F.col("target").cast("string"))
 
 
 BINS = """bins AS (SELECT lower(operator) AS operator, CAST(regexp_extract(label, '^([0-9]+)', 1) AS INTEGER) AS start, coalesce(try_cast(replace(percent, '%', '') AS DOUBLE), 0) AS w FROM fx_delay_rows WHERE label NOT IN ('cancelled', 'substituted')),
