@@ -24,10 +24,11 @@ SHARD_PIECES = 4096
 #: Tokens that follow each document.
 END_ID = 1
 #: Words remembered by a worker; beyond it, it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
 #: A word of Latin-1 letters with ASCII punctuation behind it (no apostrophe): its parts never merge.
 _PARTS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
+_TAILS = frozenset(bytes([c]) for c in range(33, 127) if not chr(c).isalnum() and c != 39)
 _workers: dict[str, "WordTokens"] = {}
 
 
@@ -42,53 +43,59 @@ class WordTokens:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # the same vocabulary for words that are one pre-token and already in their normal form
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        if hasattr(self.plain.model, "_resize_cache"):
+            self.plain.model._resize_cache(0)  # no word comes twice
         self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
 
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.words) > REMEMBERED or len(self.parts) > REMEMBERED:
-            self.words.clear()
-            self.parts.clear()
-        split, whole, cores = {}, [], set()
+    def learn(self, words: set[bytes], wanted: set[bytes]) -> None:
+        """Add ``words``; if there are too many by now, start anew with all that are ``wanted``."""
+        known = self.words
+        if len(known) > REMEMBERED:
+            known.clear()
+            words = wanted
+        simple, cores, whole = [], set(), set()
         for w in words:
-            text = w.decode()
-            if m := _PARTS.match(text):
-                split[w] = core, tail = m[1].lower(), m[2]
-                cores.add(core)
-                if tail and tail not in self.parts:
-                    whole.append(tail)
-                    self.parts[tail] = b""
+            if w.isalpha():
+                core, tail = w.lower(), b""
+            elif w[:-1].isalpha() and w[-1:] in _TAILS:
+                core, tail = w[:-1].lower(), w[-1:]
+            elif m := _PARTS.match(w.decode()):
+                core, tail = m[1].lower().encode(), m[2].encode()
             else:
-                whole.append(text)
-        new = [c for c in cores if c not in self.parts]
-        for k in range(0, len(new), 1000):  # each of these words is one pre-token
-            found = self.tokenizer.encode(" ".join(new[k : k + 1000]), add_special_tokens=False)
-            ids, of = np.array(found.ids, "<u4"), np.array(found.word_ids, np.int64)
-            cuts = np.searchsorted(of, np.arange(len(new[k : k + 1000]) + 1))
-            for c, a, b in zip(new[k : k + 1000], cuts[:-1].tolist(), cuts[1:].tolist()):
-                self.parts[c] = ids[a:b].tobytes()
-        for text, found in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)):
-            packed = np.array(found.ids, "<u4").tobytes()
-            if text in self.parts and not self.parts[text]:
-                self.parts[text] = packed
-            self.words[text.encode()] = packed
-        for w, (core, tail) in split.items():
-            self.words[w] = self.parts[core] + (self.parts[tail] if tail else b"")
+                whole.add(w)
+                continue
+            simple.append((w, core, tail))
+            if core not in known:
+                cores.add(core)
+            if tail and tail not in known:
+                whole.add(tail)
+        new = list(cores)
+        for k in range(0, len(new), 100):
+            part = new[k : k + 100]
+            found = self.plain.encode(b" ".join(part).decode(), add_special_tokens=False)
+            packed, of = np.array(found.ids, "<u4").tobytes(), np.array(found.word_ids, np.int64)
+            cuts = (4 * np.searchsorted(of, np.arange(len(part) + 1))).tolist()
+            known.update((c, packed[a:b]) for c, a, b in zip(part, cuts, cuts[1:]))
+        single = list(whole)
+        for w, found in zip(single, self.tokenizer.encode_batch_fast([w.decode() for w in single], add_special_tokens=False)):
+            known[w] = np.array(found.ids, "<u4").tobytes()
+        for w, core, tail in simple:
+            known[w] = known[core] + known[tail] if tail else known[core]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of every text as little-endian unsigned 32-bit numbers."""
         split = [(t or "").encode().split() for t in texts]
-        missing = {w for words in split for w in words if w not in self.words}
-        if missing:
-            self.learn(missing)
-            if len(self.words) < len(missing):
-                raise RuntimeError("words were lost")
-            missing = {w for words in split for w in words if w not in self.words}
-            if missing:  # the memory was cleared
-                self.learn(missing)
+        seen: set[bytes] = set()
+        seen.update(*split)
+        if missing := seen - self.words.keys():
+            self.learn(missing, seen)
         get = self.words.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
