@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowatlas.llm import exact_dedup, mixing, near_dedup, packing, quality
+from flowatlas.llm import exact_dedup, mixing, packing, quality, similar
 from flowatlas.llm.common import shared_folder, stable, table
 from flowatlas.llm.queries import tokenizer_path
 
@@ -32,8 +32,11 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each component of linked fingerprints."""
-    dropped = near_dedup.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    """One document, that of the smallest doc_id, of each component of texts with similarity 0.8 or more by five-word shingles.
+
+    All such pairs are linked, also those whose SimHash fingerprints are far apart.
+    """
+    dropped = similar.near_copies(docs).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
 
 

@@ -30,18 +30,24 @@ BLOCKS = ((0, 22), (22, 21), (43, 21))
 FRONTIER = 1 << 19
 
 
-def simhash(text: str | None) -> int:
-    """The 64-bit majority fingerprint of all 3-word shingles, repeats included; 0 without words."""
-    words = (text or "").encode().lower().split()  # bytes: only A-Z are lowered, only ASCII white space splits
+def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
+    """Hashes of all shingles of ``width`` words, repeats included; fewer words are one shingle, none have none."""
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     joined = b" ".join(words)
-    if len(words) <= SHINGLE:
-        return xxhash.xxh64_intdigest(joined, SEED)
+    if len(words) <= width:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], "<u8")
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate(([0], ends[:-SHINGLE])).tolist()
+    starts = np.concatenate(([0], ends[:-width])).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[SHINGLE - 1 :] - 1).tolist())], dtype="<u8")
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())], dtype="<u8")
+
+
+def simhash(text: str | None) -> int:
+    """The 64-bit majority fingerprint of all 3-word shingles, repeats included; 0 without words."""
+    hashes = shingle_hashes((text or "").encode().lower().split(), SHINGLE)  # bytes: only A-Z are lowered, only ASCII white space splits
+    if not len(hashes):
+        return 0
     ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 

@@ -1,10 +1,12 @@
+import random
+
 import corpus_pipeline
 import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from flowatlas.llm import queries, sql
+from flowatlas.llm import queries, similar, sql
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -62,3 +64,39 @@ def test_stages_take_odd_rows_and_none(spark, k):
 def test_repeated_rows_leave_one(spark):
     docs = odd_documents(spark).where("doc_id = 1")
     assert corpus_pipeline.exact_copies(spark, docs, FOLDER).count() == 1
+
+
+def brute_components(texts):
+    """The smallest index reachable by five-word Jaccard similarities of 0.8 or more."""
+    def shingles(text):
+        words = text.lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+    sets, label = [shingles(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("group", [32, 4])
+def test_near_copies_against_brute_force(spark, group):
+    dice = random.Random(5)
+    fresh = lambda n: [f"w{dice.randrange(5000)}" for _ in range(n)]
+    common = fresh(60)
+    texts = [fresh(dice.randrange(1, 200)) for _ in range(60)] + [common + fresh(25) for _ in range(10)]
+    for base in texts[:25] + [texts[0]] * 12 + [texts[60]] * 8:  # edits that leave some pairs above and some below 0.8
+        copy = list(base)
+        for _ in range(dice.randrange(1, 5)):
+            copy[dice.randrange(len(copy))] = "edit" + str(dice.randrange(10**6))
+        texts.append(copy)
+    texts = [" ".join(t) for t in texts] + ["", " ", texts[3][0].upper()]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    expected = brute_components(texts)
+    assert len(set(expected)) < len(texts) - 10
+    found = {r.doc_id: r.component_id for r in similar.near_copies(docs, group=group).collect()}
+    assert [found[i] for i in range(len(texts))] == expected
+    if group == 32:
+        assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, FOLDER).collect()) == sorted(set(expected))
