@@ -6,10 +6,9 @@ level until one is missing. Smoothed probabilities mix the two-word estimate wit
 probed levels.
 
 Sequences are dealt to filter segments by their hash. A segment's counts are summed and its bits are set in one task,
-so no task ever holds the whole filter; each segment sizes itself by what it holds. All segments together are broadcast
-and their size is bounded by ``MAX_BYTES``. Pairs seen once aren't kept (``LEAST_PAIR``, at every size of the corpus);
-a segment whose share would exceed the bound raises that least count further until it fits, and rarer pairs are scored
-by single words.
+so no task ever holds the whole filter; each segment sizes itself by what it holds, and every sequence is kept. The
+one-word segments are broadcast together. Pair segments are broadcast in groups of at most ``MAX_BYTES``, and the
+documents are scored in as many passes as there are groups; a pass adds up the tokens whose pair is in its group.
 
 The exact one-word score beside it needs every word's count: frequent words (at most ``COMMON`` of them) are looked
 up in the workers, the others are joined by their hash.
@@ -28,12 +27,10 @@ from pyspark.sql import functions as F
 from flowatlas.llm.common import stable
 
 SEGMENTS = 512
-#: Probes a level, bits an entry, base of the levels, levels probed at most, bytes of all segments at most.
+#: Probes a level, bits an entry, base of the levels, levels probed at most, bytes of pair segments broadcast at once.
 PROBES, BITS, BASE, LEVELS, MAX_BYTES = 4, 8, 2.0, 40, 128 << 20
 #: Words whose exact counts are broadcast.
 COMMON = 1 << 18
-#: Least count of a two-word sequence in the filter, always; its level 1 starts there.
-LEAST_PAIR = 2
 #: Sequences gathered in a worker before they are sent on; words a worker remembers.
 GATHER, REMEMBERED = 2 << 20, 250_000
 
@@ -117,35 +114,35 @@ def _summed(shard: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.bincount(at, join("counts", "<u4"), len(keys)).astype(np.int64)
 
 
-def build(docs: DataFrame, *, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(segment, key, count, packed): exact one-word counts, and for each segment a row with its filter.
+def field_of(keys: np.ndarray, level: np.ndarray) -> bytes:
+    """The packed bits of the keys at all levels up to their own."""
+    bits = int(max(64, BITS * level.sum()))
+    bits += -bits % 8
+    field = np.zeros(bits, bool)
+    for j in range(1, int(level.max(initial=0)) + 1):
+        for at in positions(keys[level >= j], j, bits):
+            field[at.astype(np.int64)] = True
+    return np.packbits(field, bitorder="little").tobytes()
 
-    The count in a filter's row is that of pair occurrences whose pair would still be in the filter without them; their
-    share of all tokens is the weight of the two-word estimate (left-one-out).
+
+def build(docs: DataFrame) -> DataFrame:
+    """(segment, kind, key, count, packed): exact one-word counts, and for each segment a row with its filter of either kind.
+
+    The count in a pair filter's row is that of pair occurrences whose pair would still be in the filter without them;
+    their share of all tokens is the weight of the two-word estimate (left-one-out).
     """
-    most = 8 * max_bytes // SEGMENTS
 
     def run(shard: pa.Table) -> pa.Table:
         segment = shard.column("segment")[0].as_py()
         keys, counts = _summed(shard, 0)
         pairs, many = _summed(shard, 1)
-        entries = levels_of(counts).sum()
-        still = int(many[many > LEAST_PAIR].sum())  # occurrences whose pair would be known without them
-        pairs, many = pairs[many >= LEAST_PAIR], many[many >= LEAST_PAIR] // LEAST_PAIR
-        least = 1
-        while len(many) and BITS * (entries + levels_of(many[many >= least]).sum()) > most and least <= many.max():
-            least *= 2
-        all_keys, level = np.concatenate((keys, pairs[many >= least])), levels_of(np.concatenate((counts, many[many >= least])))
-        bits = int(min(max(64, BITS * level.sum()), max(most, 64)))
-        bits += -bits % 8
-        field = np.zeros(bits, bool)
-        for j in range(1, int(level.max(initial=0)) + 1):
-            for at in positions(all_keys[level >= j], j, bits):
-                field[at.astype(np.int64)] = True
+        still = int(many[many > 1].sum())  # occurrences whose pair would be known without them
         n = len(keys)
-        return pa.table({"segment": pa.array([segment] * (n + 1), pa.int32()), "key": pa.array(np.append(keys.view(np.int64), 0)), "count": pa.array(np.append(counts, still)), "packed": pa.array([None] * n + [np.packbits(field, bitorder="little").tobytes()], pa.binary())})
+        packed = [None] * n + [field_of(keys, levels_of(counts)), field_of(pairs, levels_of(many))]
+        kind = np.append(np.zeros(n + 1, np.int32), np.int32(1))
+        return pa.table({"segment": pa.array([segment] * (n + 2), pa.int32()), "kind": pa.array(kind), "key": pa.array(np.append(keys.view(np.int64), [0, 0])), "count": pa.array(np.append(counts, [0, still])), "packed": pa.array(packed, pa.binary())})
 
-    return gathered(docs).groupBy("segment").applyInArrow(run, "segment int, key long, count long, packed binary")
+    return gathered(docs).groupBy("segment").applyInArrow(run, "segment int, kind int, key long, count long, packed binary")
 
 
 class Filter:
@@ -193,7 +190,7 @@ def scored(docs: DataFrame, *, max_bytes: int = MAX_BYTES) -> DataFrame:
     spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held_out"))
-    built = stable(build(plain.where("not held_out"), max_bytes=max_bytes))
+    built = stable(build(plain.where("not held_out")))
     counts = built.where("packed is null").select("key", "count")
     total, distinct = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1))).first()
     # common words are those from a count level on that at most COMMON words reach; levels are a few hundred at most
@@ -205,60 +202,78 @@ def scored(docs: DataFrame, *, max_bytes: int = MAX_BYTES) -> DataFrame:
         if reached > COMMON:
             break
         edge = level
-    # the filter's bound is checked where it is built
-    rows = list(built.where("packed is not null").select("segment", "count", "packed").toLocalIterator())
-    segments = {r["segment"]: bytes(r["packed"]) for r in rows}
-    weight = min(0.95, sum(r["count"] for r in rows) / max(total, 1))
-    del rows
+    filters = built.where("packed is not null")
+    gather = lambda rows: {r["segment"]: bytes(r["packed"]) for r in rows.select("segment", "packed").toLocalIterator()}
+    # groups of pair segments, [low, high), of at most max_bytes each
+    sizes = {r["segment"]: (r["count"], r["size"]) for r in filters.where("kind = 1").select("segment", "count", F.length("packed").alias("size")).collect()}
+    weight = min(0.95, sum(count for count, _ in sizes.values()) / max(total, 1))
+    lows, held_bytes = [0], 0
+    for s in range(SEGMENTS):
+        size = sizes.get(s, (0, 0))[1]
+        if held_bytes and held_bytes + size > max_bytes:
+            lows.append(s)
+            held_bytes = 0
+        held_bytes += size
     common = counts.where(eighth >= edge).toPandas().sort_values("key", key=lambda k: k.to_numpy(np.int64).view(np.uint64))
-    shared = spark.sparkContext.broadcast((Filter(segments), common["key"].to_numpy(np.int64).view(np.uint64), common["count"].to_numpy(np.int64)))
-    del segments
+    shared = spark.sparkContext.broadcast((Filter(gather(filters.where("kind = 0"))), common["key"].to_numpy(np.int64).view(np.uint64), common["count"].to_numpy(np.int64)))
     denominator = total + 0.5 * (distinct + 1)
     log_none = float(np.log10(0.5 / denominator)) if denominator else 0.0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, keys, known = shared.value
-        for whole in batches:
-            for k in range(0, whole.num_rows, 128):
-                batch = whole.slice(k, 128)
-                words = word_hashes(batch.column(1).to_pylist())
-                ends = np.cumsum([len(w) for w in words])
-                starts = np.concatenate(([0], ends[:-1]))
-                flat = np.concatenate(words)
-                one, at_one = np.unique(flat, return_inverse=True)
-                two, at_two = np.unique(np.concatenate([pairs_of(w) for w in words]), return_inverse=True)
-                before = np.concatenate([np.concatenate((np.frombuffer(END, "<u8"), w[:-1])) for w in words])
-                # the model: levels of both orders, mixed
-                single = estimate(model.level(one))
-                p_one = ((single + 0.5) / max(denominator, 1.0))[at_one]
-                context = single[np.searchsorted(one, before).clip(max=len(one) - 1)]
-                double = LEAST_PAIR * estimate(model.level(two))[at_two]
-                p_two = np.where(context > 0, np.minimum(double / np.maximum(context, 1e-9), 1.0), 0.0)
-                p = np.where(context > 0, weight * p_two + (1 - weight) * p_one, p_one)
-                score = np.add.reduceat(np.log10(np.minimum(p, 1.0)), starts)
-                # the base: common words here, the others as (key, times) to be joined
-                place = np.searchsorted(keys, one).clip(max=max(len(keys) - 1, 0))
-                hit = keys[place] == one if len(keys) else np.zeros(len(one), bool)
-                value = np.where(hit, np.log10((known[place] + 0.5) / denominator), 0.0) if len(keys) else np.zeros(len(one))
-                base = np.add.reduceat(value[at_one], starts)
-                n_known = np.add.reduceat(hit[at_one].astype(np.int64), starts)
-                rare = ~hit[at_one]
-                doc = np.repeat(np.arange(len(words)), ends - starts)
-                # rows: (doc, rare word, times), and one row per document that carries the rest
-                owner, word = doc[rare], at_one[rare]
-                pair, times = np.unique(owner * len(one) + word, return_counts=True)
-                owner, word = pair // len(one), one[pair % len(one)]
-                n, m = len(words), len(word)
-                ids, out = batch.column(0), batch.column(2)
-                take = pa.array(np.concatenate((np.arange(n), owner)))
-                zeros = np.zeros(m)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(take), out.take(take), pa.array(np.concatenate((np.full(n, -1), word.view(np.int64)))), pa.array(np.concatenate((np.zeros(n, np.int64), times))),
-                     pa.array(np.concatenate((ends - starts, np.zeros(m, np.int64)))), pa.array(np.concatenate((n_known, np.zeros(m, np.int64)))), pa.array(np.concatenate((base, zeros))), pa.array(np.concatenate((score, zeros)))],
-                    names=["doc_id", "held_out", "key", "times", "tokens", "known", "base", "score"],
-                )
-
-    rows = plain.mapInArrow(run, "doc_id long, held_out boolean, key long, times long, tokens long, known long, base double, score double")
+    def scores(low: int, high: int) -> DataFrame:
+        pairs_model = spark.sparkContext.broadcast(Filter(gather(filters.where((F.col("kind") == 1) & F.col("segment").between(low, high - 1)))))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words_model, keys, known = shared.value
+            for whole in batches:
+                for k in range(0, whole.num_rows, 128):
+                    batch = whole.slice(k, 128)
+                    words = word_hashes(batch.column(1).to_pylist())
+                    ends = np.cumsum([len(w) for w in words])
+                    starts = np.concatenate(([0], ends[:-1]))
+                    flat = np.concatenate(words)
+                    one, at_one = np.unique(flat, return_inverse=True)
+                    two, at_two = np.unique(np.concatenate([pairs_of(w) for w in words]), return_inverse=True)
+                    before = np.concatenate([np.concatenate((np.frombuffer(END, "<u8"), w[:-1])) for w in words])
+                    # the model: levels of both orders, mixed
+                    single = estimate(words_model.level(one))
+                    p_one = ((single + 0.5) / max(denominator, 1.0))[at_one]
+                    context = single[np.searchsorted(one, before).clip(max=len(one) - 1)]
+                    double = estimate(pairs_model.value.level(two))[at_two]
+                    p_two = np.where(context > 0, np.minimum(double / np.maximum(context, 1e-9), 1.0), 0.0)
+                    p = np.where(context > 0, weight * p_two + (1 - weight) * p_one, p_one)
+                    part = (two >> np.uint64(64 - 9)).astype(np.int64)[at_two]
+                    score = np.add.reduceat(np.where((part >= low) & (part < high), np.log10(np.minimum(p, 1.0)), 0.0), starts)
+                    if low:  # all else is in the first pass
+                        n, none = len(words), np.zeros(len(words), np.int64)
+                        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *map(pa.array, (none - 1, none, none, none, none.astype(float), score))], names=["doc_id", "held_out", "key", "times", "tokens", "known", "base", "score"])
+                        continue
+                    # the base: common words here, the others as (key, times) to be joined
+                    place = np.searchsorted(keys, one).clip(max=max(len(keys) - 1, 0))
+                    hit = keys[place] == one if len(keys) else np.zeros(len(one), bool)
+                    value = np.where(hit, np.log10((known[place] + 0.5) / denominator), 0.0) if len(keys) else np.zeros(len(one))
+                    base = np.add.reduceat(value[at_one], starts)
+                    n_known = np.add.reduceat(hit[at_one].astype(np.int64), starts)
+                    rare = ~hit[at_one]
+                    doc = np.repeat(np.arange(len(words)), ends - starts)
+                    # rows: (doc, rare word, times), and one row per document that carries the rest
+                    owner, word = doc[rare], at_one[rare]
+                    pair, times = np.unique(owner * len(one) + word, return_counts=True)
+                    owner, word = pair // len(one), one[pair % len(one)]
+                    n, m = len(words), len(word)
+                    ids, out = batch.column(0), batch.column(2)
+                    take = pa.array(np.concatenate((np.arange(n), owner)))
+                    zeros = np.zeros(m)
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(take), out.take(take), pa.array(np.concatenate((np.full(n, -1), word.view(np.int64)))), pa.array(np.concatenate((np.zeros(n, np.int64), times))),
+                         pa.array(np.concatenate((ends - starts, np.zeros(m, np.int64)))), pa.array(np.concatenate((n_known, np.zeros(m, np.int64)))), pa.array(np.concatenate((base, zeros))), pa.array(np.concatenate((score, zeros)))],
+                        names=["doc_id", "held_out", "key", "times", "tokens", "known", "base", "score"],
+                    )
+
+        return plain.mapInArrow(run, "doc_id long, held_out boolean, key long, times long, tokens long, known long, base double, score double")
+
+    rows = scores(lows[0], lows[1] if lows[1:] else SEGMENTS)
+    for low, high in zip(lows[1:], [*lows[2:], SEGMENTS]):
+        rows = rows.unionByName(scores(low, high))
     rest = counts.where(eighth < edge).withColumnRenamed("count", "c")
     # a row that carries a document's own figures has no word; its key is its id's hash, so that no task gets them all
     rows = rows.withColumn("key", F.when(F.col("times") == 0, F.xxhash64("doc_id")).otherwise(F.col("key")))

@@ -181,6 +181,20 @@ def test_lm_without_training_or_rows(spark):
     assert lm_score.scored(docs(spark, [])).count() == 0
 
 
+def test_lm_keeps_single_pairs_and_groups_change_nothing(spark):
+    dice = random.Random(8)
+    texts = [" ".join(dice.choices([f"w{i}" for i in range(40)], k=dice.randint(0, 50))) for _ in range(60)]
+    one, many = ({r.doc_id: r for r in lm_score.scored(docs(spark, texts), max_bytes=b).collect()} for b in (1 << 27, 1500))
+    assert set(one) == set(many) == set(range(60))
+    for i in one:
+        assert many[i].score == pytest.approx(one[i].score, rel=1e-9) and many[i][:6] == pytest.approx(one[i][:6])
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    filters = {r["segment"]: bytes(r["packed"]) for r in lm_score.build(docs(spark, [t for i, t in enumerate(texts) if not held(i)])).where("kind = 1 and packed is not null").collect()}
+    learned = np.concatenate([lm_score.pairs_of(w) for w in lm_score.word_hashes([t for i, t in enumerate(texts) if not held(i)])])
+    keys, counts = np.unique(learned, return_counts=True)
+    assert (counts == 1).sum() > 100 and (lm_score.Filter(filters).level(keys) >= lm_score.levels_of(counts)).all()
+
+
 # 5: toxicity
 
 
