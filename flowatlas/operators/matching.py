@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,8 @@ def nearest_nodes(points: DataFrame, nodes: DataFrame, *, cell_degrees: float =
     """``points`` (lon, lat and their own columns) with node_id of the nearest node by great-circle distance.
 
     Nodes are binned in a grid of degrees; a point looks at its bin and those around it, and points whose best node may
-    be farther than the ring they looked at look again in a ring twice as wide, at most ``rings`` times.
+    be farther than the ring they looked at look again in a ring twice as wide, at most ``rings`` times;
+    those still left are compared with every node.
     """
     columns = points.columns
     todo = shared_checkpoint(points.withColumn("_p", F.monotonically_increasing_id()))
@@ -39,21 +42,27 @@ def nearest_nodes(points: DataFrame, nodes: DataFrame, *, cell_degrees: float =
         if todo.isEmpty():
             break
         reach *= 2
+    else:
+        rest = todo.crossJoin(nodes.select("node_id", F.col("lon").alias("_lon"), F.col("lat").alias("_lat"))).withColumn("_d", geo.haversine(F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat")))
+        best = rest.groupBy("_p").agg(F.min(F.struct("_d", "node_id")).alias("_best"))
+        left = todo.join(best, "_p")
+        done = left if done is None else done.unionByName(left)
     return done.select(*columns, F.col("_best.node_id").alias("node_id"))
 
 
-def shortest_paths(pairs: DataFrame, edges: DataFrame, *, max_rounds: int = 200, every: int = 5) -> DataFrame:
+def shortest_paths(pairs: DataFrame, edges: DataFrame, *, max_rounds: int | None = None, every: int = 5) -> DataFrame:
     """(source, target, length, path): shortest paths by length on the undirected graph, path as an array of nodes.
 
     ``pairs`` has source and target. One search per source serves all its targets: each round, the nodes improved in
     the last round pass their distance on over their edges; a source stops when nothing beyond its farthest target's
     distance is left to improve. Ties go to the smaller parent. Unreachable targets drop out.
+    Rounds go on until nothing improves; a search that is still open after ``max_rounds``, if given, is an error.
     """
     both = edges.select(F.col("node_lo").alias("node"), F.col("node_hi").alias("next"), "length").unionByName(edges.select(F.col("node_hi").alias("node"), F.col("node_lo").alias("next"), "length"))
     wanted = pairs.distinct()
     reached = shared_checkpoint(wanted.select("source", F.col("source").alias("node")).distinct().withColumn("dist", F.lit(0.0)).withColumn("parent", F.lit(None).cast("long")))
     frontier = reached
-    for _ in range(max_rounds):
+    for done in count(1):
         # a source's bound: the farthest of its targets, once all of them are reached
         far = wanted.join(reached.select("source", F.col("node").alias("target"), "dist"), ["source", "target"], "left").groupBy("source").agg(F.max("dist").alias("_far"), F.max(F.col("dist").isNull()).alias("_open"))
         passed = frontier.join(both, "node").select("source", F.col("next").alias("node"), (F.col("dist") + F.col("length")).alias("dist"), F.col("node").alias("parent"))
@@ -66,10 +75,12 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame, *, max_rounds: int = 200,
         reached = updated.drop("_new")
         if frontier.isEmpty():
             break
+        if max_rounds is not None and done >= max_rounds:
+            raise RuntimeError(f"shortest paths still open after {max_rounds} rounds")
     # back from each target to its source, a step a round
     walk = shared_checkpoint(wanted.join(reached.select("source", F.col("node").alias("target"), "dist", "parent"), ["source", "target"]).select("source", "target", F.col("dist").alias("length"), F.array("target").alias("path"), F.col("parent").alias("_at")))
     ends = None
-    for _ in range(max_rounds):
+    while True:
         home = walk.where("_at is null").drop("_at")
         ends = home if ends is None else ends.unionByName(home)
         going = walk.where("_at is not null")

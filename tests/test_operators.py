@@ -220,6 +220,17 @@ def test_shortest_paths_against_dijkstra(spark):
             assert sum(lengths[a, b] for a, b in zip(r.path, r.path[1:])) == expected
 
 
+def test_matching_leaves_nothing_out_silently(spark):
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(6)], "node_lo long, node_hi long, length double")
+    pairs = spark.createDataFrame([(0, 6)], "source long, target long")
+    with pytest.raises(RuntimeError):
+        matching.shortest_paths(pairs, edges, max_rounds=3).collect()
+    assert matching.shortest_paths.__kwdefaults__["max_rounds"] is None
+    nodes = spark.createDataFrame([(1, 5.0, 51.0), (2, 9.0, 51.0)], "node_id long, lon double, lat double")
+    far = spark.createDataFrame([(0, 6.0, 52.0), (1, 5.0, 51.0)], "k long, lon double, lat double")
+    assert {r.k: r.node_id for r in matching.nearest_nodes(far, nodes, rings=1).collect()} == {0: 1, 1: 1}
+
+
 def test_polyline_round_trip():
     line = [(38.5, -120.2), (40.7, -120.95), (43.252, -126.453)]
     assert encode(line) == "_p~iF~ps|U_ulLnnqC_mqNvxq`@"
