@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +12,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that driver and executors share: the session's, or one chosen here if it has none (tests)."""
+    """The checkpoint folder that driver and executors share, as the session names it; there is no local stand-in."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="flowatlas-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder)
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -38,3 +39,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: The columns of a row key.
+KEY = ["k1", "k2"]
+
+
+def keyed(docs: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of ``docs``, ``row`` (all columns as one struct, so that no name can clash) and the row's key.
+
+    The key is 128 bits of hash over all columns: rows share it just if they are equal in every column. Rows that
+    repeat or lack a doc_id are told apart by it, and equal rows, which nothing tells apart, can stand for each other.
+    """
+    parts = []
+    for field in docs.schema.fields:
+        value = F.col(f"`{field.name}`")
+        parts += [value.isNull(), value if field.dataType.typeName() not in ("map", "array", "struct", "variant") else value.cast("string")]
+    every = F.struct(*[F.col(f"`{name}`") for name in docs.columns])
+    return docs.select(*columns, every.alias("row"), F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit(1), *parts).alias("k2"))
+
+
+def only(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The columns of each row of ``keyed`` documents whose key is among ``keys``, once for each key."""
+    return rows.join(keys.select(*KEY), KEY, "left_semi").dropDuplicates(KEY).select("row.*")

@@ -11,39 +11,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowatlas.llm.common import WORD, stable, whole_text
+from flowatlas.llm.common import KEY, WORD, keyed, stable, whole_text
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
 #: The golden ratio's fraction in 31 bits; odd, so that multiples visit every point once.
 GOLDEN, POINTS = 1327217885, 2**31
-#: Slots per chunk when ranks are made, and buckets of the cumulative weights when points are looked up.
-CHUNK, SHARES = 65536, 1024
+#: Slots and documents per chunk when ranks are made, and buckets of the cumulative weights when points are looked up.
+CHUNK, DOCS_CHUNK, SHARES = 65536, 16384, 1024
 
 
 def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
+def running(rows: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """``rows`` with, for each new name, the sum of a column over the earlier rows in ``order`` (a total order).
+
+    Two levels: totals of ranges of the order, then inside a range; so no task holds all rows. Sums must be exact
+    (whole numbers or decimals), else they would depend on how rows are dealt.
+    """
+    dealt = stable(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    ranges = dealt.groupBy("_range").agg(*[F.sum(of).alias(f"_of_{name}") for name, of in sums.items()])
+    starts = ranges.select("_range", *[F.coalesce(F.sum(f"_of_{name}").over(before(Window.orderBy("_range"))), F.lit(0)).alias(f"_start_{name}") for name in sums])  # a row per range
+    inside = before(Window.partitionBy("_range").orderBy(*order))
+    placed = dealt.join(starts, "_range")
+    return placed.select(*rows.columns, *[(F.col(f"_start_{name}") + F.coalesce(F.sum(of).over(inside), F.lit(0))).alias(name) for name, of in sums.items()])
+
+
 def source_targets(sized: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, repeats: int = 2) -> DataFrame:
     """source, _no (its place), source_size, target: ``share`` of all words by weight, at most ``repeats`` times a source.
 
     What a full source can't take is shared again by weight among the rest. That fixed point is found in one pass: in
-    the order of cap by weight, a source is full when its cap is within its share of what the earlier ones left.
-    The input has a row per source, so these windows hold as many rows as there are sources.
+    the order of size by weight, a source is full when its cap is within its share of what the earlier ones left. The
+    input has a row per source.
     """
-    by_place, by_cap = Window.orderBy(F.col("source").asc_nulls_last()), Window.orderBy("_ratio", "_no")
-    left, everything = by_cap.rowsBetween(Window.unboundedPreceding, -1), Window.rowsBetween if False else by_cap.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    w = F.element_at(F.array(*map(F.lit, weights)), (F.col("_no") % len(weights) + 1).cast("int"))
-    sources = sized.withColumn("_no", F.row_number().over(by_place) - 1).withColumn("_w", w.cast("double")).withColumn("_cap", (repeats * F.col("source_size")).cast("double"))
-    sources = sources.withColumn("_ratio", F.col("_cap") / F.col("_w"))
-    rest = share * F.sum("source_size").over(everything) - F.coalesce(F.sum("_cap").over(left), F.lit(0.0))
-    heavy = F.sum("_w").over(everything) - F.coalesce(F.sum("_w").over(left), F.lit(0.0))
-    level = F.col("_rest") / F.col("_heavy")
-    sources = sources.withColumn("_rest", rest).withColumn("_heavy", heavy).withColumn("_level", level).withColumn("_full", F.col("_ratio") <= F.col("_level"))
+    sources = running(sized.withColumn("_one", F.lit(1)), [F.col("source").asc_nulls_last()], {"_no": "_one"}).drop("_one")
+    sources = sources.withColumn("_w", F.element_at(F.array(*map(F.lit, weights)), (F.col("_no") % len(weights) + 1).cast("int")))
+    sources = sources.withColumn("_ratio", F.col("source_size") / F.col("_w"))
+    sources = stable(running(sources, [F.col("_ratio"), F.col("_no")], {"_sizes": "source_size", "_weights": "_w"}))
+    total, heavy = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("_w"), F.lit(0))).first()
+    level = (F.lit(share * total) - repeats * F.col("_sizes")) / (F.lit(heavy) - F.col("_weights"))  # words a unit of weight
+    full = repeats * F.col("_ratio") <= level
     # every source that isn't full sees the same level as the first of them
-    first = F.min(F.when(~F.col("_full"), F.struct("_ratio", "_no", "_level"))).over(everything)["_level"]
-    return sources.select("source", "_no", "source_size", F.when(F.col("_full"), F.col("_cap")).otherwise(F.col("_w") * first).alias("target"))
+    first = sources.where(~full).agg(F.min(F.struct("_ratio", "_no", level.alias("level")))).first()[0]
+    return sources.select("source", "_no", "source_size", F.when(full, (repeats * F.col("source_size")).cast("double")).otherwise(F.col("_w") * F.lit(first["level"] if first else 0.0)).alias("target"))
 
 
 def ranked(rows: DataFrame, keys: list[str], chunk: Column, order: list[str], value: Column) -> DataFrame:
@@ -59,27 +72,27 @@ def mix(docs: DataFrame, *, block: int = 1024, seed: int = 7, weights: tuple[int
     """The mixture and the sized documents.
 
     The mixture has a row per stretch of a document that a slot draws: slot, source, doc_id, pass (0: first use),
-    start (word of the document), n_words. Ordered by slot it is the training order. The sized documents have doc_id,
-    source, size, source_size, target.
+    start (word of the document), n_words, and _row, k1 and k2. Ordered by slot it is the training order. The sized
+    documents have _row, doc_id, source, size, source_size, target. _row tells all rows apart; k1 and k2 are the row's
+    key (``common.keyed``).
 
     Null texts have size 0 and are never drawn; a null source is a source of its own, after all others. Each source's
     words reach its target rounded down to whole words: slots beyond it are dropped, and what the schedule is short of
-    a source (a few slots, by its discrepancy) follows at the end. Rows that repeat a doc_id are separate stretches.
-    Order comes from hashes of doc_id, so reruns agree. An empty table gives an empty mixture; further columns of
-    ``docs`` are ignored.
+    a source (a few slots, by its discrepancy) follows at the end. Rows that repeat or lack a doc_id are documents of
+    their own. Order comes from hashes of whole rows, so reruns agree. An empty table gives an empty mixture.
     """
     spark = docs.sparkSession
-    key = F.xxhash64("doc_id", F.lit(seed))
-    sized = stable(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(whole_text()).alias("size"), key.alias("_key")))
-    sources = stable(
+    key = F.xxhash64("k1", F.lit(seed))
+    measured = keyed(docs, "doc_id", "source", "text").select("doc_id", F.col("source").cast("string").alias("source"), word_count(whole_text()).alias("size"), key.alias("_key"), *KEY)
+    sized = stable(measured.withColumn("_row", F.monotonically_increasing_id()))  # fixed once it is written
+    sources = (
         source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights=weights, share=share, repeats=repeats)
         .withColumn("_words", F.floor("target").cast("long"))
         .withColumn("_blocks", F.ceil(F.col("source_size") / block).cast("long"))
         .withColumn("_passes", F.when(F.col("source_size") > 0, F.expr("_words div greatest(source_size, 1)")).otherwise(0))
         .withColumn("_need", F.col("_passes") * F.col("_blocks") + F.ceil((F.col("_words") - F.col("_passes") * F.col("source_size")) / block).cast("long"))
-        .withColumn("_hi", F.sum("_need").over(Window.orderBy("_no")))
-        .withColumn("_lo", F.col("_hi") - F.col("_need"))
     )
+    sources = stable(running(sources, [F.col("_no")], {"_lo": "_need"}).withColumn("_hi", F.col("_lo") + F.col("_need")))
     whole = sized.withColumnRenamed("source", "_source").join(sources.select("source", "_no", "source_size", "target"), F.col("_source").eqNullSafe(F.col("source"))).drop("_source")
 
     # the schedule: point -> source by bucketed lookup of the cumulative needs
@@ -98,16 +111,35 @@ def mix(docs: DataFrame, *, block: int = 1024, seed: int = 7, weights: tuple[int
     )
 
     # the blocks: each document's stretch of its source's shuffled stream, cut at block borders
-    placed = ranked(whole.where("size > 0"), ["_no"], F.shiftright("_key", 52), ["_key", "doc_id", "size"], F.col("size"))
-    pieces = placed.select("doc_id", "source", "_no", "_before", "size", F.explode(F.sequence(F.expr(f"_before div {block}"), F.expr(f"(_before + size - 1) div {block}"))).alias("_block"))
+    chunks = max(1, -(-sized.count() // DOCS_CHUNK))
+    placed = ranked(whole.where("size > 0"), ["_no"], F.shiftright("_key", 64 - chunks.bit_length()), ["_key", *KEY], F.col("size"))
+    pieces = placed.select("_row", *KEY, "doc_id", "source", "_no", "_before", "size", F.explode(F.sequence(F.expr(f"_before div {block}"), F.expr(f"(_before + size - 1) div {block}"))).alias("_block"))
     begin, end = F.greatest(F.col("_before"), F.col("_block") * block), F.least(F.col("_before") + F.col("size"), (F.col("_block") + 1) * block)
-    pieces = pieces.select("doc_id", "source", "_no", "_block", (begin - F.col("_before")).alias("start"), (begin - F.col("_block") * block).alias("_in"), (end - begin).alias("_long"))
+    pieces = pieces.select("_row", *KEY, "doc_id", "source", "_no", "_block", (begin - F.col("_before")).alias("start"), (begin - F.col("_block") * block).alias("_in"), (end - begin).alias("_long"))
     mixture = plan.join(pieces, ["_no", "_block"]).withColumn("n_words", F.least(F.col("_long"), F.col("_take") - F.col("_in"))).where("n_words > 0")
-    return mixture.select("slot", "source", "doc_id", "pass", "start", "n_words"), whole.select("doc_id", "source", "size", "source_size", "target")
+    return mixture.select("slot", "source", "doc_id", "pass", "start", "n_words", "_row", *KEY), whole.select("_row", "doc_id", "source", "size", "source_size", "target")
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken: how many words of each document the mixture takes, repeats counted."""
+    """doc_id, size, source_size, target, taken: how many words of each row the mixture takes, repeats counted.
+
+    Each row has its own count, also where rows repeat or lack a doc_id; further as in ``mix``.
+    """
     mixture, sized = mix(docs, **options)
-    taken = mixture.groupBy("doc_id").agg(F.sum("n_words").alias("taken"))
-    return sized.join(taken, "doc_id", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    taken = mixture.groupBy("_row").agg(F.sum("n_words").alias("taken"))
+    return sized.join(taken, "_row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mixture as documents: a row for each pass over a document, its text cut to the words that the pass takes.
+
+    All other columns stay as they are. A null or empty text is never drawn.
+    """
+    mixture, _ = mix(docs, **options)
+    passes = mixture.groupBy(*KEY, "_row", "pass").agg(F.sum("n_words").alias("words")).drop("_row", "pass")
+    rows = keyed(docs).dropDuplicates(KEY).join(passes, KEY)  # equal rows have a share each, which one row of them serves
+    text = F.col("row.text")
+    # whole words from the front: within a pass a document's stretches follow each other
+    front = F.slice(F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), F.greatest("words", F.lit(1)).cast("int"))
+    cut = F.when(F.col("words") >= word_count(F.coalesce(text, F.lit(""))), text).otherwise(F.concat_ws("", front))
+    return rows.select(*[cut.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -21,13 +21,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowatlas.llm.common import partitions, stable
+from flowatlas.llm.common import stable
 
 SEED, SHINGLE, BUDGET, LARGE = 42, 3, 2, 1 << 15
 #: Left rotations that put a block on top, and the blocks' widths.
 BLOCKS = ((0, 22), (22, 21), (43, 21))
-#: Node pairs walked at once.
-FRONTIER = 1 << 19
+#: Node pairs walked at once; fingerprints per shard and block, on average.
+FRONTIER, SHARD = 1 << 19, 1 << 15
 
 
 def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
@@ -45,7 +45,11 @@ def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
 
 def simhash(text: str | None) -> int:
     """The 64-bit majority fingerprint of all 3-word shingles, repeats included; 0 without words."""
-    hashes = shingle_hashes((text or "").encode().lower().split(), SHINGLE)  # bytes: only A-Z are lowered, only ASCII white space splits
+    return majority(shingle_hashes((text or "").encode().lower().split(), SHINGLE))  # bytes: only A-Z are lowered, only ASCII white space splits
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     if not len(hashes):
         return 0
     ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -68,13 +72,22 @@ def turned(fps: np.ndarray, by: int) -> np.ndarray:
     return fps if not by else (fps << np.uint64(by)) | (fps >> np.uint64(64 - by))
 
 
-def trie_links(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, top: int, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs within ``budget`` bits; ``values`` are sorted and distinct, each range [start, end) shares ``top`` bits.
+def trie_links(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, top: int, budget: int = BUDGET, labels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs within ``budget`` bits; each range [start, end) of ``values`` is sorted and shares ``top`` bits.
 
     A trie node is a range of the sorted values; the walk keeps pairs of nodes at one depth with their differing bits.
+    With ``labels``, only pairs of different labels are wanted, and node pairs that hold one label alone are pruned too.
     """
     found: list[tuple[np.ndarray, np.ndarray]] = []
+    changes = None if labels is None else np.concatenate(([0], np.cumsum(labels[1:] != labels[:-1])))
+
+    def wanted(al, ah, bl, bh):
+        if labels is None:
+            return np.ones(len(al), bool)
+        return (changes[ah - 1] != changes[al]) | (changes[bh - 1] != changes[bl]) | (labels[al] != labels[bl])
+
     keep = ends - starts > 1
+    keep[keep] &= wanted(starts[keep], ends[keep], starts[keep], ends[keep])
     stack = [(top, (starts[keep], ends[keep], starts[keep], ends[keep], np.zeros(keep.sum(), np.int64)))]
     ones_at: dict[int, np.ndarray] = {}
     while stack:
@@ -90,7 +103,15 @@ def trie_links(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, top: in
             near = (a != b) & (np.bitwise_count(values[a] ^ values[b]) <= budget)
             found.append((a[near], b[near]))
             al, ah, bl, bh, off = (x[~single] for x in (al, ah, bl, bh, off))
-        if not len(al) or depth == 64:
+        if not len(al):
+            continue
+        if depth == 64:  # equal values at either end: every index of one with every index of the other
+            for a0, a1, b0, b1 in zip(al.tolist(), ah.tolist(), bl.tolist(), bh.tolist()):
+                a, b = (x.ravel() for x in np.meshgrid(np.arange(a0, a1), np.arange(b0, b1)))
+                there = (a < b) if a0 == b0 else np.ones(len(a), bool)
+                if labels is not None:
+                    there &= labels[a] != labels[b]
+                found.append((a[there], b[there]))
             continue
         if depth not in ones_at:
             ones_at[depth] = np.concatenate(([0], np.cumsum((values >> np.uint64(63 - depth)) & np.uint64(1), dtype=np.int64)))
@@ -100,6 +121,7 @@ def trie_links(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, top: in
         children = [(al, am, bl, bm, off), (am, ah, bm, bh, off), (al, am, bm, bh, off + 1), tuple(x[other] for x in (am, ah, bl, bm, off + 1))]
         al, ah, bl, bh, off = (np.concatenate(x) for x in zip(*children))
         keep = (ah > al) & (bh > bl) & (off <= budget) & ~((al == bl) & (ah - al == 1))
+        keep[keep] &= wanted(al[keep], ah[keep], bl[keep], bh[keep])
         stack.append((depth + 1, tuple(x[keep] for x in (al, ah, bl, bh, off))))
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -121,8 +143,7 @@ def forest(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def fingerprint_links(fps: DataFrame, *, large: int = LARGE) -> DataFrame:
     """(a, b): links that connect just the fingerprints connected by steps of at most two differing bits."""
-    spark = fps.sparkSession
-    shards = max(partitions(spark), 8)
+    shards = max(8, -(-fps.count() // SHARD))  # so a shard's size doesn't grow with the input
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = [b.column(0).to_numpy() for b in batches]

@@ -26,47 +26,55 @@ def tokenizer_path() -> str:
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return html_extract.extract_text(table(spark, sf_dir, "pages"))
 
 
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
 def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases and license labels of every document."""
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of every document, learned from those that are not held out."""
     return lm_score.scored(table(spark, sf_dir, "documents"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of the chain's categories for every document."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), chain_labels(table(spark, sf_dir, "labels")), CATEGORIES)
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document with their sequences."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the copy that stays for it."""
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of every document the mixture takes."""
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return docs.select("doc_id", "lang", F.exp("log_ppl").alias("perplexity"), F.exp("threshold").alias("threshold"), "kept")
+    """Perplexity, threshold and decision for every document."""
+    found = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "lang", F.exp("log_ppl").alias("perplexity"), F.exp("threshold").alias("threshold"), "kept")
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import corpus_pipeline
-
-    return {f.__name__: f for f in (op1_html_extraction, op2_document_fingerprints, op3_license_scans, op4_lm_scoring, op5_toxicity, op6_best_fit_packing, op7_exact_dedup, op8_source_mixing, op9_quality_classifier, op10_simhash_near_dedup)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_html_extraction, op2_document_fingerprints, op3_license_scans, op4_lm_scoring, op5_toxicity, op6_best_fit_packing, op7_exact_dedup, op8_source_mixing, op9_quality_classifier, op10_simhash_near_dedup)}

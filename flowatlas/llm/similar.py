@@ -1,12 +1,17 @@
-"""Near copies: all pairs of texts whose five-word shingle sets have a Jaccard similarity of at least 0.8, exactly.
+"""Near copies by SimHash: texts whose five-word shingle sets have a Jaccard similarity of at least 0.8.
 
-Two sets that similar share a shingle among the first fifth (and one more) of each in any common order. Shingles are
-ordered by level of frequency, from counts by hash bucket (the order decides only the cost), and those first ones are
-dealt to shards with their text. Texts that meet there and have fitting sizes are compared by their whole sets.
+Two sets that similar share a shingle among the first fifth (and one more) of each in any common order, so the blocks of
+this SimHash join are those shared shingles instead of equal fingerprint bits. Shingles are ordered by level of
+frequency, from counts by hash bucket (the order decides only the cost), and the first ones are dealt to shards with
+their text's fingerprint. Inside a block the fingerprints' binary trie is walked against itself within ``BUDGET``
+differing bits, and what the walk finds is compared by the whole sets, so that clean texts stay apart.
 
-Equal sets are one node. Up to ``GROUP`` nodes that share a shingle are compared pair by pair. More are first compared
-with a few of them; what these links don't connect is then compared pair by pair too, so no pair is left out that could
-connect two components.
+A pair with similarity 0.8 differs in at most 0.19 * 64 = 12 bits on average, and in more than ``BUDGET`` bits less than
+once in a million, so the budget prunes strangers and practically no link.
+
+Equal sets are one node. Up to ``GROUP`` nodes of a block are compared with each other. Of more, all are first compared
+with ``CENTRES`` of them; then the trie is walked once more for pairs of nodes that these links don't connect, so no pair
+is left out that could connect two components, and no links inside a component are listed.
 """
 
 from __future__ import annotations
@@ -19,15 +24,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowatlas.llm.common import stable
-from flowatlas.llm.near_dedup import components, shingle_hashes
+from flowatlas.llm.common import KEY, keyed, stable
+from flowatlas.llm.near_dedup import components, majority, shingle_hashes, trie_links
 
-WIDTH, GROUP, CENTRES, SHARDS = 5, 32, 4, 512
+#: Words of a shingle; differing bits that are walked; nodes of a block compared with each other, and centres of more.
+WIDTH, BUDGET, GROUP, CENTRES = 5, 28, 8, 2
+#: Dealt shingles per shard, on average; nodes of a block that one task takes for its second walk.
+SHARD, LARGE = 1 << 20, 1 << 15
 #: Hash buckets of the shingle counts, in so many slices.
 BUCKETS, SLICES = 1 << 20, 256
-#: Bits of the broadcast map of texts to be compared; it only saves shuffling others' sets.
+#: Bits of the broadcast map of texts to be compared; it only saves shuffling others' texts.
 MAP = 1 << 23
 
+_ROW = [("token", "<u8"), ("fp", "<u8"), ("node", "<i8"), ("size", "u1")]
+
 
 def shingle_set(text: str | None) -> np.ndarray:
     """The distinct shingles' hashes, sorted; a text of fewer words is one shingle, an empty text has none."""
@@ -39,6 +49,16 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
 
 
+def node_of(shingles: np.ndarray) -> int:
+    """The digest that stands for a set, as a signed number."""
+    return int(np.array([xxhash.xxh64_intdigest(shingles.tobytes(), 0)], np.uint64).view(np.int64)[0])
+
+
+def step_of(size: int) -> int:
+    """The size on a scale where sizes within a factor of 5/4 are at most one step apart; capped, which only lets more through."""
+    return int(min(255, np.floor(np.log(max(size, 1)) / np.log(1.25) + 1e-9)))
+
+
 def _levels(texts: DataFrame) -> np.ndarray:
     """Level of frequency, 1 + floor(log2(count)), of each bucket."""
 
@@ -46,7 +66,8 @@ def _levels(texts: DataFrame) -> np.ndarray:
         counts = np.zeros(BUCKETS, np.uint32)
         for batch in batches:
             for text in batch.column(0):
-                np.add.at(counts, (shingle_set(text.as_py()) % np.uint64(BUCKETS)).astype(np.int64), 1)
+                at, many = np.unique(shingle_set(text.as_py()) % np.uint64(BUCKETS), return_counts=True)
+                counts[at.astype(np.int64)] += many.astype(np.uint32)
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([c.tobytes() for c in np.split(counts, SLICES)], pa.binary())], names=["slice", "packed"])
 
     def level(part: pa.Table) -> pa.Table:
@@ -61,130 +82,159 @@ def _levels(texts: DataFrame) -> np.ndarray:
 
 
 def _nodes(texts: DataFrame, levels: np.ndarray) -> DataFrame:
-    """One row per text: doc_id, its key, node (digest of the set), size of the set, packed first shingles."""
+    """One row per text: doc_id, its key, node (digest of the set), fingerprint, size and packed first shingles."""
     shared = texts.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, firsts = [], [], []
-            for text in batch.column(2):
+            nodes, fps, sizes, firsts = [], [], [], []
+            for text in batch.column(3):
                 s = shingle_set(text.as_py())
-                order = np.lexsort((s, shared.value[(s % np.uint64(BUCKETS)).astype(np.int64)]))
-                nodes.append(xxhash.xxh64_intdigest(s.tobytes(), 0))
-                sizes.append(len(s))
-                firsts.append(s[order[: len(s) - (4 * len(s) + 4) // 5 + 1]].tobytes())
-            node = pa.array(np.array(nodes, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), node, pa.array(sizes, pa.int64()), pa.array(firsts, pa.binary())], names=["doc_id", "key", "node", "size", "firsts"])
-
-    return texts.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, node long, size long, firsts binary")
-
+                # by level, then by mixed hash; the hash alone decides who shares a bucket
+                rank = (shared.value[(s % np.uint64(BUCKETS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
+                first = len(s) - (4 * len(s) + 4) // 5 + 1
+                nodes.append(node_of(s))
+                fps.append(majority(s))
+                sizes.append(step_of(len(s)))
+                firsts.append(s[np.argpartition(rank, min(first, len(s)) - 1)[:first]].tobytes() if len(s) else b"")
+            arrays = [pa.array(nodes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(firsts, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *arrays], names=["doc_id", *KEY, "node", "fp", "size", "firsts"])
 
-def _fitting(size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return 5 * np.minimum(size[a], size[b]) >= 4 * np.maximum(size[a], size[b])
+    return texts.select("doc_id", *KEY, "text").mapInArrow(run, "doc_id long, k1 long, k2 long, node long, fp long, size int, firsts binary")
 
 
 def _met(nodes: DataFrame, group: int) -> DataFrame:
-    """(token, a, b, size): pairs to compare (token null), and members a of larger groups by their token (b null)."""
+    """(token, a, b, fp, size): pairs to compare (token null), and members a of larger blocks by their token (b null)."""
+    shards = max(8, -(-(nodes.agg(F.sum(F.octet_length("firsts"))).first()[0] or 0) // (8 * SHARD)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            firsts = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column(2)]
+            firsts = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column(3)]
             times = [len(f) for f in firsts]
-            token = np.concatenate(firsts) if firsts else np.empty(0, np.uint64)
-            rows = np.empty(len(token), [("token", "<u8"), ("size", "<i4"), ("node", "<i8")])
-            rows["token"], rows["size"], rows["node"] = token, np.repeat(batch.column(1).to_numpy(), times), np.repeat(batch.column(0).to_numpy(), times)
-            shard = (token >> np.uint64(32)).astype(np.int64) % SHARDS
+            rows = np.empty(sum(times), _ROW)
+            rows["token"] = np.concatenate(firsts) if firsts else []
+            for name, column in (("node", 0), ("fp", 1), ("size", 2)):
+                rows[name] = np.repeat(batch.column(column).to_numpy().astype(rows.dtype[name]), times)
+            shard = (rows["token"] >> np.uint64(24)).astype(np.int64) % shards
             order = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[order], np.arange(SHARDS + 1))
+            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
             full = np.flatnonzero(np.diff(cuts))
-            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([rows[order[cuts[s] : cuts[s + 1]]].tobytes() for s in full], pa.binary())], names=["shard", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int64)), pa.array([rows[order[cuts[s] : cuts[s + 1]]].tobytes() for s in full], pa.binary())], names=["shard", "packed"])
 
     def meet(shard: pa.Table) -> pa.Table:
-        rows = np.frombuffer(b"".join(x.as_py() for x in shard.column("packed")), [("token", "<u8"), ("size", "<i4"), ("node", "<i8")])
-        rows = rows[np.lexsort((rows["node"], rows["size"], rows["token"]))]
-        rows = rows[np.append(True, rows[1:] != rows[:-1])]
-        starts = np.flatnonzero(np.append(True, rows["token"][1:] != rows["token"][:-1]))
-        ends = np.append(starts[1:], len(rows))
-        few = (ends - starts > 1) & (ends - starts <= group)
-        pairs, members = [(np.empty(0, np.int64), np.empty(0, np.int64))], [np.empty(0, np.int64)]
-        for d in range(1, group):
-            at = np.concatenate([np.empty(0, np.int64), *(np.arange(s, e - d) for s, e in zip(starts[few], ends[few]) if e - s > d)])
-            if not len(at):
-                break
-            pairs.append((at, at + d))
-        for s, e in zip(starts[ends - starts > group], ends[ends - starts > group]):
+        rows = np.frombuffer(b"".join(x.as_py() for x in shard.column("packed")), _ROW)
+        # what stands alone in its block meets nobody
+        _, at, many = np.unique(rows["token"], return_inverse=True, return_counts=True)
+        rows = rows[many[at] > 1]
+        rows = rows[np.lexsort((rows["node"], rows["fp"], rows["token"]))]
+        rows = rows[np.concatenate(([True], rows[1:] != rows[:-1]))] if len(rows) else rows
+        starts = np.flatnonzero(np.concatenate(([True], rows["token"][1:] != rows["token"][:-1]))) if len(rows) else np.empty(0, np.int64)
+        ends = np.append(starts[1:], len(rows)) if len(rows) else starts
+        few = ends - starts <= group
+        pairs, members = [trie_links(rows["fp"], starts[few], ends[few], 0, BUDGET)], [np.empty(0, np.int64)]
+        seen: set[bytes] = set()
+        for s, e in zip(starts[~few].tolist(), ends[~few].tolist()):
+            who = xxhash.xxh128_digest(rows["node"][s:e].tobytes())
+            if who in seen:  # the same nodes met already
+                continue
+            seen.add(who)
             every = np.arange(s, e)
             members.append(every)
-            # the same ones in each group of these nodes, as far as may be
+            # the same centres in each block of these nodes, as far as may be
             for c in every[np.argsort(rows["node"][s:e].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:CENTRES]]:
-                pairs.append((np.full(e - s - 1, c), every[every != c]))
+                near = every[(np.bitwise_count(rows["fp"][s:e] ^ rows["fp"][c]) <= BUDGET) & (every != c)]
+                pairs.append((np.full(len(near), c), near))
         a, b = (np.concatenate(x) for x in zip(*pairs))
-        fit = _fitting(rows["size"], a, b)
+        fit = np.abs(rows["size"][a].astype(int) - rows["size"][b]) <= 1
         a, b = rows["node"][a[fit]], rows["node"][b[fit]]
         a, b = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
         more = rows[np.concatenate(members)]
-        none = lambda n: pa.nulls(n, pa.int64())
-        return pa.table({"token": pa.concat_arrays([none(len(a)), pa.array(more["token"].view(np.int64))]), "a": pa.array(np.concatenate((a, more["node"]))), "b": pa.concat_arrays([pa.array(b), none(len(more))]), "size": pa.concat_arrays([none(len(a)), pa.array(more["size"].astype(np.int64))])})
+        none = lambda n, t=pa.int64(): pa.nulls(n, t)
+        return pa.table({
+            "token": pa.concat_arrays([none(len(a)), pa.array(more["token"].view(np.int64))]), "a": pa.array(np.concatenate((a, more["node"]))), "b": pa.concat_arrays([pa.array(b), none(len(more))]),
+            "fp": pa.concat_arrays([none(len(a)), pa.array(more["fp"].view(np.int64))]), "size": pa.concat_arrays([none(len(a), pa.int32()), pa.array(more["size"].astype(np.int32))]),
+        })
 
-    dealt = nodes.select("node", "size", "firsts").mapInArrow(deal, "shard int, packed binary")
-    return dealt.groupBy("shard").applyInArrow(meet, "token long, a long, b long, size long")
+    dealt = nodes.select("node", "fp", "size", "firsts").mapInArrow(deal, "shard long, packed binary")
+    return dealt.groupBy("shard").applyInArrow(meet, "token long, a long, b long, fp long, size int")
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets are alike."""
+def _across(members: DataFrame, roots: DataFrame, large: int) -> DataFrame:
+    """(a, b): pairs of a block's members that are within the budget but in different components.
 
+    Blocks of more than ``large`` members are cut into parts by node, and each two parts are walked in a task of their
+    own, so no task holds more than two parts.
+    """
+    named = members.join(roots, members.a == roots.node, "left").select("token", "a", "fp", "size", F.coalesce("root", "a").alias("root"))
+    blocks = named.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    parted = named.join(blocks.select("token", F.ceil(F.col("n") / large).cast("int").alias("parts")), "token").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    dealt = parted.withColumn("other", other).select("token", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "a", "fp", "size", "root")
+
+    def walk(block: pa.Table) -> pa.Table:
+        node, size, root = (block.column(c).to_numpy() for c in ("a", "size", "root"))
+        fp = block.column("fp").to_numpy().view(np.uint64)
+        order = np.lexsort((root, fp))
+        node, size, root, fp = node[order], size[order], root[order], fp[order]
+        a, b = trie_links(fp, np.array([0]), np.array([len(fp)]), 0, BUDGET, root)
+        fit = np.abs(size[a] - size[b]) <= 1
+        a, b = node[a[fit]], node[b[fit]]
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    return dealt.groupBy("token", "p", "q").applyInArrow(walk, "a long, b long").distinct()
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose whole sets are alike; texts travel, as they are smaller than their sets."""
     spark = texts.sparkSession
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    keys = stable(nodes.groupBy("node").agg(F.min("key").alias("key")).join(ends, "node"))
-    bit = F.pmod(F.col("key"), F.lit(MAP))
-    words = keys.groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("bits")).collect()
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).select(F.pmod("node", F.lit(MAP)).alias("bit"))
+    words = ends.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))).alias("bits"))
     field = np.zeros(MAP // 64, np.int64)
-    for r in words:
+    for r in words.collect():  # at most MAP / 64 rows
         field[r["at"]] = r["bits"]
     shared = spark.sparkContext.broadcast(np.unpackbits(field.view(np.uint8), bitorder="little").view(bool))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            batch = whole.filter(pa.array(shared.value[whole.column(0).to_numpy() % MAP]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], names=["key", "packed"])
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = np.array([node_of(shingle_set(t.as_py())) for t in batch.column(0)], np.int64)
+            hit = shared.value[node % MAP]
+            yield pa.RecordBatch.from_arrays([pa.array(node[hit]), batch.column(0).filter(pa.array(hit))], names=["node", "text"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, np.empty(0, np.uint64)
         for batch in batches:
-            read = lambda x: np.frombuffer(x.as_py(), np.uint64)
-            yield batch.filter(pa.array([alike(read(x), read(y)) for x, y in zip(batch.column(2), batch.column(3))], pa.bool_())).select(["a", "b"])
+            same = []
+            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
+                if a != last:
+                    last, held = a, shingle_set(x.as_py())
+                same.append(alike(held, shingle_set(y.as_py())))
+            yield batch.filter(pa.array(same, pa.bool_())).select(["a", "b"])
 
-    found = texts.select("key", "text").mapInArrow(sets, "key long, packed binary")
-    one = stable(found.join(keys, "key").dropDuplicates(["node"]).select("node", "packed"))
-    both = pairs.join(one.select(F.col("node").alias("a"), F.col("packed").alias("pa")), "a").join(one.select(F.col("node").alias("b"), F.col("packed").alias("pb")), "b")
-    return stable(both.select("a", "b", "pa", "pb").mapInArrow(compare, "a long, b long"))
+    one = texts.select("text").mapInArrow(pick, "node long, text string").dropDuplicates(["node"])
+    both = pairs.join(one.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(one.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    return stable(both.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long"))
 
 
-def near_copies(docs: DataFrame, *, group: int = GROUP) -> DataFrame:
-    """One row per document: doc_id and component_id, the smallest doc_id reachable by steps of similarity 0.8 or more.
+def near_copies(docs: DataFrame, *, group: int = GROUP, large: int = LARGE) -> DataFrame:
+    """One row per document: doc_id, component_id (the smallest doc_id reachable by steps of similarity 0.8 or more),
+    kept (true for one document of each component) and the row's key (``common.keyed``).
 
-    Null and empty texts are alike. Rows that repeat a doc_id are separate rows; a null doc_id names no component.
+    Kept is the document of the smallest doc_id; null ids come last, rows of one id are ordered by their keys, and rows
+    equal in all columns share their answer. Null and empty texts are alike. A component without ids has a null one. An
+    empty table gives no rows; further columns only count in the key.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("text").cast("string").alias("text"))
+    texts = keyed(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), *KEY, F.col("text").cast("string").alias("text"))
     nodes = stable(_nodes(texts, _levels(texts)))
     met = stable(_met(nodes, group))
-    links = _confirmed(stable(met.where("b is not null").select("a", "b").distinct()), nodes, texts)
+    links = _confirmed(stable(met.where("b is not null").select("a", "b").distinct()), texts)
     roots = components(links)
-    large = met.where("b is null")
-    if not large.isEmpty():
-        named = large.join(roots, large.a == roots.node, "left").select("token", "a", "size", F.coalesce("root", "a").alias("root"))
-
-        def across(one: pa.Table) -> pa.Table:
-            a, size, root = (one.column(c).to_numpy() for c in ("a", "size", "root"))
-            found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
-            for i in range(len(a)) if (root != root[0]).any() else ():
-                other = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & _fitting(size, np.array([i]), np.arange(i + 1, len(a))))
-                found.append((np.minimum(a[i], a[other]), np.maximum(a[i], a[other])))
-            x, y = (np.concatenate(x) for x in zip(*found))
-            return pa.table({"a": pa.array(x), "b": pa.array(y)})
-
-        more = stable(named.groupBy("token").applyInArrow(across, "a long, b long").distinct())
-        links = links.unionByName(_confirmed(more, nodes, texts))
+    members = met.where("b is null").select("token", "a", "fp", "size")
+    more = stable(_across(members, roots, large))
+    if not more.isEmpty():
+        links = links.unionByName(_confirmed(more, texts))
         roots = components(links)
-    lows = nodes.groupBy("node").agg(F.min("doc_id").alias("_low")).join(roots, "node", "left").select("node", "_low", F.coalesce("root", "node").alias("_root"))
-    lowest = lows.groupBy("_root").agg(F.min("_low").alias("component_id"))
-    return nodes.select("doc_id", "node").join(lows.join(lowest, "_root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *KEY)
+    lows = nodes.groupBy("node").agg(F.min(place).alias("low")).join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+    lowest = lows.groupBy("root").agg(F.min("low").alias("best"))
+    named = lows.join(lowest, "root").select("node", "best")
+    return nodes.select("doc_id", "node", *KEY).join(named, "node").select("doc_id", F.col("best.doc_id").alias("component_id"), ((F.col("k1") == F.col("best.k1")) & (F.col("k2") == F.col("best.k2"))).alias("kept"), *KEY)

@@ -44,7 +44,10 @@ def test_exact_dedup_edges(spark):
     rows = docs(spark, ["a", "a"]).withColumn("doc_id", F.lit(None).cast("long"))
     assert {(r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(rows).collect()} == {(None, 2)}
     twice = docs(spark, ["a"]).unionByName(docs(spark, ["a"]))
-    assert {(r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(twice).collect()} == {(0, 2, True)}
+    found = exact_dedup.exact_dedup(twice).collect()
+    assert sorted((r.keep_id, r.group_size, r.kept) for r in found) == [(0, 2, False), (0, 2, True)]
+    spaced = docs(spark, ["a b", "ab"]).withColumn("doc_id", F.lit(1).cast("long"))
+    assert sorted((r.group_size, r.kept) for r in exact_dedup.exact_dedup(spaced).collect()) == [(2, False), (2, True)]
 
 
 def brute_simhash(text):
@@ -163,3 +166,22 @@ def test_mixing_edges(spark):
     assert mixing.taken_words(docs(spark, [])).count() == 0
     only = mixing.taken_words(docs(spark, ["", None])).collect()
     assert {(r.size, r.taken) for r in only} == {(0, 0)}
+
+
+def test_mixing_counts_rows_that_share_an_id_apart(spark):
+    rows = docs(spark, ["w " * 10, "w " * 30, "v " * 10, "v " * 10, "x " * 10, "x " * 10]).withColumn("doc_id", F.when(F.col("doc_id") < 2, 7).when(F.col("doc_id") < 4, F.lit(None)).otherwise(9).cast("long"))
+    found = sorted(((r.doc_id or 0), r.size, r.taken) for r in mixing.taken_words(rows, block=8).collect())
+    assert [x[:2] for x in found] == [(0, 10), (0, 10), (7, 10), (7, 30), (9, 10), (9, 10)]
+    assert sum(x[2] for x in found) == 120 and all(size <= taken <= 2 * size for _, size, taken in found)
+
+
+def test_targets_of_many_sources(spark):
+    """More sources than partitions, so that places and sums come from two levels."""
+    dice = random.Random(11)
+    sizes = {f"host{i}": dice.choice([0, 1, 7, 50, 5000]) for i in range(300)} | {None: 40}
+    sized = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    found = {r.source: r for r in mixing.source_targets(sized).collect()}
+    expected = fill(sizes)
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    assert [found[s]._no for s in order] == list(range(len(order)))
+    assert all(found[s].target == pytest.approx(expected[s]) for s in order)

@@ -61,6 +61,33 @@ def test_stages_take_odd_rows_and_none(spark, k):
         assert any(r.doc_id is None for r in rows) and all(r.n_chars == len(r.text) for r in rows)
 
 
+CLASHES = ["pass", "_words", "words", "_id", "_mid", "_lang", "kept", "log_ppl", "threshold", "_sha", "row", "k1", "k2", "node", "_row", "n", "a.b"]
+
+
+@pytest.mark.parametrize("k", range(4))
+def test_stages_keep_clashing_columns_and_rows_that_share_an_id(spark, k):
+    """No text is lost with another one's id, and further columns come through unchanged."""
+    name, stage = corpus_pipeline.STAGES[k]
+    rng = random.Random(3)
+    line = lambda: " ".join(rng.choice(["the", "house", "and", "river", "of", "small", "light", "garden"]) for _ in range(40))
+    one, two, three = line(), line(), line()
+    rows = [(1, one), (5, one), (5, two), (None, one), (None, one.replace(" ", "  ", 1)), (None, three), (7, three + " end"), (7, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for c in CLASHES:
+        docs = docs.withColumn(c, F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    out = stage(spark, docs, FOLDER)
+    assert out.columns == docs.columns
+    found = out.collect()
+    assert all(r[c] == c + ("none" if r.doc_id is None else str(r.doc_id)) for r in found for c in CLASHES)
+    got = sorted((r.doc_id or 0, r.text or "") for r in found)
+    if name == "exact dedup":
+        assert got == sorted([(0, one.replace(" ", "  ", 1)), (5, two), (0, three), (7, three + " end"), (7, "")])
+    if name == "SimHash near-dedup":
+        assert got == sorted([(1, one), (5, two), (7, three + " end"), (7, "")])
+    if name == "source mixing":
+        assert sum(len(t.split()) for _, t in got) == int(1.5 * sum(len((t or "").split()) for _, t in rows))
+
+
 def test_repeated_rows_leave_one(spark):
     docs = odd_documents(spark).where("doc_id = 1")
     assert corpus_pipeline.exact_copies(spark, docs, FOLDER).count() == 1
@@ -81,8 +108,8 @@ def brute_components(texts):
     return label
 
 
-@pytest.mark.parametrize("group", [32, 4])
-def test_near_copies_against_brute_force(spark, group):
+@pytest.mark.parametrize("group, large", [(8, 1 << 15), (2, 1 << 15), (2, 5)])
+def test_near_copies_against_brute_force(spark, group, large):
     dice = random.Random(5)
     fresh = lambda n: [f"w{dice.randrange(5000)}" for _ in range(n)]
     common = fresh(60)
@@ -96,7 +123,7 @@ def test_near_copies_against_brute_force(spark, group):
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     expected = brute_components(texts)
     assert len(set(expected)) < len(texts) - 10
-    found = {r.doc_id: r.component_id for r in similar.near_copies(docs, group=group).collect()}
+    found = {r.doc_id: r.component_id for r in similar.near_copies(docs, group=group, large=large).collect()}
     assert [found[i] for i in range(len(texts))] == expected
-    if group == 32:
+    if group == 8:
         assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, FOLDER).collect()) == sorted(set(expected))
