@@ -1,7 +1,9 @@
 """A corpus pipeline: quality classifier, exact dedup, SimHash near-dedup, source mixing, best-fit packing.
 
-Every stage but the last returns the columns of ``documents``; each is written as Parquet in the shared checkpoint
-folder and read again as the next one's input.
+Every stage but the last returns the columns of ``documents``, further ones included, whatever their names; each is
+written as Parquet in the shared checkpoint folder and read again as the next one's input. Stages tell rows apart by a
+hash of the whole row, so rows that repeat or lack a doc_id are documents of their own, and of rows equal in all columns
+one stays. Null texts count as empty, and an empty table passes every stage as an empty table.
 """
 
 from __future__ import annotations
@@ -12,47 +14,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowatlas.llm import exact_dedup, mixing, packing, quality, similar
-from flowatlas.llm.common import shared_folder, stable, table
+from flowatlas.llm.common import keyed, only, shared_folder, stable, table
 from flowatlas.llm.queries import tokenizer_path
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity is within their language's threshold."""
-    return quality.classify(docs, table(spark, sf_dir, "labels")).where("kept").select(docs.columns)
+    """Documents whose perplexity is within their language's threshold.
+
+    A null language is one of its own; documents without text go; rows that repeat are judged each.
+    """
+    return quality.good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    found = stable(exact_dedup.exact_dedup(docs).select("doc_id", "kept"))
-    rest = docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti")
-    if not found.where("kept").groupBy("doc_id").count().where("count > 1").isEmpty():  # rows that repeat a document
-        text = exact_dedup.squeezed(F.coalesce("text", F.lit("")))
-        rest = rest.withColumn("_sha", F.sha2(text, 256)).dropDuplicates(["doc_id", "_sha"])
-    return rest.select(docs.columns)
+    """One document of each group of texts that are equal without white space: the longest, then that of the smallest doc_id.
+
+    Null and empty texts are one group; null ids lose ties. Rows of one id with different texts all stay.
+    """
+    kept = stable(exact_dedup.decisions(docs).where("kept").select("k1", "k2"))
+    return only(keyed(docs), kept)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each component of texts with similarity 0.8 or more by five-word shingles.
+    """One document, that of the smallest doc_id, of each group linked by five-word similarities of 0.8 or more.
 
-    All such pairs are linked, also those whose SimHash fingerprints are far apart.
+    Links come from the walk of the fingerprints' tries and are confirmed by the whole shingle sets. Null and empty
+    texts are one group; null ids come last, and rows that tie in doc_id are ordered by their hashes.
     """
-    dropped = similar.near_copies(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    kept = stable(similar.near_copies(docs).where("kept").select("k1", "k2").distinct())
+    return only(keyed(docs), kept)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture: a row for each pass over a document, cut to the words that the pass takes."""
-    mixture, _ = mixing.mix(docs)
-    passes = mixture.groupBy("doc_id", "pass").agg(F.sum("n_words").alias("_words"))
-    known = docs.withColumnRenamed("doc_id", "_id").join(passes, F.col("_id").eqNullSafe(F.col("doc_id")))
-    # whole words from the front: within a pass a document's stretches follow each other
-    split = F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.greatest(F.col("_words"), F.lit(1)).cast("int"))
-    cut = F.when(F.col("_words") >= mixing.word_count(F.coalesce("text", F.lit(""))), F.col("text")).otherwise(F.concat_ws("", split))
-    return known.withColumn("text", cut).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    """The mixture: a row for each pass over a document, cut to the words that the pass takes; n_chars follows the cut.
+
+    Null and empty texts have no words and are never drawn. A null source is a source of its own.
+    """
+    out = mixing.mixed_documents(docs)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequences."""
+    """The pieces of all documents with their sequences. Null and empty texts are just the end token."""
     return packing.pack_documents(docs, tokenizer_path())
 
 
@@ -63,6 +66,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of ``documents`` after all stages, read from what the last one wrote.
+
+    The stages' folders lie in the shared checkpoint folder and go when that is cleared.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
