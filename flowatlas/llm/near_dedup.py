@@ -13,7 +13,7 @@ Components come from alternating star contractions on checkpointed links.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +26,8 @@ from flowatlas.llm.common import stable
 SEED, SHINGLE, BUDGET, LARGE = 42, 3, 2, 1 << 15
 #: Left rotations that put a block on top, and the blocks' widths.
 BLOCKS = ((0, 22), (22, 21), (43, 21))
-#: Node pairs walked at once; fingerprints per shard and block, on average.
-FRONTIER, SHARD = 1 << 19, 1 << 15
+#: Node pairs walked at once; fingerprints per shard and block, on average; value pairs below which two nodes are compared.
+FRONTIER, SHARD, FEW = 1 << 19, 1 << 15, 64
 
 
 def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
@@ -72,13 +72,31 @@ def turned(fps: np.ndarray, by: int) -> np.ndarray:
     return fps if not by else (fps << np.uint64(by)) | (fps >> np.uint64(64 - by))
 
 
-def trie_links(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, top: int, budget: int = BUDGET, labels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def trie_links(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, top: int, budget: int = BUDGET, labels: np.ndarray | None = None, also: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs within ``budget`` bits; each range [start, end) of ``values`` is sorted and shares ``top`` bits.
 
     A trie node is a range of the sorted values; the walk keeps pairs of nodes at one depth with their differing bits.
     With ``labels``, only pairs of different labels are wanted, and node pairs that hold one label alone are pruned too.
+    ``also(a, b)`` says which of the pairs found are kept, as they are found.
     """
     found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def compare(al, ah, bl, bh):
+        """Every index of one range with every index of the other, range pair by range pair."""
+        for k in range(0, len(al), 1 << 15):
+            low, other, wide = al[k : k + (1 << 15)], bl[k : k + (1 << 15)], (bh - bl)[k : k + (1 << 15)]
+            times = (ah - al)[k : k + (1 << 15)] * wide
+            of = np.repeat(np.arange(len(low)), times)
+            at = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
+            a, b = low[of] + at // wide[of], other[of] + at % wide[of]
+            near = np.bitwise_count(values[a] ^ values[b]) <= budget
+            near &= np.where((low == other)[of], a < b, True) if labels is None else np.where((low == other)[of], a < b, True) & (labels[a] != labels[b])
+            a, b = a[near], b[near]
+            if also is not None:
+                near = also(a, b)
+                a, b = a[near], b[near]
+            found.append((a, b))
+
     changes = None if labels is None else np.concatenate(([0], np.cumsum(labels[1:] != labels[:-1])))
 
     def wanted(al, ah, bl, bh):
@@ -97,22 +115,12 @@ def trie_links(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, top: in
             stack += [(depth, tuple(x[:half] for x in pairs)), (depth, tuple(x[half:] for x in pairs))]
             continue
         al, ah, bl, bh, off = pairs
-        single = (ah - al == 1) & (bh - bl == 1)
-        if single.any():  # both paths have no more forks: compare their rest at once
-            a, b = al[single], bl[single]
-            near = (a != b) & (np.bitwise_count(values[a] ^ values[b]) <= budget)
-            found.append((a[near], b[near]))
-            al, ah, bl, bh, off = (x[~single] for x in (al, ah, bl, bh, off))
+        few = (ah - al) * (bh - bl) <= (FEW if depth < 64 else len(values) ** 2)
+        if few.any():  # few forks are left: compare what is there at once
+            compare(al[few], ah[few], bl[few], bh[few])
+            al, ah, bl, bh, off = (x[~few] for x in (al, ah, bl, bh, off))
         if not len(al):
             continue
-        if depth == 64:  # equal values at either end: every index of one with every index of the other
-            for a0, a1, b0, b1 in zip(al.tolist(), ah.tolist(), bl.tolist(), bh.tolist()):
-                a, b = (x.ravel() for x in np.meshgrid(np.arange(a0, a1), np.arange(b0, b1)))
-                there = (a < b) if a0 == b0 else np.ones(len(a), bool)
-                if labels is not None:
-                    there &= labels[a] != labels[b]
-                found.append((a[there], b[there]))
-            continue
         if depth not in ones_at:
             ones_at[depth] = np.concatenate(([0], np.cumsum((values >> np.uint64(63 - depth)) & np.uint64(1), dtype=np.int64)))
         ones = ones_at[depth]

@@ -11,7 +11,9 @@ once in a million, so the budget prunes strangers and practically no link.
 
 Equal sets are one node. Up to ``GROUP`` nodes of a block are compared with each other. Of more, all are first compared
 with ``CENTRES`` of them; then the trie is walked once more for pairs of nodes that these links don't connect, so no pair
-is left out that could connect two components, and no links inside a component are listed.
+is left out that could connect two components, and no links inside a component are listed. What the second walk finds
+passes a parity sketch of the whole sets before any text is sent: the sketches of two sets differ in at most as many
+bits as the sets differ in shingles.
 """
 
 from __future__ import annotations
@@ -30,7 +32,9 @@ from flowatlas.llm.near_dedup import components, majority, shingle_hashes, trie_
 #: Words of a shingle; differing bits that are walked; nodes of a block compared with each other, and centres of more.
 WIDTH, BUDGET, GROUP, CENTRES = 5, 28, 8, 2
 #: Dealt shingles per shard, on average; nodes of a block that one task takes for its second walk.
-SHARD, LARGE = 1 << 20, 1 << 15
+SHARD, LARGE = 1 << 20, 1 << 12
+#: Bits of a set's parity sketch.
+SKETCH = 1024
 #: Hash buckets of the shingle counts, in so many slices.
 BUCKETS, SLICES = 1 << 20, 256
 #: Bits of the broadcast map of texts to be compared; it only saves shuffling others' texts.
@@ -54,9 +58,30 @@ def node_of(shingles: np.ndarray) -> int:
     return int(np.array([xxhash.xxh64_intdigest(shingles.tobytes(), 0)], np.uint64).view(np.int64)[0])
 
 
-def step_of(size: int) -> int:
-    """The size on a scale where sizes within a factor of 5/4 are at most one step apart; capped, which only lets more through."""
-    return int(min(255, np.floor(np.log(max(size, 1)) / np.log(1.25) + 1e-9)))
+def step_of(size: np.ndarray) -> np.ndarray:
+    """Sizes on a scale where those within a factor of 5/4 are at most one step apart."""
+    return np.floor(np.log(np.maximum(size, 1)) / np.log(1.25) + 1e-9).astype(np.uint8)
+
+
+def sketch_of(shingles: np.ndarray) -> bytes:
+    """Bit by bit whether an odd number of the set's shingles falls on the bit."""
+    at = (shingles * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(54)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=SKETCH) & 1).astype(bool)).tobytes()
+
+
+def may_be_alike(sketches: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets of n shingles can be alike, by their sketches (rows of 64-bit words): alike sets differ in at most a ninth
+    of both sizes together. That many different shingles leave a known mean of differing bits; six standard deviations
+    above it are allowed.
+    """
+    out = np.empty(len(a), bool)
+    for k in range(0, len(a), 1 << 16):
+        x, y = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
+        differ = np.bitwise_count(sketches[x] ^ sketches[y]).sum(1, dtype=np.int64)
+        most = (n[x] + n[y]) // 9
+        mean = SKETCH / 2 * -np.expm1(-2 * most / SKETCH)
+        out[k : k + (1 << 16)] = (differ <= most) & (differ <= mean + 6 * np.sqrt(mean) + 1)
+    return out
 
 
 def _levels(texts: DataFrame) -> np.ndarray:
@@ -82,12 +107,12 @@ def _levels(texts: DataFrame) -> np.ndarray:
 
 
 def _nodes(texts: DataFrame, levels: np.ndarray) -> DataFrame:
-    """One row per text: doc_id, its key, node (digest of the set), fingerprint, size and packed first shingles."""
+    """One row per text: doc_id, its key, node (digest of the set), fingerprint, n (size), sketch and packed first shingles."""
     shared = texts.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, fps, sizes, firsts = [], [], [], []
+            nodes, fps, sizes, firsts, sketches = [], [], [], [], []
             for text in batch.column(3):
                 s = shingle_set(text.as_py())
                 # by level, then by mixed hash; the hash alone decides who shares a bucket
@@ -95,16 +120,17 @@ def _nodes(texts: DataFrame, levels: np.ndarray) -> DataFrame:
                 first = len(s) - (4 * len(s) + 4) // 5 + 1
                 nodes.append(node_of(s))
                 fps.append(majority(s))
-                sizes.append(step_of(len(s)))
+                sizes.append(len(s))
+                sketches.append(sketch_of(s))
                 firsts.append(s[np.argpartition(rank, min(first, len(s)) - 1)[:first]].tobytes() if len(s) else b"")
-            arrays = [pa.array(nodes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(firsts, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *arrays], names=["doc_id", *KEY, "node", "fp", "size", "firsts"])
+            arrays = [pa.array(nodes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(firsts, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *arrays], names=["doc_id", *KEY, "node", "fp", "n", "sketch", "firsts"])
 
-    return texts.select("doc_id", *KEY, "text").mapInArrow(run, "doc_id long, k1 long, k2 long, node long, fp long, size int, firsts binary")
+    return texts.select("doc_id", *KEY, "text").mapInArrow(run, "doc_id long, k1 long, k2 long, node long, fp long, n int, sketch binary, firsts binary")
 
 
 def _met(nodes: DataFrame, group: int) -> DataFrame:
-    """(token, a, b, fp, size): pairs to compare (token null), and members a of larger blocks by their token (b null)."""
+    """(token, a, b): pairs to compare (token null), and members a of larger blocks by their token (b null)."""
     shards = max(8, -(-(nodes.agg(F.sum(F.octet_length("firsts"))).first()[0] or 0) // (8 * SHARD)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,8 +139,8 @@ def _met(nodes: DataFrame, group: int) -> DataFrame:
             times = [len(f) for f in firsts]
             rows = np.empty(sum(times), _ROW)
             rows["token"] = np.concatenate(firsts) if firsts else []
-            for name, column in (("node", 0), ("fp", 1), ("size", 2)):
-                rows[name] = np.repeat(batch.column(column).to_numpy().astype(rows.dtype[name]), times)
+            for name, column in (("node", batch.column(0).to_numpy()), ("fp", batch.column(1).to_numpy().view(np.uint64)), ("size", step_of(batch.column(2).to_numpy()))):
+                rows[name] = np.repeat(column, times)
             shard = (rows["token"] >> np.uint64(24)).astype(np.int64) % shards
             order = np.argsort(shard, kind="stable")
             cuts = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -149,37 +175,35 @@ def _met(nodes: DataFrame, group: int) -> DataFrame:
         a, b = rows["node"][a[fit]], rows["node"][b[fit]]
         a, b = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
         more = rows[np.concatenate(members)]
-        none = lambda n, t=pa.int64(): pa.nulls(n, t)
-        return pa.table({
-            "token": pa.concat_arrays([none(len(a)), pa.array(more["token"].view(np.int64))]), "a": pa.array(np.concatenate((a, more["node"]))), "b": pa.concat_arrays([pa.array(b), none(len(more))]),
-            "fp": pa.concat_arrays([none(len(a)), pa.array(more["fp"].view(np.int64))]), "size": pa.concat_arrays([none(len(a), pa.int32()), pa.array(more["size"].astype(np.int32))]),
-        })
+        none = lambda n: pa.nulls(n, pa.int64())
+        token, other = pa.concat_arrays([none(len(a)), pa.array(more["token"].view(np.int64))]), pa.concat_arrays([pa.array(b), none(len(more))])
+        return pa.table({"token": token, "a": pa.array(np.concatenate((a, more["node"]))), "b": other})
 
-    dealt = nodes.select("node", "fp", "size", "firsts").mapInArrow(deal, "shard long, packed binary")
-    return dealt.groupBy("shard").applyInArrow(meet, "token long, a long, b long, fp long, size int")
+    dealt = nodes.select("node", "fp", "n", "firsts").mapInArrow(deal, "shard long, packed binary")
+    return dealt.groupBy("shard").applyInArrow(meet, "token long, a long, b long")
 
 
-def _across(members: DataFrame, roots: DataFrame, large: int) -> DataFrame:
-    """(a, b): pairs of a block's members that are within the budget but in different components.
+def _across(members: DataFrame, nodes: DataFrame, roots: DataFrame, large: int) -> DataFrame:
+    """(a, b): pairs of a block's members (token, a) that may be alike but are in different components.
 
     Blocks of more than ``large`` members are cut into parts by node, and each two parts are walked in a task of their
     own, so no task holds more than two parts.
     """
-    named = members.join(roots, members.a == roots.node, "left").select("token", "a", "fp", "size", F.coalesce("root", "a").alias("root"))
-    blocks = named.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    parted = named.join(blocks.select("token", F.ceil(F.col("n") / large).cast("int").alias("parts")), "token").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
+    named = members.join(roots, members.a == roots.node, "left").select("token", "a", F.coalesce("root", "a").alias("root"))
+    blocks = named.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    parted = named.join(blocks.select("token", F.ceil(F.col("many") / large).cast("int").alias("parts")), "token").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
+    sets = nodes.select(F.col("node").alias("a"), "fp", "n", "sketch").dropDuplicates(["a"])
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = parted.withColumn("other", other).select("token", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "a", "fp", "size", "root")
+    dealt = parted.join(sets, "a").withColumn("other", other).select("token", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "a", "root", "fp", "n", "sketch")
 
     def walk(block: pa.Table) -> pa.Table:
-        node, size, root = (block.column(c).to_numpy() for c in ("a", "size", "root"))
+        node, root, n = (block.column(c).to_numpy() for c in ("a", "root", "n"))
         fp = block.column("fp").to_numpy().view(np.uint64)
+        sketches = np.frombuffer(b"".join(block.column("sketch").to_pylist()), np.uint64).reshape(len(fp), -1)
         order = np.lexsort((root, fp))
-        node, size, root, fp = node[order], size[order], root[order], fp[order]
-        a, b = trie_links(fp, np.array([0]), np.array([len(fp)]), 0, BUDGET, root)
-        fit = np.abs(size[a] - size[b]) <= 1
-        a, b = node[a[fit]], node[b[fit]]
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+        node, root, n, fp, sketches = node[order], root[order], n[order], fp[order], sketches[order]
+        a, b = trie_links(fp, np.array([0]), np.array([len(fp)]), 0, BUDGET, root, lambda a, b: may_be_alike(sketches, n, a, b))
+        return pa.table({"a": pa.array(np.minimum(node[a], node[b])), "b": pa.array(np.maximum(node[a], node[b]))})
 
     return dealt.groupBy("token", "p", "q").applyInArrow(walk, "a long, b long").distinct()
 
@@ -228,8 +252,7 @@ def near_copies(docs: DataFrame, *, group: int = GROUP, large: int = LARGE) -> D
     met = stable(_met(nodes, group))
     links = _confirmed(stable(met.where("b is not null").select("a", "b").distinct()), texts)
     roots = components(links)
-    members = met.where("b is null").select("token", "a", "fp", "size")
-    more = stable(_across(members, roots, large))
+    more = stable(_across(met.where("b is null").select("token", "a"), nodes, roots, large))
     if not more.isEmpty():
         links = links.unionByName(_confirmed(more, texts))
         roots = components(links)
