@@ -4,53 +4,52 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowatlas.functions import geo
 from flowatlas.sources.store import shared_checkpoint
 
 
+#: Metres in a degree of latitude.
+METRES = 111_195.0
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     """(node_lo, node_hi, length): the shortest of the parallel edges in either direction."""
     return edges.groupBy(F.least("origin", "destination").alias("node_lo"), F.greatest("origin", "destination").alias("node_hi")).agg(F.min("length").alias("length"))
 
 
-def nearest_nodes(points: DataFrame, nodes: DataFrame, *, cell_degrees: float = 0.005, rings: int = 8) -> DataFrame:
-    """``points`` (lon, lat and their own columns) with node_id of the nearest node by great-circle distance.
+def nearest_nodes(points: DataFrame, nodes: DataFrame, *, cell_degrees: float = 0.005) -> DataFrame:
+    """``points`` (lon, lat and their own columns) with node_id of the nearest node by great-circle distance; of equal ones the smallest.
 
-    Nodes are binned in a grid of degrees; a point looks at its bin and those around it, and points whose best node may
-    be farther than the ring they looked at look again in a ring twice as wide, at most ``rings`` times;
-    those still left are compared with every node.
+    Nodes are binned in a grid of degrees; a point looks at its bin and the eight around it. Points whose best node may
+    be farther than what lies outside look again in a grid twice as coarse, until the grid spans the globe; no point is
+    left out unless there is no node at all.
     """
     columns = points.columns
     todo = shared_checkpoint(points.withColumn("_p", F.monotonically_increasing_id()))
-    binned = nodes.select("node_id", F.col("lon").alias("_lon"), F.col("lat").alias("_lat"), F.floor(F.col("lon") / cell_degrees).alias("_x"), F.floor(F.col("lat") / cell_degrees).alias("_y"))
-    metre = 1 / 111_195.0
-    done, reach = None, 1
-    for _ in range(rings):
-        steps = F.sequence(F.lit(-reach), F.lit(reach))
-        probes = todo.withColumn("_x", F.explode(F.transform(steps, lambda i: F.floor(F.col("lon") / cell_degrees) + i))).withColumn("_y", F.explode(F.transform(steps, lambda i: F.floor(F.col("lat") / cell_degrees) + i)))
+    done, cell = None, cell_degrees
+    while True:
+        at = lambda c: F.floor(F.col(c) / cell)
+        binned = nodes.select("node_id", F.col("lon").alias("_lon"), F.col("lat").alias("_lat"), at("lon").alias("_x"), at("lat").alias("_y"))
+        around = lambda c: F.explode(F.array(at(c) - 1, at(c), at(c) + 1))
+        probes = todo.withColumn("_x", around("lon")).withColumn("_y", around("lat"))
         found = probes.join(binned, ["_x", "_y"]).withColumn("_d", geo.haversine(F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat")))
         best = found.groupBy("_p").agg(F.min(F.struct("_d", "node_id")).alias("_best"))
-        # what lies outside the ring is at least this far: the ring's narrower side (degrees of longitude shrink)
-        safe = reach * cell_degrees / metre * F.cos(F.radians(F.col("lat")))
+        # what lies outside is at least a bin away: degrees of longitude shrink towards the poles
+        safe = cell * METRES * F.cos(F.radians(F.least(F.abs("lat") + cell, F.lit(90.0))))
         joined = shared_checkpoint(todo.join(best, "_p", "left"))
-        sure = joined.where(F.col("_best._d") <= safe)
-        done = sure if done is None else done.unionByName(sure)
-        todo = joined.where(F.coalesce(F.col("_best._d") > safe, F.lit(True))).drop("_best")
-        if todo.isEmpty():
-            break
-        reach *= 2
-    else:
-        rest = todo.crossJoin(nodes.select("node_id", F.col("lon").alias("_lon"), F.col("lat").alias("_lat"))).withColumn("_d", geo.haversine(F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat")))
-        best = rest.groupBy("_p").agg(F.min(F.struct("_d", "node_id")).alias("_best"))
-        left = todo.join(best, "_p")
-        done = left if done is None else done.unionByName(left)
-    return done.select(*columns, F.col("_best.node_id").alias("node_id"))
+        sure = F.lit(True) if cell >= 360 else F.coalesce(F.col("_best._d") <= safe, F.lit(False))
+        ready = joined.where(sure & F.col("_best").isNotNull())
+        done = ready if done is None else done.unionByName(ready)
+        todo = joined.where(~sure).drop("_best")
+        if cell >= 360 or todo.isEmpty():
+            return done.select(*columns, F.col("_best.node_id").alias("node_id"))
+        cell *= 2
 
 
-def shortest_paths(pairs: DataFrame, edges: DataFrame, *, max_rounds: int | None = None, every: int = 5) -> DataFrame:
+def shortest_paths(pairs: DataFrame, edges: DataFrame, *, max_rounds: int | None = None) -> DataFrame:
     """(source, target, length, path): shortest paths by length on the undirected graph, path as an array of nodes.
 
     ``pairs`` has source and target. One search per source serves all its targets: each round, the nodes improved in
@@ -91,20 +90,22 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame, *, max_rounds: int | None
     return ends
 
 
-def match_legs(steps: DataFrame, nodes: DataFrame, edges: DataFrame, **options) -> DataFrame:
+def match_legs(steps: DataFrame, nodes: DataFrame, edges: DataFrame, *, matched: DataFrame | None = None, **options) -> DataFrame:
     """(leg_key, osm_nodes): the route of each leg through its step points, joints not repeated.
 
-    ``steps`` has leg_key, step, lon, lat: from, steps and to in order. Pairs of nodes shared by many legs are searched once.
+    ``steps`` has leg_key, step, lon, lat: from, steps and to in order. Pairs of nodes shared by many legs are searched
+    once. Legs of ``matched`` (leg_key, osm_nodes) are not searched again; their routes are returned as they are.
     """
-    from pyspark.sql import Window
-
+    if matched is not None:
+        steps = steps.join(matched.select("leg_key"), "leg_key", "left_anti")
     placed = shared_checkpoint(nearest_nodes(steps, nodes))
     order = Window.partitionBy("leg_key").orderBy("step")
     pairs = placed.withColumn("target", F.lead("node_id").over(order)).where("target is not null").select("leg_key", "step", F.col("node_id").alias("source"), "target")
     paths = shortest_paths(pairs.select("source", "target"), edges, **options)
     parts = pairs.join(paths, ["source", "target"]).groupBy("leg_key").agg(F.array_sort(F.collect_list(F.struct("step", "path"))).alias("_parts"))  # a leg's few steps
     whole = F.aggregate("_parts", F.array().cast("array<bigint>"), lambda route, p: F.concat(route, F.when(F.size(route) == 0, p["path"]).otherwise(F.slice(p["path"], F.lit(2), F.greatest(F.size(p["path"]) - 1, F.lit(0))))))
-    return parts.select("leg_key", whole.alias("osm_nodes"))
+    routes = parts.select("leg_key", whole.alias("osm_nodes"))
+    return routes if matched is None else routes.unionByName(matched.select("leg_key", "osm_nodes"))
 
 
 def edge_metadata(used: DataFrame, edges: DataFrame) -> DataFrame:

@@ -32,15 +32,21 @@ def weights_cdf(events: DataFrame, group: list[str], event: str, weight: str, *,
     return rows.select(*group, event, F.least("_down", F.lit(1.0)).alias("cum_lo"), F.when(F.col("_last"), 1.0).otherwise(F.least("_up", F.lit(1.0))).alias("cum_hi")).where("cum_hi > cum_lo")
 
 
-def weighted_choice(rows: DataFrame, cdf: DataFrame, group: list[str], u: Column) -> DataFrame:
+def weighted_choice(rows: DataFrame, cdf: DataFrame, group: list[str], u: Column, *, keep: bool = False) -> DataFrame:
     """``rows`` with the event whose interval holds ``u``: intervals are spread over slots, so it is an equi-join.
 
-    Rows whose group has no events drop out.
+    Rows whose group has no events drop out, or with ``keep`` have a null event.
     """
     slots = cdf.withColumn("_slot", F.explode(F.sequence(F.floor(F.col("cum_lo") * SLOTS).cast("int"), F.least(F.floor(F.col("cum_hi") * SLOTS), F.lit(SLOTS - 1)).cast("int"))))
     drawn = rows.withColumn("_u", u).withColumn("_slot", F.floor(F.col("_u") * SLOTS).cast("int"))
     hit = ((F.col("_u") > F.col("cum_lo")) | ((F.col("_u") == 0) & (F.col("cum_lo") == 0))) & (F.col("_u") <= F.col("cum_hi"))
-    return drawn.join(slots, [*group, "_slot"]).where(hit).drop("_u", "_slot", "cum_lo", "cum_hi")
+    if not keep:
+        return drawn.join(slots, [*group, "_slot"]).where(hit).drop("_u", "_slot", "cum_lo", "cum_hi")
+    named = slots.withColumnsRenamed({c: f"_of_{c}" for c in [*group, "_slot"]})
+    same = hit
+    for c in [*group, "_slot"]:
+        same = same & (F.col(c) == F.col(f"_of_{c}"))
+    return drawn.join(named, same, "left").drop("_u", "_slot", "cum_lo", "cum_hi", *[f"_of_{c}" for c in [*group, "_slot"]])
 
 
 def point_in_cell(cell: Column, key: Column, salts: tuple[int, int, int], seed: int) -> tuple[Column, Column]:
@@ -68,12 +74,13 @@ def attributes(commuters: DataFrame, shares: DataFrame, rates: DataFrame, types:
     """``commuters`` (vc_id, region) with age, employed and employment_type by the region's shares.
 
     ``shares`` (region, age, weight), ``rates`` (region, age, rate in percent), ``types`` (region, employment_type, weight).
-    Under 20 nobody is employed; employment_type is null for those who aren't.
+    Under 20 nobody is employed; employment_type is null for those who aren't. Nobody drops out: age and employment_type
+    are null where the region has no shares of them.
     """
-    aged = weighted_choice(commuters, weights_cdf(shares, ["region"], "age", "weight"), ["region"], uniform(F.col("vc_id"), Salt.AGE, seed))
+    aged = weighted_choice(commuters, weights_cdf(shares, ["region"], "age", "weight"), ["region"], uniform(F.col("vc_id"), Salt.AGE, seed), keep=True)
     employed = (F.col("age") != "under_20") & (uniform(F.col("vc_id"), Salt.EMPLOYED, seed) * 100 <= F.coalesce("rate", F.lit(0.0)))
-    working = aged.join(rates, ["region", "age"], "left").withColumn("employed", employed).drop("rate")
-    typed = weighted_choice(working, weights_cdf(types, ["region"], "employment_type", "weight"), ["region"], uniform(F.col("vc_id"), Salt.EMPLOYMENT, seed))
+    working = aged.join(rates, ["region", "age"], "left").withColumn("employed", F.coalesce(employed, F.lit(False))).drop("rate")
+    typed = weighted_choice(working, weights_cdf(types, ["region"], "employment_type", "weight"), ["region"], uniform(F.col("vc_id"), Salt.EMPLOYMENT, seed), keep=True)
     return typed.withColumn("employment_type", F.when(F.col("employed"), F.col("employment_type")))
 
 

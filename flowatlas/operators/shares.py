@@ -14,8 +14,10 @@ def selected_stats(selection: DataFrame, legs: DataFrame, *, inside: Column | No
     return trace_stats(points if inside is None else with_carry(points, inside))
 
 
-def simulation_stats(selection: DataFrame, legs: DataFrame, *, inside: Column | None = None) -> DataFrame:
-    """One row: measures, modal shares and transit share of all chosen options."""
+def simulation_stats(selection: DataFrame, legs: DataFrame, *, inside: Column | None = None, max_count: int | None = None) -> DataFrame:
+    """One row: measures, modal shares and transit share of all chosen options, or of the first ``max_count`` commuters'."""
+    if max_count is not None:
+        selection = first_commuters(selection, max_count)
     return transit_share(modal_shares(merge_stats(selected_stats(selection, legs, inside=inside))))
 
 

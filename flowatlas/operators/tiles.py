@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from flowatlas.functions import geo
+from flowatlas.sources.store import shared_checkpoint
 
 #: Area that a land-use point stands for, in square metres.
 POINT_AREA = 100.0
@@ -99,14 +100,15 @@ def area_in_cell(ring: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
 
 
 def tile_region(tiles: DataFrame, regions: DataFrame) -> DataFrame:
-    """(cell, region): the region with the largest area in the tile; with none, the first region by id.
+    """(cell, region): the region with the largest area in the tile, of equal ones the first by id; with none, the first region.
 
     ``regions`` has region and ring, a row per part; areas of a region's parts add up.
     """
-    touching = cover_with_border(regions.withColumn("_row", F.monotonically_increasing_id()), "_row").join(tiles, "cell", "left_semi")
-    parts = regions.withColumn("_row", F.monotonically_increasing_id())
+    parts = shared_checkpoint(regions.withColumn("_row", F.monotonically_increasing_id()))  # the numbers are fixed once written
+    touching = cover_with_border(parts, "_row").join(tiles, "cell", "left_semi")
     areas = touching.join(parts, "_row").withColumn("_a", area_in_cell("ring", geo.centre_x(F.col("cell")), geo.centre_y(F.col("cell"))))
-    best = areas.groupBy("cell", "region").agg(F.sum("_a").alias("_a")).where("_a > 0").groupBy("cell").agg(F.max_by("region", F.struct("_a", "region")).alias("region"))
+    summed = areas.groupBy("cell", "region").agg(F.sum("_a").alias("_a")).where("_a > 0")
+    best = summed.groupBy("cell").agg(F.min(F.struct((-F.col("_a")).alias("less"), "region"))["region"].alias("region"))
     first = regions.agg(F.min("region").alias("_first"))
     return tiles.select("cell").join(best, "cell", "left").join(F.broadcast(first)).select("cell", F.coalesce("region", "_first").alias("region"))
 
@@ -197,14 +199,16 @@ def place_summary(tiles: DataFrame) -> DataFrame:
     return grouped.select("place", city_of(F.col("place")).alias("city"), country_of(F.col("place")).alias("country"), "n_tiles", "regions")
 
 
-def flows(tiles: DataFrame, origins: DataFrame | None = None) -> DataFrame:
-    """(origin, destination, flow) for all pairs of tiles: workers, pupils and others by the destination's zone shares.
+def flows(tiles: DataFrame, origins: DataFrame | None = None, *, place: str = "place") -> DataFrame:
+    """(place, origin, destination, flow) for all pairs of a place's tiles: workers, pupils and others by the destination's shares.
 
-    ``tiles`` has cell, work, education, leisure, workers, pupils, others. The result is a full matrix by definition, so
-    its size is the square of the tiles of one place; shares are made once per destination.
+    ``tiles`` has the place, cell, work, education, leisure, workers, pupils, others. Tiles meet by an equi-join on their
+    place; each place's part is a full matrix by definition, so its size is the square of the place's tiles.
     """
-    totals = tiles.agg(*[F.sum(c).alias(f"_{c}") for c in ("work", "education", "leisure")])  # one row
-    ends = tiles.join(F.broadcast(totals)).select(F.col("cell").alias("destination"), *[F.coalesce(F.try_divide(F.col(c), F.col(f"_{c}")), F.lit(0.0)).alias(f"_s{c}") for c in ("work", "education", "leisure")])
-    starts = (tiles if origins is None else origins).select(F.col("cell").alias("origin"), "workers", "pupils", "others")
+    kinds = ("work", "education", "leisure")
+    totals = tiles.groupBy(place).agg(*[F.sum(c).alias(f"_{c}") for c in kinds])  # a row per place
+    shares = [F.coalesce(F.try_divide(F.col(c), F.col(f"_{c}")), F.lit(0.0)).alias(f"_s{c}") for c in kinds]
+    ends = tiles.join(totals, place).select(place, F.col("cell").alias("destination"), *shares)
+    starts = (tiles if origins is None else origins).select(place, F.col("cell").alias("origin"), "workers", "pupils", "others")
     flow = F.col("_swork") * F.col("workers") + F.col("_seducation") * F.col("pupils") + F.col("_sleisure") * F.col("others")
-    return starts.crossJoin(ends).select("origin", "destination", flow.alias("flow"))
+    return starts.join(ends, place).select(place, "origin", "destination", flow.alias("flow"))

@@ -17,7 +17,6 @@ RING = [(5.42, 51.42), (5.53, 51.43), (5.50, 51.46), (5.54, 51.49), (5.45, 51.50
 #: Target dates of link queries, vehicle factors of delay distributions, place of the flow matrix.
 TARGETS = ("1994-01-15", "1995-06-30", "1996-12-31", "1997-07-01", "1998-03-15")
 VEHICLE_FACTORS = (0.5, 1.0, 2.0)
-NEST = 50
 
 
 def ctes(engine: str) -> dict[str, str]:

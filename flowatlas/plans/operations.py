@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from flowatlas.functions.polyline import decode_polyline
 from flowatlas.functions.predicates import is_number
 from flowatlas.operators import congestion, delays, feeds, matching, traces
-from flowatlas.plans.fixtures import NEST, TARGETS, Tables
+from flowatlas.plans.fixtures import TARGETS, Tables
 from flowatlas.plans.mobility import rounded
 from flowatlas.sources import journeys, store
 
@@ -99,12 +99,12 @@ def route_matching(t: Tables) -> DataFrame:
     return matched.select("leg_key", F.array_join(F.transform("osm_nodes", lambda n: n.cast("string")), ",").alias("osm_nodes"))
 
 
-@query(f"""WITH {STEPS}, {NEAR}, hops AS (SELECT leg_key, node_id AS source, lead(node_id) OVER (PARTITION BY leg_key ORDER BY step) AS target FROM steps s JOIN near n ON s.lon = n.lon AND s.lat = n.lat), wanted AS (SELECT DISTINCT source, target FROM hops WHERE target IS NOT NULL AND source % 20 = 0)
+@query(f"""WITH {STEPS}, {NEAR}, hops AS (SELECT leg_key, node_id AS source, lead(node_id) OVER (PARTITION BY leg_key ORDER BY step) AS target FROM steps s JOIN near n ON s.lon = n.lon AND s.lat = n.lat), wanted AS (SELECT DISTINCT source, target FROM hops WHERE target IS NOT NULL)
 SELECT source, target FROM wanted""")
 def matching_pairs(t: Tables) -> DataFrame:
     placed = matching.nearest_nodes(_steps(t), t.graph_nodes)
     order = Window.partitionBy("leg_key").orderBy("step")
-    return placed.withColumn("target", F.lead("node_id").over(order)).where("target is not null and node_id % 20 = 0").select(F.col("node_id").alias("source"), "target").distinct()
+    return placed.withColumn("target", F.lead("node_id").over(order)).where("target is not null").select(F.col("node_id").alias("source"), "target").distinct()
 
 
 @query("SELECT least(a, b) AS node_lo, greatest(a, b) AS node_hi, min(len) AS length FROM (SELECT node AS a, after AS b, 50e0 + (node * 31 + after * 17) % 400 AS len FROM (SELECT node, lead(node) OVER (PARTITION BY option_id, leg_seq ORDER BY i) AS after FROM fx_route_nodes) p WHERE after IS NOT NULL) q GROUP BY 1, 2")
@@ -176,28 +176,28 @@ def backlog(t: Tables) -> DataFrame:
     return store.without_job(t.commuters, jobs, ["vc_id"]).select("vc_id", "age")
 
 
-@query(f"SELECT option_id, CAST(leg_seq AS INTEGER) AS leg_seq, CASE WHEN mode = 'gondola' THEN '' ELSE mode END AS mode, departure, arrival, operator, CAST(CASE WHEN pk % 5 = 0 THEN 2 ELSE 3 END AS INTEGER) AS n_stops FROM fx_legs WHERE option_id % {NEST} = 0")
+@query("SELECT option_id, CAST(leg_seq AS INTEGER) AS leg_seq, CASE WHEN mode = 'gondola' THEN '' ELSE mode END AS mode, departure, arrival, operator, CAST(CASE WHEN pk % 5 = 0 THEN 2 ELSE 3 END AS INTEGER) AS n_stops FROM fx_legs")
 def router_response(t: Tables) -> DataFrame:
-    """Responses made of a share of the options, as text, and read again."""
+    """Responses made of all options, as text, and read again."""
     ms = lambda c: (F.unix_millis(F.col(c).cast("timestamp")))
     names = F.create_map(*[F.lit(x) for kv in {"walking": "WALK", "car": "CAR", "bus": "BUS", "train": "RAIL", "bicycle": "BICYCLE", "gondola": "GONDOLA"}.items() for x in kv])
     place = lambda k: F.struct(F.concat(F.lit("p"), F.col("pk"), F.lit(f"-{k}")).alias("name"), F.lit(51.4).alias("lat"), F.lit(5.4).alias("lon"), ms("departure").alias("departureTime"), ms("arrival").alias("arrivalTime"))
     leg = F.struct("leg_seq", F.struct(names[F.col("mode")].alias("mode"), ms("departure").alias("startTime"), ms("arrival").alias("endTime"), F.struct(F.lit("a").alias("id"), F.col("operator").alias("name")).alias("agency"), place(0).alias("from"), place(9).alias("to"), F.when(F.col("pk") % 5 != 0, F.array(place(1))).alias("intermediatePlaces")).alias("leg"))
-    legs = t.legs.where(F.col("option_id") % NEST == 0).groupBy("option_id").agg(F.array_sort(F.collect_list(leg), lambda a, b: (a["leg_seq"] - b["leg_seq"]).cast("int")).alias("legs"))
+    legs = t.legs.groupBy("option_id").agg(F.array_sort(F.collect_list(leg), lambda a, b: (a["leg_seq"] - b["leg_seq"]).cast("int")).alias("legs"))
     itinerary = F.struct(F.transform("legs", lambda x: x["leg"]).alias("legs"))
     docs = legs.select(F.col("option_id").alias("response_id"), F.to_json(F.struct(F.struct(F.struct(F.array(itinerary).alias("itineraries")).alias("plan")).alias("data"))).alias("response"))
     read = journeys.read_router(docs)
     return read.select(F.col("response_id").alias("option_id"), "leg_seq", "mode", F.col("departure").cast("timestamp_ntz").alias("departure"), F.col("arrival").cast("timestamp_ntz").alias("arrival"), "operator", F.size("stopovers").alias("n_stops"))
 
 
-@query(f"SELECT option_id, CAST(leg_seq AS INTEGER) AS leg_seq, mode, departure, arrival, departure_delay, operator, CASE WHEN sk % 19 = 0 THEN 'S' || CAST(sk AS VARCHAR) ELSE 'origin' END AS origin_name, CASE WHEN sk % 19 <> 0 THEN round(5.40e0 + ((pk * 7 + sk * 3) % 160) * 0.001e0, 6) END AS lon FROM fx_legs WHERE option_id % {NEST} = 0")
+@query("SELECT option_id, CAST(leg_seq AS INTEGER) AS leg_seq, mode, departure, arrival, departure_delay, operator, CASE WHEN sk % 19 = 0 THEN 'S' || CAST(sk AS VARCHAR) ELSE 'origin' END AS origin_name, CASE WHEN sk % 19 <> 0 THEN round(5.40e0 + ((pk * 7 + sk * 3) % 160) * 0.001e0, 6) END AS lon FROM fx_legs")
 def journey_json(t: Tables) -> DataFrame:
-    """Journeys made of a share of the options, as text with bare-string places among them, and read again."""
+    """Journeys made of all options, as text with bare-string places among them, and read again."""
     spot = F.to_json(F.struct(F.lit("location").alias("type"), F.lit("origin").alias("name"), F.struct((5.40 + ((F.col("pk") * 7 + F.col("sk") * 3) % 160) * 0.001).alias("longitude"), F.lit(51.4).alias("latitude")).alias("location")))
     origin = F.when(F.col("sk") % 19 == 0, F.concat(F.lit("S"), F.col("sk"))).otherwise(spot)
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     leg = F.struct("leg_seq", F.struct(origin.alias("origin"), iso("departure").alias("departure"), iso("arrival").alias("arrival"), F.col("departure_delay").alias("departureDelay"), "mode", F.to_json(F.struct(F.col("operator").alias("name"))).alias("operator")).alias("leg"))
-    legs = t.legs.where(F.col("option_id") % NEST == 0).groupBy("option_id").agg(F.array_sort(F.collect_list(leg), lambda a, b: (a["leg_seq"] - b["leg_seq"]).cast("int")).alias("legs"))
+    legs = t.legs.groupBy("option_id").agg(F.array_sort(F.collect_list(leg), lambda a, b: (a["leg_seq"] - b["leg_seq"]).cast("int")).alias("legs"))
     docs = legs.select("option_id", F.to_json(F.struct(F.transform("legs", lambda x: x["leg"]).alias("legs"))).alias("journey"))
     read = journeys.read_journeys(docs)
     return rounded(read.select("option_id", "leg_seq", "mode", "departure", "arrival", "departure_delay", "operator", "origin_name", F.col("origin.lon").alias("lon")))
@@ -221,12 +221,12 @@ LINES = {"_p~iF~ps|U_ulLnnqC_mqNvxq`@": [(-120.2, 38.5), (-120.95, 40.7), (-126.
 def _line_sql() -> str:
     (three, one) = LINES.values()
     points = " UNION ALL ".join([f"SELECT *, {i} AS i, 3 AS n, {x}e0 AS lon, {y}e0 AS lat FROM l WHERE pk % 2 = 0" for i, (x, y) in enumerate(three)] + [f"SELECT *, 0 AS i, 1 AS n, {one[0][0]}e0 AS lon, {one[0][1]}e0 AS lat FROM l WHERE pk % 2 = 1"])
-    return f"""WITH l AS (SELECT *, departure + to_seconds(coalesce(departure_delay, 0)) AS b, arrival + to_seconds(coalesce(arrival_delay, 0)) AS e FROM fx_legs WHERE pk % 3 = 1), p AS ({points})
+    return f"""WITH l AS (SELECT *, departure + to_seconds(coalesce(departure_delay, 0)) AS b, arrival + to_seconds(coalesce(arrival_delay, 0)) AS e FROM fx_legs), p AS ({points})
 SELECT option_id, CAST(row_number() OVER (PARTITION BY option_id ORDER BY leg_seq, i) - 1 AS INTEGER) AS seq, round(lon, 5) AS lon, round(lat, 5) AS lat, b + to_seconds(CAST(floor(date_diff('second', b, e) * i / greatest(n - 1, 1)) AS BIGINT)) AS ts, i = 0 AS is_leg_start FROM p"""
 
 
 @query(_line_sql())
 def polyline_trace(t: Tables) -> DataFrame:
     line = F.when(F.col("pk") % 2 == 0, list(LINES)[0]).otherwise(list(LINES)[1])
-    legs = t.nested_legs().where("pk % 3 = 1").withColumn("polyline", decode_polyline(line))
+    legs = t.nested_legs().withColumn("polyline", decode_polyline(line))
     return rounded(traces.trace_points(legs).drop("mode"), 5)

@@ -219,14 +219,14 @@ def parking_weight(t: Tables) -> DataFrame:
     return rounded(tiles.parking_weights(tiles.add_parking(t.tiles.where("population is not null"))))
 
 
-PLACE = "cell % 25 = 7"
-
-
-@query(f"WITH p AS (SELECT cell, work_office + work_social AS work, education, leisure, population * 0.5e0 AS workers, population * 0.2e0 AS pupils, population * 0.3e0 AS others FROM fx_tiles WHERE population IS NOT NULL AND {PLACE}), e AS (SELECT cell AS destination, work / sum(work) OVER () AS a, education / sum(education) OVER () AS b, leisure / sum(leisure) OVER () AS c FROM p) SELECT p.cell AS origin, destination, round(a * workers + b * pupils + c * others, 4) AS flow FROM p CROSS JOIN e")
+@query("""WITH p AS (SELECT region, cell, work_office + work_social AS work, education, leisure, population * 0.5e0 AS workers, population * 0.2e0 AS pupils, population * 0.3e0 AS others FROM fx_tiles WHERE population IS NOT NULL),
+e AS (SELECT region, cell AS destination, work / sum(work) OVER w AS a, education / sum(education) OVER w AS b, leisure / sum(leisure) OVER w AS c FROM p WINDOW w AS (PARTITION BY region))
+SELECT p.region, p.cell AS origin, destination, round(a * workers + b * pupils + c * others, 4) AS flow FROM p JOIN e ON p.region = e.region""")
 def od_matrix(t: Tables) -> DataFrame:
-    """The matrix of one place: the tiles of one of the 25 regions."""
-    p = t.tiles.where("population is not null").where(PLACE).select("cell", (F.col("work_office") + F.col("work_social")).alias("work"), "education", "leisure", (F.col("population") * 0.5).alias("workers"), (F.col("population") * 0.2).alias("pupils"), (F.col("population") * 0.3).alias("others"))
-    return rounded(tiles.flows(p), 4)
+    """The matrix of every region's tiles."""
+    ends = [F.col("region"), F.col("cell"), (F.col("work_office") + F.col("work_social")).alias("work"), F.col("education"), F.col("leisure")]
+    people = [(F.col("population") * share).alias(name) for name, share in (("workers", 0.5), ("pupils", 0.2), ("others", 0.3))]
+    return rounded(tiles.flows(t.tiles.where("population is not null").select(*ends, *people), place="region"), 4)
 
 
 @query("SELECT cell, round(population / sum(population) OVER (), 9) AS population_share FROM fx_tiles")

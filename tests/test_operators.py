@@ -227,8 +227,34 @@ def test_matching_leaves_nothing_out_silently(spark):
         matching.shortest_paths(pairs, edges, max_rounds=3).collect()
     assert matching.shortest_paths.__kwdefaults__["max_rounds"] is None
     nodes = spark.createDataFrame([(1, 5.0, 51.0), (2, 9.0, 51.0)], "node_id long, lon double, lat double")
-    far = spark.createDataFrame([(0, 6.0, 52.0), (1, 5.0, 51.0)], "k long, lon double, lat double")
-    assert {r.k: r.node_id for r in matching.nearest_nodes(far, nodes, rings=1).collect()} == {0: 1, 1: 1}
+    far = spark.createDataFrame([(0, 6.0, 52.0), (1, 5.0, 51.0), (2, -160.0, -80.0), (3, 8.0, 40.0)], "k long, lon double, lat double")
+    assert {r.k: r.node_id for r in matching.nearest_nodes(far, nodes).collect()} == {0: 1, 1: 1, 2: 1, 3: 2}
+    assert matching.nearest_nodes(far, nodes.limit(0)).count() == 0
+
+
+def test_long_paths_and_matched_legs(spark):
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(30)], "node_lo long, node_hi long, length double")
+    nodes = spark.createDataFrame([(i, 5.0 + i / 100, 51.0) for i in range(31)], "node_id long, lon double, lat double")
+    steps = spark.createDataFrame([(1, 0, 5.0, 51.0), (1, 1, 5.3, 51.0), (2, 0, 5.1, 51.0), (2, 1, 5.2, 51.0)], "leg_key long, step int, lon double, lat double")
+    known = spark.createDataFrame([(2, [7, 8])], "leg_key long, osm_nodes array<bigint>")
+    found = {r.leg_key: r.osm_nodes for r in matching.match_legs(steps, nodes, edges, matched=known).collect()}
+    assert found == {1: list(range(31)), 2: [7, 8]}
+
+
+def test_nobody_drops_out_of_attributes(spark):
+    commuters = spark.createDataFrame([(1, "a"), (2, "none")], "vc_id long, region string")
+    shares = spark.createDataFrame([("a", "20_64", 1.0)], "region string, age string, weight double")
+    rates = spark.createDataFrame([("a", "20_64", 0.0)], "region string, age string, rate double")
+    types = spark.createDataFrame([], "region string, employment_type string, weight double")
+    found = {r.vc_id: (r.age, r.employed, r.employment_type) for r in sampling.attributes(commuters, shares, rates, types).collect()}
+    assert found == {1: ("20_64", False, None), 2: (None, False, None)}
+
+
+def test_flows_stay_inside_their_place(spark):
+    rows = [("a", 1, 1.0, 1.0, 1.0, 10.0, 0.0, 0.0), ("a", 2, 3.0, 1.0, 1.0, 20.0, 0.0, 0.0), ("b", 3, 0.0, 0.0, 0.0, 5.0, 0.0, 0.0)]
+    tiles_ = spark.createDataFrame(rows, "place string, cell long, work double, education double, leisure double, workers double, pupils double, others double")
+    found = {(r.origin, r.destination): r.flow for r in tiles.flows(tiles_).collect()}
+    assert found == {(1, 1): 2.5, (1, 2): 7.5, (2, 1): 5.0, (2, 2): 15.0, (3, 3): 0.0}
 
 
 def test_polyline_round_trip():
