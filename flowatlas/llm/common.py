@@ -5,27 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowatlas.sources.store import shared_checkpoint, shared_folder  # noqa: F401
+
 #: The six ASCII white-space characters; the same set as [\x20\x09-\x0D].
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 #: A word in the sense of most operators here: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that driver and executors share, as the session names it; there is no local stand-in."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder)
-    return context._jsc.sc().getCheckpointDir().get()
-
-
 def stable(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return shared_checkpoint(df)
 
 
 def whole_text(name: str = "text") -> Column:

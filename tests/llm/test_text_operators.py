@@ -159,7 +159,7 @@ def test_bloom_levels_have_no_false_negatives():
     bits = int(8 * level.sum())
     bits += -bits % 8
     packed = {}
-    for s in range(lm_score.SEGMENTS):
+    for s in range(2**9):
         mine = (keys >> np.uint64(55)).astype(int) == s
         size = max(64, int(8 * level[mine].sum()))
         size += -size % 8
@@ -168,12 +168,34 @@ def test_bloom_levels_have_no_false_negatives():
             for at in lm_score.positions(keys[mine & (level >= j)], j, size):
                 field[at.astype(int)] = True
         packed[s] = np.packbits(field, bitorder="little").tobytes()
-    model = lm_score.Filter(packed)
+    model = lm_score.Filter(packed, 9)
     assert (model.level(keys) >= level).all() and (model.level(keys) == level).mean() > 0.9
     others = np.random.default_rng(3).integers(0, 2**63, 5000).astype(np.uint64)
     assert (model.level(others) > 0).mean() < 0.1
 
 
+@pytest.mark.parametrize("max_bytes, salted", [(1 << 27, 1 << 21), (0, 1 << 21), (0, 10)])
+def test_lm_score_against_brute_force(spark, monkeypatch, max_bytes, salted):
+    """With many bits an entry the filter answers as exact levels do; probed here and where its segments are."""
+    monkeypatch.setattr(lm_score, "SALTED", salted)
+    dice = random.Random(9)
+    texts = [None, "", "a"] + [" ".join(dice.choices([f"w{i}" for i in range(30)], [1 / (k + 1) for k in range(30)], k=dice.randint(0, 60))) for _ in range(60)]
+    found = {r.doc_id: r.score for r in lm_score.scored(docs(spark, texts), max_bytes=max_bytes, entry=200).collect()}
+    tokens = [(t or "").split() + ["</s>"] for t in texts]
+    train = [t for i, t in enumerate(tokens) if zlib.crc32(str(i).encode()) % 5 != 1]
+    one, two = Counter(w for t in train for w in t), Counter(p for t in train for p in zip(["</s>", *t], t))
+    level = lambda c: 0.0 if c == 0 else 1.0 if c == 1 else 2 ** (1 + math.floor(math.log2(c)) - 0.5)
+    total = sum(one.values())
+    weight = min(0.95, sum(c for c in two.values() if c > 1) / total)
+    for i, t in enumerate(tokens):
+        score = 0.0
+        for pair in zip(["</s>", *t], t):
+            single, context = level(one[pair[1]]), level(one[pair[0]])
+            p = (single + 0.5) / (total + 0.5 * (len(one) + 1))
+            score += math.log10(min(1.0, weight * min(level(two[pair]) / context, 1.0) + (1 - weight) * p if context else p))
+        assert found[i] == pytest.approx(score, rel=1e-6), i
+
+
 def test_lm_without_training_or_rows(spark):
     only_held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
     r = lm_score.scored(docs(spark, ["a b"]).withColumn("doc_id", F.lit(only_held).cast("long"))).first()
@@ -189,10 +211,10 @@ def test_lm_keeps_single_pairs_and_groups_change_nothing(spark):
     for i in one:
         assert many[i].score == pytest.approx(one[i].score, rel=1e-9) and many[i][:6] == pytest.approx(one[i][:6])
     held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
-    filters = {r["segment"]: bytes(r["packed"]) for r in lm_score.build(docs(spark, [t for i, t in enumerate(texts) if not held(i)])).where("kind = 1 and packed is not null").collect()}
+    filters = {r["segment"]: bytes(r["packed"]) for r in lm_score.build(docs(spark, [t for i, t in enumerate(texts) if not held(i)]), 6).where("kind = 1 and packed is not null").collect()}
     learned = np.concatenate([lm_score.pairs_of(w) for w in lm_score.word_hashes([t for i, t in enumerate(texts) if not held(i)])])
     keys, counts = np.unique(learned, return_counts=True)
-    assert (counts == 1).sum() > 100 and (lm_score.Filter(filters).level(keys) >= lm_score.levels_of(counts)).all()
+    assert (counts == 1).sum() > 100 and (lm_score.Filter(filters, 6).level(keys) >= lm_score.levels_of(counts)).all()
 
 
 # 5: toxicity
