@@ -5,7 +5,8 @@ Structure that is never content (menus, headers outside the article, footers, si
 the like) is left out as its events arrive. The remaining lines get a text-to-tag ratio, smoothed over their
 neighbours; a two-means threshold on it clusters them into content and rest. Content lines vote for the region of the
 page that holds them (an article, main element or the page), and all lines of the winning region are the main text,
-so a short paragraph between long ones stays.
+so a short paragraph between long ones stays. Other articles of some length stay too, and so does what else the main
+element around the winner says.
 """
 
 from __future__ import annotations
@@ -28,6 +29,15 @@ BLOCKS = frozenset("html body address article blockquote caption center dd detai
 #: Words of class and id that mark what isn't main text, and roles that do.
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising alert aside banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright discussion disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices overlay pagination paywall popup promo promoted promotion recommended related replies reply respond responses sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split())
 COMMENTS = frozenset("comment comments discussion disqus replies reply responses".split())
+#: Elements of running text: a name marks them only if it has no word besides marks and these plain ones.
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table tbody tr td th figure figcaption dl dt dd".split())
+PLAIN = frozenset("area bar block body box button container content group head heading inner item items label link links list module notice panel post posts section slot text title unit wrap wrapper".split())
+#: Marks that tell nothing about a table or paragraph.
+VAGUE = frozenset("widget widgets response responses reply".split())
+#: Left out only while they end: if a page has nothing else, what follows an unclosed one counts.
+MAY_STAY_OPEN = frozenset("nav header footer aside form menu dialog".split())
+#: Share of the winner's text outside links from which another article stays.
+ALSO = 0.25
 #: Marks only outside the article, where an article has parts of the same name.
 OUTSIDE = frozenset("header topbar".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
@@ -41,23 +51,28 @@ _WORDS = re.compile(r"[a-z]+")
 class _Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, int]] = []  # element, left out, region
+        self.open: list[tuple[str, int, int, bool]] = []  # element, left out, region, inside an article or main element
+        self.count: dict[str, int] = {}  # open elements of each name
         self.lines: list[tuple[str, int, int, int]] = []  # text, tags, characters in links, region
+        self.hidden: list[tuple[str, int, int, int]] = []  # the same of what is left out while it may yet stay open
+        self.parents = [0]  # the region around each region
         self.parts: list[str] = []
-        self.tags = self.linked = self.regions = 0
+        self.unsure: list[str] = []
+        self.tags = self.linked = 0
 
     def _line(self) -> None:
-        text = " ".join("".join(self.parts).split())
-        if text:
-            self.lines.append((text, max(1, self.tags), self.linked, self.open[-1][2] if self.open else 0))
-        self.parts.clear()
+        region = self.open[-1][2] if self.open else 0
+        for parts, lines in ((self.parts, self.lines), (self.unsure, self.hidden)):
+            text = " ".join("".join(parts).split())
+            if text:
+                lines.append((text, max(1, self.tags), self.linked, region))
+            parts.clear()
         self.tags = self.linked = 0
 
-    def _left_out(self, tag: str, attrs: list[tuple[str, str | None]]) -> int:
-        """2: never main text, 1: marked by its name only, 0: neither."""
-        inside = any(t in ("article", "main") for t, _, _ in self.open)
+    def _left_out(self, tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> int:
+        """3: never shown, 2: never main text, 1: marked by its name only, 0: none of these."""
         if tag in NEVER or tag == "header" and not inside:
-            return 2
+            return 2 if tag in MAY_STAY_OPEN else 3
         if tag in ("html", "body"):
             return 0
         named = dict(attrs)
@@ -65,10 +80,19 @@ class _Lines(HTMLParser):
             return 2
         if (named.get("role") or "").lower() in ROLES:
             return 2
-        words = set(_WORDS.findall(_ABOUT.sub(" ", f"{named.get('class') or ''} {named.get('id') or ''}".lower())))
-        if words & COMMENTS:
+        names = _ABOUT.sub(" ", f"{named.get('class') or ''} {named.get('id') or ''}".lower()).split()
+        words = [set(_WORDS.findall(name)) for name in names]
+        if tag in TEXT:
+            words = [w for w in words if w <= MARKS | PLAIN | OUTSIDE and not w <= PLAIN | VAGUE]
+        every = set().union(*words)
+        if every & COMMENTS:
             return 2
-        return int(tag not in ("article", "main") and bool(words & MARKS or not inside and words & OUTSIDE))
+        return int(tag not in ("article", "main") and bool(every & MARKS or not inside and every & OUTSIDE))
+
+    def _pop(self, at: int) -> None:
+        for tag, *_ in self.open[at:]:
+            self.count[tag] -= 1
+        del self.open[at:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS or tag in NEVER:
@@ -76,18 +100,23 @@ class _Lines(HTMLParser):
         if tag in VOID:
             if tag == "br":
                 self.parts.append(" ")
+                self.unsure.append(" ")
             self.tags += 1
             return
         for group in (CLOSES.get(tag, ()), {"p"} if tag in BLOCKS else ()):
             if group and self.open and self.open[-1][0] in group:
-                self.open.pop()
-        _, above, region = self.open[-1] if self.open else ("", 0, 0)
-        out = max(above, self._left_out(tag, attrs))
-        if tag in ("article", "main") and out < 2:  # a name around the whole article doesn't count
-            out = 0
-            self.regions += 1
-            region = self.regions
-        self.open.append((tag, out, region))
+                self._pop(len(self.open) - 1)
+        _, above, region, inside = self.open[-1] if self.open else ("", 0, 0, False)
+        out = max(above, self._left_out(tag, attrs, inside))
+        if tag in ("article", "main"):
+            inside = True
+            if out < 3:
+                self.parents.append(region)
+                region = len(self.parents) - 1
+            if out < 2:  # a name around the whole article doesn't count
+                out = 0
+        self.open.append((tag, out, region, inside))
+        self.count[tag] = self.count.get(tag, 0) + 1
         self.tags += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -98,21 +127,26 @@ class _Lines(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS or tag in NEVER:
             self._line()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                break
+        if not self.count.get(tag):  # so that an end without a start costs nothing
+            return
+        at = len(self.open) - 1
+        while self.open[at][0] != tag:
+            at -= 1
+        if tag not in ("html", "body") and self.open[at][1] and not (at and self.open[at - 1][1]):
+            self.hidden.clear()  # what is left out has ended, so nothing of it counts
+        self._pop(at)
 
     def handle_data(self, data: str) -> None:
-        if not (self.open and self.open[-1][1]):
-            self.parts.append(data)
-            if any(t == "a" for t, _, _ in self.open[-4:]):
+        out = self.open[-1][1] if self.open else 0
+        if out < 3:
+            (self.unsure if out else self.parts).append(data)
+            if any(t == "a" for t, *_ in self.open[-4:]):
                 self.linked += len(data.strip())
 
     def finish(self) -> list[tuple[str, int, int, int]]:
         self.close()
         self._line()
-        return self.lines
+        return self.lines or self.hidden
 
 
 def smooth(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -151,16 +185,20 @@ def main_blocks(html: str | None, sigma: float = 1.0) -> list[str]:
     region = np.array([r for _, _, _, r in lines])
     smoothed = smooth(np.maximum(size - linked, 0) / tags, sigma)
     content = smoothed >= threshold(smoothed)
-    votes = np.bincount(region[content], weights=size[content], minlength=region.max() + 1)
-    if len(votes) > 1 and votes[1:].any():
-        best = 1 + int(votes[1:].argmax())  # an article or main element with content is before the rest of the page
-    else:
-        best = int(votes.argmax())
-    keep = region == best
-    if best == 0:  # no article: outside clusters of content, lines of links go
+    votes = np.bincount(region[content], weights=size[content], minlength=len(parser.parents))
+    if not votes[1:].any():  # no article: outside clusters of content, lines of links go
         runs = np.flatnonzero(content)
         inside = (np.arange(len(lines)) >= runs[0]) & (np.arange(len(lines)) <= runs[-1])
-        keep &= inside | (linked < 0.5 * size)
+        keep = (region == int(votes.argmax())) & (inside | (linked < 0.5 * size))
+    else:
+        best = 1 + int(votes[1:].argmax())  # an article or main element with content is before the rest of the page
+        plain = np.bincount(region, weights=np.maximum(size - linked, 0), minlength=len(votes))
+        stays = plain >= ALSO * plain[best]
+        stays[0], around = False, parser.parents[best]
+        keep = stays[region]
+        while around:  # what the elements around the winner say, but for their links
+            keep |= (region == around) & (linked < 0.5 * size)
+            around = parser.parents[around]
     return [t for (t, _, _, _), k in zip(lines, keep) if k]
 
 

@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -35,12 +36,27 @@ def docs(spark, texts, langs=None):
         ("<div class='page has-sidebar'><div class='layout sidebar-right'><article class='post no-comments'><p>Kept text of the article.</p></article></div><div class=sidebar><p>Other things to read here today.</p></div></div>", ["Kept text of the article."]),
         ("<div class=header>Site name</div><main><div class=header><h1>Head</h1></div><p>Text of the body.</p><aside><p>x</p></aside><ol class=comment-list><li>me too</li></ol></main>", ["Head", "Text of the body."]),
         ("<body><p>No article, just a text with many words in it.</p><p>Short.</p></body>", ["No article, just a text with many words in it.", "Short."]),
+        ("<main><h1>Head line</h1><article><p>The article's own paragraph, long enough.</p></article><p>Something after it in the main part.</p></main>", ["Head line", "The article's own paragraph, long enough.", "Something after it in the main part."]),
+        ("<article><p>The first of two articles on this page.</p></article><article><p>The second of two articles on this page.</p></article>", ["The first of two articles on this page.", "The second of two articles on this page."]),
+        ("<article><p>A paragraph of the article to start with.</p><p class='related-work'>Related work is told in this paragraph.</p><table class=widget><tr><td>One cell of a table.</td></tr></table></article>", ["A paragraph of the article to start with.", "Related work is told in this paragraph.", "One cell of a table."]),
+        ("<nav><a href=x>Home</a><article><p>The text of a page whose menu never ends.</p></article>", ["The text of a page whose menu never ends."]),
+        ("<nav><a href=x>Home</a></nav><form><p>Search this site here</p></form>", []),
     ],
 )
 def test_main_blocks(html, blocks):
     assert html_extract.main_blocks(html) == blocks
 
 
+def test_deep_pages_take_time_in_proportion():
+    def seconds(depth):
+        start = time.perf_counter()
+        assert html_extract.main_blocks("<div>" * depth + "<p>Deep text.</p>" + "</i></div>" * depth) == ["Deep text."]
+        return time.perf_counter() - start
+
+    seconds(2000)
+    assert seconds(40_000) < 60 * max(seconds(2000), 0.005)
+
+
 def test_extraction_query_shape(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a b</p>", "x"), (1, None, None, "y")], "page_id long, url string, html string, text string")
     found = sorted(html_extract.extract_text(pages).select("page_id", "text", "n_chars").collect(), key=str)
