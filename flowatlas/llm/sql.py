@@ -13,9 +13,17 @@ def _leaves(text: str) -> str:
     return f"list_transform(regexp_extract_all({text}, '{_PIECES}'), lambda x: substr(sha256(x), 1, {fingerprints.LEAF}))"
 
 
-def _sections(text: str) -> str:
-    line = _leaves("y")
-    return f"list_transform(string_split({text}, chr(10)), lambda y: substr(sha256(coalesce(array_to_string({line}, ''), '')), 1, {fingerprints.SECTION}))"
+def _lines(text: str) -> str:
+    return rf"list_transform(regexp_extract_all({text}, '[^\n]*\n|[^\n]+'), lambda y: {_leaves('y')})"
+
+
+def _sections(lines: str) -> str:
+    return f"list_transform({lines}, lambda y: substr(sha256(array_to_string(y, '')), 1, {fingerprints.SECTION}))"
+
+
+def _tree(lines: str) -> str:
+    below = f"list_transform({lines}, lambda y: substr(sha256(array_to_string(y, '')), 1, {fingerprints.SECTION}) || '.' || array_to_string(y, ''))"
+    return f"sha256(coalesce(array_to_string({_sections(lines)}, ''), '')) || ':' || coalesce(array_to_string({below}, ';'), '')"
 
 
 def _like(a: str, b: str) -> str:
@@ -46,10 +54,11 @@ ORACLE_SQL = {
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 n AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS after, length(text) AS n FROM t),
 e AS (SELECT *, substr(text, 1, n - n // 2) || substr(after, 1, n // 2) AS edited FROM n),
-h AS (SELECT *, {_leaves('text')} AS a, {_leaves('edited')} AS b, {_leaves('after')} AS c, {_sections('text')} AS sa, {_sections('edited')} AS sb FROM e),
-j AS (SELECT *, coalesce(array_to_string(a, ''), '') AS ja, coalesce(array_to_string(b, ''), '') AS jb, array_to_string(sa, '') AS jsa, array_to_string(sb, '') AS jsb FROM h)
-SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, sha256(jsa || '|' || ja) || ':' || jsa || ':' || ja AS fingerprint, sha256(jsb || '|' || jb) || ':' || jsb || ':' || jb AS edited_fingerprint,
-{_like('a', 'b')} AS near_edited, {_like('a', 'c')} AS near_next, CAST(len(list_filter(range(1, len(sb) + 1), lambda i: sa[i] IS DISTINCT FROM sb[i])) AS INTEGER) AS edited_changed_sections FROM j
+l AS (SELECT *, {_lines('text')} AS la, {_lines('edited')} AS lb, {_lines('after')} AS lc FROM e),
+h AS (SELECT *, flatten(la) AS a, flatten(lb) AS b, flatten(lc) AS c, {_sections('la')} AS sa, {_sections('lb')} AS sb FROM l)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, {_tree('la')} AS fingerprint, {_tree('lb')} AS edited_fingerprint,
+{_like('a', 'b')} AS near_edited, {_like('a', 'c')} AS near_next, CAST(len(list_filter(list_distinct(sb), lambda x: NOT list_contains(sa, x))) AS INTEGER) AS edited_changed_sections,
+CAST(len(list_filter(list_distinct(b), lambda x: NOT list_contains(a, x))) AS INTEGER) AS edited_changed_paragraphs FROM h
 """,
     "op3_license_scans": _license_sql(),
     "op7_exact_dedup": f"""

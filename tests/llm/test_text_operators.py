@@ -72,6 +72,21 @@ def test_smoothing_and_threshold():
 # 2: fingerprints
 
 
+def brute_tree(text):
+    """[(section hash, [paragraph hashes])], root first."""
+    short = lambda x, n: hashlib.sha256(x.encode()).hexdigest()[:n]
+    tree = []
+    for line in re.findall(r"[^\n]*\n|[^\n]+", text):
+        leaves = [short(x, fingerprints.LEAF) for x in re.findall(rf"[^\n.!?]{{1,{fingerprints.PIECE}}}[.!?]*\n?|[.!?]+\n?|\n", line)]
+        tree.append((short("".join(leaves), fingerprints.SECTION), leaves))
+    return hashlib.sha256("".join(s for s, _ in tree).encode()).hexdigest(), tree
+
+
+def brute_likeness(a, b):
+    x, y = ({h for _, leaves in t[1] for h in leaves} for t in (a, b))
+    return 2 * len(x & y) / (len(x) + len(y)) if x or y else 1.0
+
+
 def test_fingerprints_against_brute_force(spark):
     texts = [t for t in ODD] + ["One. Two! Three?\nFour.", "One. Two! Three?\nFive."]
     found = {r.doc_id: r for r in fingerprints.edited_fingerprints(docs(spark, texts)).collect()}
@@ -80,12 +95,43 @@ def test_fingerprints_against_brute_force(spark):
         t, after = t or "", texts[(i - 1) % n] or ""
         half = len(t) // 2
         edited = t[: len(t) - half] + after[:half]
+        trees = [brute_tree(x) for x in (t, edited, after)]
+        as_text = [root + ":" + ";".join(s + "." + "".join(leaves) for s, leaves in tree) for root, tree in trees]
+        assert (found[i].fingerprint, found[i].edited_fingerprint) == tuple(as_text[:2])
         assert found[i].n_chars == len(t) and found[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= found[i].near_edited <= 1 and 0 <= found[i].near_next <= 1
+        assert found[i].near_edited == pytest.approx(brute_likeness(trees[0], trees[1])) and found[i].near_next == pytest.approx(brute_likeness(trees[0], trees[2]))
     assert found[0].fingerprint == found[1].fingerprint and found[0].near_next in (0.0, 1.0)
     assert found[n - 1].near_next > 0.5 and found[n - 1].fingerprint != found[n - 2].fingerprint
 
 
+def test_descent_finds_an_edit_and_an_insertion(spark):
+    before = "Head.\nOne a. One b.\nTwo a. Two b.\nThree.\n"
+    after = "Head.\nPut in here.\nOne a. One b.\nTwo a. Two x.\nThree.\n"
+    rows = fingerprints.add_tree(fingerprints.add_tree(spark.createDataFrame([(before, after)], "s string, t string"), "s", "a"), "t", "b")
+    r = rows.select("a", "b", fingerprints.changed_sections("a", "b").alias("sections"), fingerprints.changed_paragraphs("a", "b").alias("paragraphs")).first()
+    (root_a, a), (root_b, b) = ((x.split(":")[0], [s.split(".") for s in x.split(":")[1].split(";")]) for x in (r.a, r.b))
+    assert root_a != root_b and (r.sections, r.paragraphs) == (2, 2)
+    sections = {s for s, _ in a}
+    assert [k for k, (s, _) in enumerate(b) if s not in sections] == [1, 3]
+    known = {leaves[k : k + fingerprints.LEAF] for _, leaves in a for k in range(0, len(leaves), fingerprints.LEAF)}
+    assert [k // fingerprints.LEAF for k in range(0, len(b[3][1]), fingerprints.LEAF) if b[3][1][k : k + fingerprints.LEAF] not in known] == [1]
+
+
+def test_uneven_and_missing_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BUCKET", 5)
+    ids = list(range(60)) + [10**15, 2**63 - 1, -(2**63)]
+    rows = spark.createDataFrame([(i, f"t{i}") for i in ids] + [(None, f"n{k}") for k in range(30)] + [(7, "again")], "doc_id long, text string")
+    found = fingerprints.with_next(rows).collect()
+    assert len(found) == 94 and sorted(r.text for r in found) == sorted(r.next_text for r in found)
+    after = {r.text: r.next_text for r in found}
+    at, seen = f"t{2**63 - 1}", []
+    for _ in range(94):
+        seen.append(at)
+        at = after[at]
+    numbers = [t for t in seen if t[0] == "t"]
+    assert numbers == [f"t{i}" for i in sorted(ids, reverse=True)] and all(t[0] == "n" for t in seen[-30:]) and len(set(seen)) == 94
+
+
 def test_next_document_over_buckets(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "BUCKET", 3)
     ids = random.Random(2).sample(range(-50, 1000), 40)
