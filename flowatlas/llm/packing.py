@@ -3,6 +3,10 @@
 Pieces are dealt to packing shards by hash; a shard holds a few thousand pieces whatever the size of the input, so the
 packing of one shard fits a task, and shards lose at most part of a sequence each. In a shard, pieces go from long to
 short to the open sequence of the best score among those that have room in every capacity.
+
+The production limits on documents (4096) and attention cost (4096 squared) are what 4096 tokens can reach at most: as few
+sequences as possible are asked for, and lower limits would cost sequences. There only tokens bind, and the other two
+residuals decide among sequences with equal room. Smaller limits bind as they are given.
 """
 
 from __future__ import annotations

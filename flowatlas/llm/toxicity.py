@@ -111,10 +111,11 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], *, sample: in
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), *[F.col(c).cast("double").alias(c) for c in categories]).dropna().groupBy("_id").agg(*[F.max(c).alias(c) for c in categories])
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_id")
+    # one row per id, combined before it is sent: the task that fits gets at most ``sample`` rows
+    rows = rows.groupBy("_id", *categories).agg(F.min("_text").alias("_text"))
 
     def run(table: pa.Table) -> pa.Table:
-        frame = table.to_pandas().sort_values(["_id", "_text"])
-        frame = frame.iloc[:sample]
+        frame = table.to_pandas().sort_values("_id")
         ids: dict[str, int] = {}
         memory: dict[str, np.ndarray] = {}
         found = []
@@ -148,7 +149,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], *, targe
 
     The cut is that of the best F1 among the out-of-fold probabilities of the fitted sample.
 
-    Labels with a null are left out; a document with several labels has a category if any says so. Null and empty
+    Labels with a null are left out; a document with several labels has a category if any says so. Of rows that repeat a
+    doc_id, one text (the first in order) is fitted on. Null and empty
     texts get the models' base rates. Rows that repeat a doc_id are judged each. Without labels every probability is
     one half and nothing is toxic. An empty table gives no rows; further columns are ignored.
     """

@@ -304,6 +304,13 @@ def test_cut_lies_between_the_classes():
     assert toxicity.best_cut(np.array([0.1, 0.2]), np.array([0, 0])) == 0.5
 
 
+def test_toxicity_fits_one_row_of_an_id(spark):
+    rows = docs(spark, ["bad words here", "good words there"] * 10).withColumn("doc_id", F.col("doc_id") % 4)
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1), (3, 0)], "doc_id long, toxic int")
+    found = toxicity.toxicity(rows, labels, ["toxic"]).collect()
+    assert len(found) == 20 and all((r.p_toxic > 0.5) == (r.doc_id % 2 == 0) or r.p_toxic == pytest.approx(0.5, abs=0.2) for r in found)
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [(r.p_toxic, r.toxic) for r in toxicity.toxicity(docs(spark, ["a"]), none, ["toxic"]).collect()] == [(0.5, False)]
@@ -341,6 +348,12 @@ def test_packing_against_the_tokenizer(spark):
     assert len(places) <= math.ceil(sum(r.length for r in rows) / 4096) + 1
 
 
+def test_small_capacities_bind_in_packing(spark):
+    rows = spark.createDataFrame([(i, 0, 0, 10 + i % 5, 0) for i in range(60)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    sums = packing.pack(rows, max_tokens=100, max_docs=3, max_cost=400.0).groupBy("sequence_id").agg(F.count("*").alias("n"), F.sum("length").alias("t"), F.sum(F.col("length") * F.col("length")).alias("c")).collect()
+    assert sum(r.n for r in sums) == 60 and all(r.n <= 3 and r.t <= 100 and r.c <= 400 for r in sums) and any(r.n < 3 for r in sums)
+
+
 def test_best_fit_keeps_every_capacity():
     lengths = np.sort(np.random.default_rng(1).integers(1, 3000, 500))[::-1]
     place, offset = packing.best_fit(lengths, max_docs=3, max_cost=9e6)
@@ -421,3 +434,32 @@ def test_classifier_rejects_junk_and_keeps_clean(spark):
     assert quality.classify(docs(spark, []), labels).count() == 0
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert quality.classify(docs(spark, ["a b c"]), none).first().kept
+
+
+@pytest.mark.parametrize("alphabet", ["абвгдежзиклмнопрстуфхцчшщыьэюя", "的一是不了人我在有他这中大来上国个到说们"])
+def test_classifier_judges_other_scripts(spark, alphabet):
+    """Documents whose letters are scrambled go, in scripts beyond Latin-1 too."""
+    dice = random.Random(12)
+    words = ["".join(dice.choices(alphabet, k=dice.randint(3, 8))) for _ in range(40)]
+    good = [" ".join(dice.choices(words, k=80)) for _ in range(120)]
+    scrambled = ["".join(dice.sample(t, len(t))) for t in good[:8]]
+    rows = docs(spark, good + scrambled)
+    labels = spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int")
+    found = {r.doc_id: r.kept for r in quality.classify(rows, labels).collect()}
+    assert all(found[i] for i in range(120)) and not any(found[i] for i in range(120, 128))
+
+
+def test_thresholds_against_brute_force(spark):
+    dice = random.Random(13)
+    rows = [(dice.choice(["a", "b", None]), dice.uniform(1, 4) if dice.random() < 0.9 else None, dice.randint(0, 300)) for _ in range(400)]
+    scored = spark.createDataFrame(rows, "lang string, log_ppl double, n int")
+    found = [(r.lang, r.log_ppl, r.n, r.threshold, r.kept) for r in quality.judged(scored, quality.language_thresholds(scored)).collect()]
+    assert len(found) == len(rows)
+    for lang in ("a", "b", None):
+        bins = sorted(math.floor(p / quality.STEP) for x, p, _ in rows if x == lang and p is not None)
+        mark = lambda q: bins[math.ceil(q * len(bins)) - 1] * quality.STEP
+        way = max(quality.SPREAD * (mark(0.5) - mark(quality.LOW)), quality.LEAST)
+        for x, p, n, threshold, kept in found:
+            if x == lang:
+                assert threshold == pytest.approx(mark(0.5) + way * (n + quality.SHORT) / max(n, 1))
+                assert kept == (p is not None and p <= threshold)
