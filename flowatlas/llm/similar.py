@@ -11,9 +11,10 @@ once in a million, so the budget prunes strangers and practically no link.
 
 Equal sets are one node. Up to ``GROUP`` nodes of a block are compared with each other. Of more, all are first compared
 with ``CENTRES`` of them; then the trie is walked once more for pairs of nodes that these links don't connect, so no pair
-is left out that could connect two components, and no links inside a component are listed. What the second walk finds
-passes a parity sketch of the whole sets before any text is sent: the sketches of two sets differ in at most as many
-bits as the sets differ in shingles.
+is left out that could connect two components, and no links inside a component are listed. A pair is wanted in the block
+of the first shingle that both share, where the places of that shingle bound what they can share after it; most pairs
+are so found once. All pairs pass a parity sketch of the whole sets before any text is sent: the sketches of two sets
+differ in at most as many bits as the sets differ in shingles.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ BUCKETS, SLICES = 1 << 20, 256
 #: Bits of the broadcast map of texts to be compared; it only saves shuffling others' texts.
 MAP = 1 << 23
 
-_ROW = [("token", "<u8"), ("fp", "<u8"), ("node", "<i8"), ("size", "u1")]
+_ROW = [("token", "<u8"), ("fp", "<u8"), ("node", "<i8"), ("place", "<u2"), ("size", "u1")]
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -107,7 +108,7 @@ def _levels(texts: DataFrame) -> np.ndarray:
 
 
 def _nodes(texts: DataFrame, levels: np.ndarray) -> DataFrame:
-    """One row per text: doc_id, its key, node (digest of the set), fingerprint, n (size), sketch and packed first shingles."""
+    """One row per text: doc_id, its key, node (digest of the set), fingerprint, n (size), sketch and packed first shingles in their order."""
     shared = texts.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +123,8 @@ def _nodes(texts: DataFrame, levels: np.ndarray) -> DataFrame:
                 fps.append(majority(s))
                 sizes.append(len(s))
                 sketches.append(sketch_of(s))
-                firsts.append(s[np.argpartition(rank, min(first, len(s)) - 1)[:first]].tobytes() if len(s) else b"")
+                front = np.argpartition(rank, first - 1)[:first] if len(s) else np.empty(0, np.int64)
+                firsts.append(s[front[np.argsort(rank[front])]].tobytes())
             arrays = [pa.array(nodes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(firsts, pa.binary())]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *arrays], names=["doc_id", *KEY, "node", "fp", "n", "sketch", "firsts"])
 
@@ -130,7 +132,7 @@ def _nodes(texts: DataFrame, levels: np.ndarray) -> DataFrame:
 
 
 def _met(nodes: DataFrame, group: int) -> DataFrame:
-    """(token, a, b): pairs to compare (token null), and members a of larger blocks by their token (b null)."""
+    """(token, a, b): pairs to compare (token null), and members a of larger blocks with their token and its place in a (token, a, -1 - place)."""
     shards = max(8, -(-(nodes.agg(F.sum(F.octet_length("firsts"))).first()[0] or 0) // (8 * SHARD)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,6 +143,8 @@ def _met(nodes: DataFrame, group: int) -> DataFrame:
             rows["token"] = np.concatenate(firsts) if firsts else []
             for name, column in (("node", batch.column(0).to_numpy()), ("fp", batch.column(1).to_numpy().view(np.uint64)), ("size", step_of(batch.column(2).to_numpy()))):
                 rows[name] = np.repeat(column, times)
+            # a place beyond the scale only lets more through
+            rows["place"] = np.minimum(np.arange(len(rows)) - np.repeat(np.cumsum(times) - times, times), 65535) if len(rows) else []
             shard = (rows["token"] >> np.uint64(24)).astype(np.int64) % shards
             order = np.argsort(shard, kind="stable")
             cuts = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -160,12 +164,12 @@ def _met(nodes: DataFrame, group: int) -> DataFrame:
         pairs, members = [trie_links(rows["fp"], starts[few], ends[few], 0, BUDGET)], [np.empty(0, np.int64)]
         seen: set[bytes] = set()
         for s, e in zip(starts[~few].tolist(), ends[~few].tolist()):
+            every = np.arange(s, e)
+            members.append(every)
             who = xxhash.xxh128_digest(rows["node"][s:e].tobytes())
-            if who in seen:  # the same nodes met already
+            if who in seen:  # the same nodes have met their centres already
                 continue
             seen.add(who)
-            every = np.arange(s, e)
-            members.append(every)
             # the same centres in each block of these nodes, as far as may be
             for c in every[np.argsort(rows["node"][s:e].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:CENTRES]]:
                 near = every[(np.bitwise_count(rows["fp"][s:e] ^ rows["fp"][c]) <= BUDGET) & (every != c)]
@@ -175,39 +179,62 @@ def _met(nodes: DataFrame, group: int) -> DataFrame:
         a, b = rows["node"][a[fit]], rows["node"][b[fit]]
         a, b = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
         more = rows[np.concatenate(members)]
-        none = lambda n: pa.nulls(n, pa.int64())
-        token, other = pa.concat_arrays([none(len(a)), pa.array(more["token"].view(np.int64))]), pa.concat_arrays([pa.array(b), none(len(more))])
-        return pa.table({"token": token, "a": pa.array(np.concatenate((a, more["node"]))), "b": other})
+        token = pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(more["token"].view(np.int64))])
+        other = np.concatenate((b, -1 - more["place"].astype(np.int64)))
+        return pa.table({"token": token, "a": pa.array(np.concatenate((a, more["node"]))), "b": pa.array(other)})
 
     dealt = nodes.select("node", "fp", "n", "firsts").mapInArrow(deal, "shard long, packed binary")
     return dealt.groupBy("shard").applyInArrow(meet, "token long, a long, b long")
 
 
 def _across(members: DataFrame, nodes: DataFrame, roots: DataFrame, large: int) -> DataFrame:
-    """(a, b): pairs of a block's members (token, a) that may be alike but are in different components.
+    """(a, b): pairs of a block's members (token, a, place) that may be alike but are in different components.
 
     Blocks of more than ``large`` members are cut into parts by node, and each two parts are walked in a task of their
     own, so no task holds more than two parts.
     """
-    named = members.join(roots, members.a == roots.node, "left").select("token", "a", F.coalesce("root", "a").alias("root"))
+    named = members.join(roots, members.a == roots.node, "left").select("token", "a", "place", F.coalesce("root", "a").alias("root"))
     blocks = named.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     parted = named.join(blocks.select("token", F.ceil(F.col("many") / large).cast("int").alias("parts")), "token").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
     sets = nodes.select(F.col("node").alias("a"), "fp", "n", "sketch").dropDuplicates(["a"])
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = parted.join(sets, "a").withColumn("other", other).select("token", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "a", "root", "fp", "n", "sketch")
+    dealt = parted.join(sets, "a").withColumn("other", other).select("token", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "a", "place", "root", "fp", "n", "sketch")
 
     def walk(block: pa.Table) -> pa.Table:
-        node, root, n = (block.column(c).to_numpy() for c in ("a", "root", "n"))
+        node, root, n, place = (block.column(c).to_numpy() for c in ("a", "root", "n", "place"))
         fp = block.column("fp").to_numpy().view(np.uint64)
         sketches = np.frombuffer(b"".join(block.column("sketch").to_pylist()), np.uint64).reshape(len(fp), -1)
         order = np.lexsort((root, fp))
-        node, root, n, fp, sketches = node[order], root[order], n[order], fp[order], sketches[order]
-        a, b = trie_links(fp, np.array([0]), np.array([len(fp)]), 0, BUDGET, root, lambda a, b: may_be_alike(sketches, n, a, b))
+        node, root, n, fp, sketches, left = node[order], root[order], n[order], fp[order], sketches[order], (n - place)[order]
+
+        def wanted(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """If nothing before this shingle is shared, at most what is left of the shorter one is."""
+            there = 9 * np.minimum(left[a], left[b]) >= 4 * (n[a] + n[b])
+            there[there] = may_be_alike(sketches, n, a[there], b[there])
+            return there
+
+        a, b = trie_links(fp, np.array([0]), np.array([len(fp)]), 0, BUDGET, root, wanted)
         return pa.table({"a": pa.array(np.minimum(node[a], node[b])), "b": pa.array(np.maximum(node[a], node[b]))})
 
     return dealt.groupBy("token", "p", "q").applyInArrow(walk, "a long, b long").distinct()
 
 
+def _sketched(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that may be alike by their sketches."""
+    sets = nodes.select("node", "n", "sketch").dropDuplicates(["node"])
+    of = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = batch.num_rows
+            n = np.concatenate([batch.column(i).to_numpy() for i in (2, 4)])
+            sketches = np.frombuffer(b"".join(batch.column(3).to_pylist() + batch.column(5).to_pylist()), np.uint64).reshape(2 * m, SKETCH // 64)
+            yield batch.filter(pa.array(may_be_alike(sketches, n, np.arange(m), np.arange(m, 2 * m)))).select(["a", "b"])
+
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "sa", "nb", "sb")
+    return both.mapInArrow(run, "a long, b long")
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose whole sets are alike; texts travel, as they are smaller than their sets."""
     spark = texts.sparkSession
@@ -250,9 +277,9 @@ def near_copies(docs: DataFrame, *, group: int = GROUP, large: int = LARGE) -> D
     texts = keyed(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), *KEY, F.col("text").cast("string").alias("text"))
     nodes = stable(_nodes(texts, _levels(texts)))
     met = stable(_met(nodes, group))
-    links = _confirmed(stable(met.where("b is not null").select("a", "b").distinct()), texts)
+    links = _confirmed(stable(_sketched(met.where("token is null").select("a", "b").distinct(), nodes)), texts)
     roots = components(links)
-    more = stable(_across(met.where("b is null").select("token", "a"), nodes, roots, large))
+    more = stable(_across(met.where("token is not null").select("token", "a", (-1 - F.col("b")).alias("place")), nodes, roots, large))
     if not more.isEmpty():
         links = links.unionByName(_confirmed(more, texts))
         roots = components(links)
