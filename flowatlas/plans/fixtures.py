@@ -86,7 +86,7 @@ FROM part""",
 UNION ALL SELECT n_name, 'cancelled', CAST(1 + n_nationkey % 4 AS {text}) || '%' FROM (SELECT n_nationkey, n_name FROM nation WHERE n_nationkey % 5 <> 4 UNION ALL SELECT 25, 'average') n UNION ALL SELECT n_name, 'substituted', '2%' FROM (SELECT n_nationkey, n_name FROM nation WHERE n_nationkey % 5 <> 4 UNION ALL SELECT 25, 'average') n""",
         "fx_leg_keys": "SELECT option_id, leg_seq, option_id * 16 + leg_seq AS leg_key, mode, departure, arrival, operator FROM fx_legs",
         "fx_u_bin": f"SELECT option_id, leg_seq, leg_key, mode, departure, arrival, operator, {uniform('leg_key', 20)} AS u0, {uniform('leg_key', 21)} AS u1, {uniform('leg_key', 22)} AS u2 FROM fx_leg_keys",
-        "fx_draws": "SELECT c_custkey AS vc_id, " + ", ".join(f"{uniform('c_custkey', k)} AS u{k}" for k in (1, 5, 6, 7, 8, 12, 13, 14, 15, 16, 17, 18, 19)) + " FROM customer",
+        "fx_draws": "SELECT c_custkey AS vc_id, " + ", ".join(f"{uniform('c_custkey', k)} AS u{k}" for k in (1, 2, 3, 4, 5, 6, 7, 8, 12, 13, 14, 15, 16, 17, 18, 19, 23, 24)) + " FROM customer",
         "fx_roads": "SELECT option_id AS road_id, leg_seq AS idx, lon, lat FROM fx_stops WHERE idx = 0",
         "fx_graph_nodes": f"SELECT CAST(i AS BIGINT) AS node_id, 5.40e0 + (i % 30) * 0.005e0 AS lon, 51.40e0 + floor(i / 30) * 0.005e0 AS lat FROM (SELECT 1 AS one) o {series(599)}",
         "fx_graph": "SELECT node_lo, node_hi, 300e0 + (node_lo * 37 + node_hi * 11) % 200 AS length FROM (SELECT node_id AS node_lo, node_id + 1 AS node_hi FROM fx_graph_nodes WHERE node_id % 30 < 29 UNION ALL SELECT node_id, node_id + 30 FROM fx_graph_nodes WHERE node_id < 570) e",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -275,7 +277,23 @@ def home_tiles(t: Tables) -> DataFrame:
     return drawn.select("vc_id", geo.cell_id(F.col("cell") % 150, F.floor(F.col("cell") / 150)).alias("origin_cell"))
 
 
-@query()
+def _home_sql() -> str:
+    """Tile by population, then a point in one of the hexagon's six triangles, unprojected by the authalic series."""
+    pole = 1 - (1 - geo.E2) / (2 * geo.E1) * math.log((1 - geo.E1) / (1 + geo.E1))
+    e2 = geo.E2
+    series = [e2 / 3 + 31 * e2**2 / 180 + 517 * e2**3 / 5040, 23 * e2**2 / 360 + 251 * e2**3 / 3780, 761 * e2**3 / 45360]
+    lat = " + ".join(f"{c!r}e0 * sin({2 * k} * b)" if "e" not in repr(c) else f"{c!r} * sin({2 * k} * b)" for k, c in enumerate(series, 1))
+    turn = lambda f, k: f"{f}(pi() / 6 + (side + {k}) * pi() / 3)"
+    return f"""WITH c AS ({cdf_sql('fx_tiles', '', 'cell', 'population')}),
+drawn AS (SELECT vc_id, cell, cell % 150 AS q, floor(cell / 150) AS r, floor(u2 * 6) AS side, CASE WHEN u3 + u4 > 1 THEN 1 - u3 ELSE u3 END AS a, CASE WHEN u3 + u4 > 1 THEN 1 - u4 ELSE u4 END AS b
+  FROM fx_draws JOIN c ON (u1 > cum_lo OR u1 = 0 AND cum_lo = 0) AND u1 <= cum_hi),
+placed AS (SELECT vc_id, cell, q, r, (q + r / 2) * {geo.SIDE * math.sqrt(3)!r}e0 + {geo.SIDE!r}e0 * (a * {turn('cos', 0)} + b * {turn('cos', 1)}) AS x,
+  asin((r * {geo.SIDE * 1.5!r}e0 + {geo.SIDE!r}e0 * (a * {turn('sin', 0)} + b * {turn('sin', 1)})) * {2 * geo.K0 / geo.A / pole!r}) AS b FROM drawn)
+SELECT vc_id, CAST((q + {geo.OFFSET}) * {geo.SPAN} + CAST(r AS BIGINT) + {geo.OFFSET} AS BIGINT) AS origin_cell, round(degrees(x / {geo.A * geo.K0!r}e0), 7) AS origin_lon, round(degrees(b + {lat}), 7) AS origin_lat, region
+FROM placed JOIN (SELECT cell AS tile, region FROM fx_tiles) t ON cell = tile"""
+
+
+@query(_home_sql())
 def homes(t: Tables) -> DataFrame:
     return rounded(sampling.homes(t.commuters.select("vc_id"), _cells(t)), 7)
 
@@ -347,17 +365,26 @@ def commuters(t: Tables) -> DataFrame:
 ROADS = f"v AS ({celled('fx_roads')}), pc AS (SELECT *, idx - row_number() OVER (PARTITION BY road_id, cell ORDER BY idx) AS piece FROM v)"
 
 
-@query(f"""WITH {ROADS}, xy AS (SELECT *, radians(lon) * {geo.A * geo.K0!r}e0 AS x, {geo.A / (2 * geo.K0)!r}e0 * ({1 - geo.E2!r}e0 * (sin(radians(lat)) / (1 - {geo.E2!r}e0 * pow(sin(radians(lat)), 2)) - {1 / (2 * geo.E1)!r}e0 * ln((1 - {geo.E1!r}e0 * sin(radians(lat))) / (1 + {geo.E1!r}e0 * sin(radians(lat)))))) AS y FROM pc),
-d AS (SELECT *, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS d FROM xy WINDOW w AS (PARTITION BY road_id, cell, piece ORDER BY idx)), l AS (SELECT road_id, cell, piece, count(*) AS n_points, CASE WHEN count(*) = 1 THEN 1e0 ELSE round(coalesce(sum(d), 0), 2) END AS length FROM d GROUP BY 1, 2, 3)
-SELECT road_id, cell, CAST(piece AS BIGINT) AS piece, n_points, length, round(length / sum(length) OVER (PARTITION BY cell), 6) AS share FROM l""")
+STEPS = f"""xy AS (SELECT *, radians(lon) * {geo.A * geo.K0!r}e0 AS x, {geo.A / (2 * geo.K0)!r}e0 * ({1 - geo.E2!r}e0 * (sin(radians(lat)) / (1 - {geo.E2!r}e0 * pow(sin(radians(lat)), 2)) - {1 / (2 * geo.E1)!r}e0 * ln((1 - {geo.E1!r}e0 * sin(radians(lat))) / (1 + {geo.E1!r}e0 * sin(radians(lat)))))) AS y FROM pc),
+d AS (SELECT *, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS d FROM xy WINDOW w AS (PARTITION BY road_id, cell, piece ORDER BY idx)), lengths AS (SELECT road_id, cell, piece, count(*) AS n_points, CASE WHEN count(*) = 1 THEN 1e0 ELSE round(coalesce(sum(d), 0), 2) END AS length FROM d GROUP BY 1, 2, 3)"""
+
+
+@query(f"""WITH {ROADS}, {STEPS}
+SELECT road_id, cell, CAST(piece AS BIGINT) AS piece, n_points, length, round(length / sum(length) OVER (PARTITION BY cell), 6) AS share FROM lengths""")
 def road_pieces(t: Tables) -> DataFrame:
     vertices = t.roads.withColumn("cell", geo.cell_of(F.col("lon"), F.col("lat")))
     return rounded(roads_of.piece_lengths(roads_of.road_pieces(vertices)).withColumn("piece", F.col("piece").cast("long")), length=2)
 
 
-@query()
+@query(f"""WITH {ROADS}, {STEPS}, l AS (SELECT *, CAST(road_id AS VARCHAR) || '/' || CAST(piece AS VARCHAR) AS name FROM lengths), c AS ({cdf_sql('l', 'cell', 'name', 'length')}), h AS ({celled('fx_commuters', 'olon', 'olat')}),
+drawn AS (SELECT h.vc_id, h.cell, c.name, u24 FROM h JOIN fx_draws w ON h.vc_id = w.vc_id JOIN c ON h.cell = c.cell AND (u23 > cum_lo OR u23 = 0 AND cum_lo = 0) AND u23 <= cum_hi),
+segments AS (SELECT *, sum(s) OVER w AS upto, sum(s) OVER (PARTITION BY road_id, cell, piece) AS whole FROM (SELECT road_id, cell, piece, idx, x, y, coalesce(lead(x) OVER w - x, 0) AS dx, coalesce(lead(y) OVER w - y, 0) AS dy, lead(x) OVER w IS NULL AS ends,
+  coalesce(sqrt(pow(lead(x) OVER w - x, 2) + pow(lead(y) OVER w - y, 2)), 0) AS s, count(*) OVER (PARTITION BY road_id, cell, piece) AS n FROM xy WINDOW w AS (PARTITION BY road_id, cell, piece ORDER BY idx)) q WINDOW w AS (PARTITION BY road_id, cell, piece ORDER BY idx ROWS UNBOUNDED PRECEDING)),
+hit AS (SELECT vc_id, d.cell, g.road_id, g.piece, idx, x, y, dx, dy, CASE WHEN s > 0 THEN (u24 * whole - (upto - s)) / s ELSE 0 END AS part FROM drawn d JOIN l ON d.cell = l.cell AND d.name = l.name JOIN segments g ON l.road_id = g.road_id AND l.cell = g.cell AND l.piece = g.piece
+  WHERE (NOT ends OR n = 1) AND u24 * whole >= upto - s AND (u24 * whole <= upto OR n = 1))
+SELECT vc_id, cell, road_id, CAST(piece AS BIGINT) AS piece, round(x + part * dx, 3) AS x, round(y + part * dy, 3) AS y FROM hit QUALIFY row_number() OVER (PARTITION BY vc_id ORDER BY idx) = 1""")
 def road_points(t: Tables) -> DataFrame:
     vertices = t.roads.withColumn("cell", geo.cell_of(F.col("lon"), F.col("lat")))
     pieces = roads_of.road_pieces(vertices)
     rows = t.commuters.select("vc_id", geo.cell_of(F.col("olon"), F.col("olat")).alias("cell"))
-    return rounded(roads_of.points_on_roads(rows, pieces), 3)
+    return rounded(roads_of.points_on_roads(rows, pieces).withColumn("piece", F.col("piece").cast("long")), 3)

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowatlas.plans import mobility, operations, places
+from flowatlas.plans import files, mobility, operations, places
 from flowatlas.plans.fixtures import with_ctes
 
-MODULES = (mobility, places, operations)
+MODULES = (mobility, places, operations, files)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
