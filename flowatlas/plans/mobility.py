@@ -288,6 +288,25 @@ def od_points(t: Tables) -> DataFrame:
     return rounded(first.select("vc_id", F.explode(ends).alias("e")).select("vc_id", "e.*"))
 
 
-@query()
+def _loop_sql(rounds: int) -> str:
+    """The loop's rounds one after the other; a round that changes no choice is the last one."""
+    parts = ["hops AS (SELECT *, least(node, after) AS node_lo, greatest(node, after) AS node_hi FROM (SELECT *, lead(node) OVER (PARTITION BY option_id, leg_seq ORDER BY i) AS after FROM fx_route_nodes) h WHERE after IS NOT NULL)", "late0 AS (SELECT option_id, 0e0 AS delay FROM fx_options)"]
+    for k in range(1, rounds + 1):
+        parts += [
+            f"""chosen{k} AS MATERIALIZED (SELECT o.vc_id, arg_min(o.option_id, (coalesce(f.duration + coalesce(d.delay, 0), 0), o.opt_ord)) AS option_id FROM fx_options o LEFT JOIN fx_facts f ON o.option_id = f.option_id LEFT JOIN late{k - 1} d ON o.option_id = d.option_id JOIN fx_commuters c ON o.vc_id = c.vc_id
+WHERE c.usage IS NOT NULL OR NOT coalesce(f.has_car, false) GROUP BY o.vc_id)""",
+            f"used{k} AS (SELECT node_lo, node_hi, count(*) * 0.5e0 AS usage FROM hops WHERE option_id IN (SELECT option_id FROM chosen{k}) GROUP BY 1, 2)",
+            FACTORS.replace("factors AS", f"factors{k} AS").replace("FROM used u", f"FROM used{k} u"),
+            DELAYS.replace("sums AS", f"sums{k} AS").replace("delays AS", f"delays{k} AS").replace("FROM sums s", f"FROM sums{k} s").replace("JOIN factors f", f"JOIN factors{k} f"),
+            f"late{k} AS MATERIALIZED (SELECT o.option_id, 0.9e0 * o.delay + 0.1e0 * coalesce(n.delay, 0) AS delay FROM late{k - 1} o LEFT JOIN (SELECT option_id, sum(delay) AS delay FROM delays{k} GROUP BY option_id) n ON o.option_id = n.option_id)",
+        ]
+    same = " ".join(f"WHEN NOT EXISTS (SELECT * FROM chosen{k} EXCEPT SELECT * FROM chosen{k - 1}) THEN {k}" for k in range(2, rounds + 1))
+    ends = [(k, k - 1) for k in range(2, rounds + 1)] + [(0, rounds)]
+    parts.append(f"last AS (SELECT CASE {same} ELSE 0 END AS k)")
+    rows = " UNION ALL ".join(f"SELECT {k or rounds} AS round, c.option_id, c.vc_id, round(d.delay, 3) AS delay FROM chosen{k or rounds} c LEFT JOIN late{d} d ON c.option_id = d.option_id WHERE (SELECT k FROM last) = {k}" for k, d in ends)
+    return f"WITH {', '.join(parts)} {rows}"
+
+
+@query(_loop_sql(4))
 def congestion_loop(t: Tables) -> DataFrame:
     return rounded(feedback.congestion_loop(t.options, choice.option_facts(t.legs), _commuters(t), t.routes().where("osm_nodes is not null"), t.edge_table(), vehicles_per_journey=0.5, rounds=4), delay=3)

@@ -107,6 +107,30 @@ def matching_pairs(t: Tables) -> DataFrame:
     return placed.withColumn("target", F.lead("node_id").over(order)).where("target is not null").select(F.col("node_id").alias("source"), "target").distinct()
 
 
+#: Edges are 300 to 499 long and any two nodes of the 30 by 20 grid are at most 48 edges apart: no shortest path has more edges.
+LONGEST = 48 * 499 // 300 + 1
+
+
+def _lengths_sql() -> str:
+    """Distances of all pairs by relaxing all edges as often as a shortest path can have edges."""
+    rounds = ["d0 AS (SELECT DISTINCT source, source AS node, 0e0 AS dist FROM wanted)"]
+    for k in range(1, LONGEST + 1):
+        rounds.append(f"d{k} AS MATERIALIZED (SELECT source, node, min(dist) AS dist FROM (SELECT * FROM d{k - 1} UNION ALL SELECT source, after, dist + length FROM d{k - 1} JOIN roads ON node = before) r GROUP BY 1, 2)")
+    return f"""WITH {STEPS}, {NEAR}, hops AS (SELECT leg_key, node_id AS source, lead(node_id) OVER (PARTITION BY leg_key ORDER BY step) AS target FROM steps s JOIN near n ON s.lon = n.lon AND s.lat = n.lat), wanted AS MATERIALIZED (SELECT DISTINCT source, target FROM hops WHERE target IS NOT NULL),
+roads AS MATERIALIZED (SELECT node_lo AS before, node_hi AS after, length FROM fx_graph UNION ALL SELECT node_hi, node_lo, length FROM fx_graph), {', '.join(rounds)}
+SELECT w.source, w.target, dist AS length, dist AS walked FROM wanted w JOIN d{LONGEST} d ON w.source = d.source AND w.target = d.node"""
+
+
+@query(_lengths_sql())
+def path_lengths(t: Tables) -> DataFrame:
+    """Each pair's distance, and the sum of the edges of its path."""
+    pairs = matching_pairs(t)
+    paths = store.shared_checkpoint(matching.shortest_paths(pairs, t.graph))
+    edges = congestion.route_edges(paths.select("source", "target", F.col("path").alias("osm_nodes")))
+    walked = edges.join(t.graph, ["node_lo", "node_hi"]).groupBy("source", "target").agg(F.sum("length").alias("walked"))
+    return paths.select("source", "target", "length").join(walked, ["source", "target"], "left").withColumn("walked", F.coalesce("walked", F.lit(0.0)))
+
+
 @query("SELECT least(a, b) AS node_lo, greatest(a, b) AS node_hi, min(len) AS length FROM (SELECT node AS a, after AS b, 50e0 + (node * 31 + after * 17) % 400 AS len FROM (SELECT node, lead(node) OVER (PARTITION BY option_id, leg_seq ORDER BY i) AS after FROM fx_route_nodes) p WHERE after IS NOT NULL) q GROUP BY 1, 2")
 def undirected_graph(t: Tables) -> DataFrame:
     edges = congestion.used_edges(t.routes().where("osm_nodes is not null"))
