@@ -284,13 +284,12 @@ def _home_sql() -> str:
     series = [e2 / 3 + 31 * e2**2 / 180 + 517 * e2**3 / 5040, 23 * e2**2 / 360 + 251 * e2**3 / 3780, 761 * e2**3 / 45360]
     lat = " + ".join(f"{c!r}e0 * sin({2 * k} * b)" if "e" not in repr(c) else f"{c!r} * sin({2 * k} * b)" for k, c in enumerate(series, 1))
     turn = lambda f, k: f"{f}(pi() / 6 + (side + {k}) * pi() / 3)"
-    return f"""WITH c AS ({cdf_sql('fx_tiles', '', 'cell', 'population')}),
-drawn AS (SELECT vc_id, cell, cell % 150 AS q, floor(cell / 150) AS r, floor(u2 * 6) AS side, CASE WHEN u3 + u4 > 1 THEN 1 - u3 ELSE u3 END AS a, CASE WHEN u3 + u4 > 1 THEN 1 - u4 ELSE u4 END AS b
-  FROM fx_draws JOIN c ON (u1 > cum_lo OR u1 = 0 AND cum_lo = 0) AND u1 <= cum_hi),
-placed AS (SELECT vc_id, cell, q, r, (q + r / 2) * {geo.SIDE * math.sqrt(3)!r}e0 + {geo.SIDE!r}e0 * (a * {turn('cos', 0)} + b * {turn('cos', 1)}) AS x,
+    return f"""WITH grid AS (SELECT (q + {geo.OFFSET}) * {geo.SPAN} + r + {geo.OFFSET} AS tile, q, r, population, region FROM (SELECT cell % 150 AS q, CAST(floor(cell / 150) AS BIGINT) AS r, population, region FROM fx_tiles) g), c AS ({cdf_sql('grid', '', 'tile', 'population')}),
+drawn AS (SELECT vc_id, g.tile, g.region, q, r, floor(u2 * 6) AS side, CASE WHEN u3 + u4 > 1 THEN 1 - u3 ELSE u3 END AS a, CASE WHEN u3 + u4 > 1 THEN 1 - u4 ELSE u4 END AS b
+  FROM fx_draws JOIN c ON (u1 > cum_lo OR u1 = 0 AND cum_lo = 0) AND u1 <= cum_hi JOIN grid g ON c.tile = g.tile),
+placed AS (SELECT vc_id, tile, region, (q + r / 2) * {geo.SIDE * math.sqrt(3)!r}e0 + {geo.SIDE!r}e0 * (a * {turn('cos', 0)} + b * {turn('cos', 1)}) AS x,
   asin((r * {geo.SIDE * 1.5!r}e0 + {geo.SIDE!r}e0 * (a * {turn('sin', 0)} + b * {turn('sin', 1)})) * {2 * geo.K0 / geo.A / pole!r}) AS b FROM drawn)
-SELECT vc_id, CAST((q + {geo.OFFSET}) * {geo.SPAN} + CAST(r AS BIGINT) + {geo.OFFSET} AS BIGINT) AS origin_cell, round(degrees(x / {geo.A * geo.K0!r}e0), 7) AS origin_lon, round(degrees(b + {lat}), 7) AS origin_lat, region
-FROM placed JOIN (SELECT cell AS tile, region FROM fx_tiles) t ON cell = tile"""
+SELECT vc_id, CAST(tile AS BIGINT) AS origin_cell, round(degrees(x / {geo.A * geo.K0!r}e0), 7) AS origin_lon, round(degrees(b + {lat}), 7) AS origin_lat, region FROM placed"""
 
 
 @query(_home_sql())
