@@ -306,3 +306,12 @@ def test_statistics_feed_and_grid_readers(spark, tmp_path):
 def test_merge_places_can_drop_repeats(spark):
     a = spark.createDataFrame([(1,), (2,)], "cell long")
     assert tiles.merge_places([a, a]).count() == 4 and tiles.merge_places([a, a], distinct_cells=True).count() == 2
+
+
+def test_tile_region_takes_the_largest_area_then_the_first(spark):
+    square = lambda x0, y0, x1, y1: [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+    rows = [("b", square(-3000.0, -3000.0, 3000.0, 3000.0)), ("c", square(-100.0, -100.0, 100.0, 100.0)), ("a", square(9e4, 9e4, 9.1e4, 9.1e4))]
+    regions = spark.createDataFrame(rows, "region string, ring array<struct<x:double,y:double>>")
+    here, far = (spark.range(1).select(geo.cell_of_plane(F.lit(float(x)), F.lit(float(x))).alias("cell")) for x in (0, 500000))
+    found = {r.cell: r.region for r in tiles.tile_region(here.unionByName(far), regions).collect()}
+    assert found == {here.first().cell: "b", far.first().cell: "a"}
