@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowatlas.llm import exact_dedup, fingerprints, html_extract, licenses, lm_score, mixing, near_dedup, packing, quality, toxicity
+from flowatlas.llm import (
+    alignment, chat, clustering, exact_dedup, fingerprints, html_extract, licenses, lm_score, mixing, near_dedup, packing, quality, toxicity,
+)
 from flowatlas.llm.common import table
 
 #: The chain's categories: poor text, abuse, abuse within poor text.
@@ -25,6 +27,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def aligned_tokenizers() -> tuple[str, str, str, str]:
+    import public_tokenizers as tokenizers
+
+    return (*[tokenizers.path(name) for name in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model")], tokenizers.PATTERN)
+
+
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return html_extract.extract_text(table(spark, sf_dir, "pages"))
@@ -76,5 +84,26 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster, distance and inertia of every vector."""
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What reads back from every formatted conversation, and from one whose texts hold control strings."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.createDataFrame([(-7, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))], rows.schema)
+    return chat.digests(rows.unionByName(odd))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups, links and the links' counts of every document's tokens by two tokenizers."""
+    return alignment.aligned(table(spark, sf_dir, "documents"), aligned_tokenizers())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_document_fingerprints, op3_license_scans, op4_lm_scoring, op5_toxicity, op6_best_fit_packing, op7_exact_dedup, op8_source_mixing, op9_quality_classifier, op10_simhash_near_dedup)}
+    found = (
+        op1_html_extraction, op2_document_fingerprints, op3_license_scans, op4_lm_scoring, op5_toxicity, op6_best_fit_packing, op7_exact_dedup,
+        op8_source_mixing, op9_quality_classifier, op10_simhash_near_dedup, op11_centroid_clustering, op12_chat_formatting, op13_tokenizer_alignment,
+    )
+    return {f.__name__: f for f in found}

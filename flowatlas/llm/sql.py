@@ -2,7 +2,7 @@
 
 import math
 
-from flowatlas.llm import fingerprints, licenses
+from flowatlas.llm import chat, fingerprints, licenses
 
 _SQUEEZED = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -49,7 +49,43 @@ array_to_string(list_sort(list_distinct(base || coalesce(found, []))), ',') AS l
 """
 
 
+def _clustering_sql(clusters: int = 16, rounds: int = 3) -> str:
+    gap = "list_sum(list_transform(range(1, 65), lambda i: (v.q[i] - c.q[i]) * (v.q[i] - c.q[i])))"
+    steps = [
+        "v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings"
+        " WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS c, q FROM (SELECT q, sha256('1:' || vec_id) AS h FROM v ORDER BY h LIMIT {clusters}) x)",
+    ]
+    for k in range(rounds + 1):
+        steps.append(f"a{k} AS (SELECT vec_id, arg_min(c, (d, c)) AS c, min(d) AS d, any_value(q) AS q FROM (SELECT v.vec_id, v.q, c.c, {gap} AS d FROM v, c{k} c) x GROUP BY vec_id)")
+        mean = "CAST((s - ((s % n) + n) % n) // n AS BIGINT)"
+        steps.append(
+            f"m{k} AS (SELECT c, list({mean} ORDER BY i) AS q FROM (SELECT c, i, sum(q[i]) AS s, count(*) AS n FROM a{k}, range(1, 65) r(i) GROUP BY c, i) x GROUP BY c), "
+            f"c{k + 1} AS (SELECT c.c, coalesce(m.q, c.q) AS q FROM c{k} c LEFT JOIN m{k} m ON c.c = m.c)"
+        )
+    return (
+        f"WITH {', '.join(steps)} SELECT a.vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, "
+        f"CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c ON a.c = c.c"
+    )
+
+
+def _chat_sql() -> str:
+    hidden = lambda x: f"length(regexp_replace({x}, '{chat.PLAIN}', '\\1\\\\\\2\\3', 'g'))"
+    opening = f"{len(chat.START)} + {hidden('role')} + {len(chat.BODY)}"
+    return f"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+UNION ALL SELECT -7, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) t(k)),
+p AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before FROM r),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+sum({hidden('text')} + CASE WHEN before IS NULL THEN {opening} WHEN before = role THEN {len(chat.TURN)} ELSE {len(chat.END)} + {opening} END) AS n FROM p GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(n + {len(chat.END)} AS BIGINT) AS formatted_chars FROM g
+"""
+
+
 ORACLE_SQL = {
+    "op11_centroid_clustering": _clustering_sql(),
+    "op12_chat_formatting": _chat_sql(),
     "op2_document_fingerprints": f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 n AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS after, length(text) AS n FROM t),
