@@ -76,6 +76,9 @@ FROM part JOIN (SELECT n_nationkey AS k, {nuts3} AS region FROM nation) r ON p_p
   CASE WHEN p_partkey % 5 = 0 THEN 'yes' END AS office, CASE WHEN p_partkey % 6 = 1 THEN 'school' WHEN p_partkey % 6 = 2 THEN 'restaurant' END AS amenity, CASE WHEN p_partkey % 8 = 3 THEN 'hotel' WHEN p_partkey % 8 = 5 THEN 'yes' END AS building, CASE WHEN p_partkey % 10 = 4 THEN 'water' END AS natural_,
   524000e0 + (p_partkey * 7 % 160) * 100e0 AS x, 5710000e0 + (p_partkey * 5 % 110) * 120e0 AS y
 FROM part""",
+        # places of two parts, each with a hole; the parts of some overlap
+        "fx_place_vertices": f"""SELECT n_name AS place_id, part, ring, i, 5.41e0 + (n_nationkey * 37 % 140) * 0.001e0 + part * 0.03e0 + radius * cos(i * 0.39269908169872414e0 + 0.1e0) AS x, 51.41e0 + (n_nationkey * 53 % 90) * 0.001e0 - part * 0.02e0 + radius * sin(i * 0.39269908169872414e0 + 0.1e0) AS y
+FROM (SELECT *, (0.012e0 + 0.002e0 * (n_nationkey % 7)) * (1e0 + 0.08e0 * ((i * 7 + n_nationkey) % 5)) * (1e0 - 0.6e0 * ring) AS radius FROM nation CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS r(part, ring) {series(15)}) v""",
         "fx_links": f"SELECT o_custkey % 200 AS place, o_custkey % 40 AS provider, o_orderdate AS date, o_orderkey AS ord, 'L' || CAST(o_orderkey AS {text}) AS link FROM orders",
         "fx_targets": "SELECT CAST(t AS DATE) AS target FROM (VALUES " + ", ".join(f"('{t}')" for t in TARGETS) + ") AS v(t)",
         "fx_stops_gtfs": f"SELECT CAST(s_suppkey AS {text}) AS stop_id FROM supplier WHERE s_suppkey % 7 <> 3",

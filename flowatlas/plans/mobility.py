@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowatlas.functions import geo, predicates
-from flowatlas.operators import choice, congestion, feedback, heatmap, shares, traces
+from flowatlas.operators import choice, congestion, feedback, heatmap, places, shares, traces
 from flowatlas.plans.fixtures import RING, VEHICLE_FACTORS, Tables
 
 QUERIES, SQL = {}, {}
@@ -113,6 +113,25 @@ def clipped_shares(t: Tables) -> DataFrame:
     return rounded(shares.simulation_stats(_selection(t), t.nested_legs(), inside=geo.in_ring(F.col("lon"), F.col("lat"), RING)), **{m: 2 for m in M8})
 
 
+PLACED = """ring_edges AS (SELECT place_id, part, x AS xa, y AS ya, coalesce(lead(x) OVER w, first_value(x) OVER w) AS xb, coalesce(lead(y) OVER w, first_value(y) OVER w) AS yb FROM fx_place_vertices WINDOW w AS (PARTITION BY place_id, part, ring ORDER BY i)),
+spots AS (SELECT DISTINCT lon, lat FROM fx_trace), hits AS (SELECT place_id, part, lon, lat FROM spots JOIN ring_edges ON (ya > lat) <> (yb > lat) AND lon < (xb - xa) * (lat - ya) / (yb - ya) + xa GROUP BY ALL HAVING count(*) % 2 = 1),
+placed AS (SELECT t.*, h.place_id FROM fx_trace t JOIN (SELECT DISTINCT place_id, lon, lat FROM hits) h ON t.lon = h.lon AND t.lat = h.lat)"""
+
+
+@query(f"WITH {PLACED} SELECT option_id, CAST(seq AS INTEGER) AS seq, place_id FROM placed")
+def points_in_places(t: Tables) -> DataFrame:
+    """Every trace point with the places, of several parts with holes, that it lies in."""
+    index = places.cover_index(places.rings_of(t.place_vertices))
+    return places.points_in_places(traces.trace_points(t.nested_legs()), index, ["option_id", "seq"]).select("option_id", "seq", "place_id")
+
+
+@query(f"""WITH {PLACED}, marked AS (SELECT option_id, seq, max(CASE WHEN is_leg_start THEN seq END) OVER (PARTITION BY option_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_start FROM fx_trace),
+carried AS (SELECT p.option_id, p.place_id, p.seq, lon, lat, mode, is_leg_start OR coalesce(last_start, -1) > coalesce(lag(p.seq) OVER (PARTITION BY p.option_id, place_id ORDER BY p.seq), -1) AS is_leg_start FROM placed p JOIN marked m ON p.option_id = m.option_id AND p.seq = m.seq),
+p AS ({pairs('carried', 'option_id, place_id')}), z AS (SELECT place_id, {MEASURE} FROM p GROUP BY place_id) SELECT place_id, {measures()}, {share_columns()} FROM z""")
+def place_shares(t: Tables) -> DataFrame:
+    """Modal shares of all traces clipped to each place."""
+    index = places.cover_index(places.rings_of(t.place_vertices))
+    return rounded(places.shares_by_place(traces.trace_points(t.nested_legs()), index), **{m: 2 for m in M8})
 
 
 def celled(source: str, lon: str = "lon", lat: str = "lat") -> str:
