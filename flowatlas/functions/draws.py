@@ -37,9 +37,16 @@ class Salt(IntEnum):
     ROAD_AT = 24
 
 
+#: Odd multipliers below 2^31, so that their products with 32 bits stay within 63 bits in any engine.
+LOW, HIGH, MIX = 668265261, 374761393, 73244475
+MASK = 2**32 - 1
+
+
 def uniform(key: Column, salt: int, seed: int = 0) -> Column:
-    """A number in [0, 1) for an integer key below about 3.4e9; for other keys pass an xxhash64 reduced below that."""
-    x = (key.cast("long") * F.lit(2654435761) + F.lit(salt * 40503 + seed * 69069)) % F.lit(4294967296)
-    for _ in range(2):
-        x = F.shiftright(x, 16).bitwiseXOR(x) * F.lit(73244475) % F.lit(4294967296)
+    """A number in [0, 1) for any whole key of 64 bits: its halves are mixed in one after the other."""
+    mixed = lambda x: F.shiftright(x, 16).bitwiseXOR(x) * F.lit(MIX) % F.lit(MASK + 1)
+    key = key.cast("long")
+    low, high = key.bitwiseAND(F.lit(MASK)), F.shiftright(key, 32).bitwiseAND(F.lit(MASK))
+    x = mixed(mixed((low * F.lit(LOW) + F.lit((salt * 40503 + seed * 69069) % (MASK + 1))) % F.lit(MASK + 1)))
+    x = mixed(mixed((x + high * F.lit(HIGH)) % F.lit(MASK + 1)))
     return F.shiftright(x, 16).bitwiseXOR(x) / F.lit(4294967296.0)

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowatlas.functions import geo
 from flowatlas.functions.draws import Salt, uniform
+from flowatlas.functions.prefix import running_sums
 
-#: Slots that [0, 1) is cut into when draws are looked up.
-SLOTS = 1024
 #: Least distance in metres for a car or motorcycle; use of a utility vehicle; parking chance where it isn't modelled.
 MIN_DISTANCE, UTILITY_USE, PLAIN_PARKING = 3000.0, 0.95, 0.9
 
@@ -19,26 +18,38 @@ MIN_DISTANCE, UTILITY_USE, PLAIN_PARKING = 3000.0, 0.95, 0.9
 def weights_cdf(events: DataFrame, group: list[str], event: str, weight: str, *, reference_thresholds: bool = False) -> DataFrame:
     """``group``, ``event``, cum_lo, cum_hi: intervals (cum_lo, cum_hi] of each event, ordered by weight, then event.
 
-    The last interval ends at 1. ``reference_thresholds`` gives the thresholds p0, 2 p0, 2 p0 + p1, ... instead.
+    The last interval ends at 1. ``reference_thresholds`` gives the thresholds p0, 2 p0, 2 p0 + p1, ... instead. Weights
+    count to 12 decimal places and are added exactly, in ranges, whatever the size of a group.
     """
-    order = Window.partitionBy(*group).orderBy("_p", event)
-    whole = Window.partitionBy(*group)
-    rows = events.where(F.col(weight) > 0).withColumn("_p", F.col(weight) / F.sum(weight).over(whole))
-    upto = F.sum("_p").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = running_sums(events.where(F.col(weight) > 0).select(*group, event, weight), group, [weight, event], weight)
+    least, total = F.coalesce(F.col("_least"), F.lit(0)), F.col("_total").cast("double")
+    part = lambda x: F.least(x.cast("double") / total, F.lit(1.0))
+    last = F.col("_before") + F.col("_value") >= F.col("_total")
     if reference_thresholds:
-        first = F.first("_p").over(order.rowsBetween(Window.unboundedPreceding, 0))
-        upto = first + upto - F.col("_p")
-    rows = rows.withColumn("_up", upto).withColumn("_last", F.lead(event).over(order).isNull()).withColumn("_down", F.coalesce(F.lag("_up").over(order), F.lit(0.0)))
-    return rows.select(*group, event, F.least("_down", F.lit(1.0)).alias("cum_lo"), F.when(F.col("_last"), 1.0).otherwise(F.least("_up", F.lit(1.0))).alias("cum_hi")).where("cum_hi > cum_lo")
+        smallest = rows.groupBy(*group).agg(F.min("_value").alias("_least"))
+        rows = rows.join(smallest, group) if group else rows.join(F.broadcast(smallest))  # one row without groups
+        up, down = least + F.col("_before"), F.when(F.col("_previous").isNull(), 0).otherwise(least + F.col("_before") - F.col("_previous"))
+    else:
+        up, down = F.col("_before") + F.col("_value"), F.col("_before")
+    return rows.select(*group, event, part(down).alias("cum_lo"), F.when(last, 1.0).otherwise(part(up)).alias("cum_hi")).where("cum_hi > cum_lo")
 
 
 def weighted_choice(rows: DataFrame, cdf: DataFrame, group: list[str], u: Column, *, keep: bool = False) -> DataFrame:
     """``rows`` with the event whose interval holds ``u``: intervals are spread over slots, so it is an equi-join.
 
+    A group has at least as many slots as events, so a draw meets some two intervals on average, however many there are.
     Rows whose group has no events drop out, or with ``keep`` have a null event.
     """
-    slots = cdf.withColumn("_slot", F.explode(F.sequence(F.floor(F.col("cum_lo") * SLOTS).cast("int"), F.least(F.floor(F.col("cum_hi") * SLOTS), F.lit(SLOTS - 1)).cast("int"))))
-    drawn = rows.withColumn("_u", u).withColumn("_slot", F.floor(F.col("_u") * SLOTS).cast("int"))
+    size = F.pow(F.lit(2.0), F.ceil(F.log2(F.count(F.lit(1))))).cast("long").alias("_slots")
+    if group:
+        sizes = cdf.groupBy(*group).agg(size)  # a row for a group
+        cdf, rows = cdf.join(sizes, group), rows.join(sizes, group, "left" if keep else "inner")
+    else:
+        slots = cdf.agg(F.greatest(size, F.lit(1))).first()[0]
+        cdf, rows = cdf.withColumn("_slots", F.lit(slots)), rows.withColumn("_slots", F.lit(slots))
+    at = lambda c: F.floor(c * F.col("_slots"))
+    slots = cdf.withColumn("_slot", F.explode(F.sequence(at(F.col("cum_lo")), F.least(at(F.col("cum_hi")), F.col("_slots") - 1)))).drop("_slots")
+    drawn = rows.withColumn("_u", u).withColumn("_slot", at(F.col("_u"))).drop("_slots")
     hit = ((F.col("_u") > F.col("cum_lo")) | ((F.col("_u") == 0) & (F.col("cum_lo") == 0))) & (F.col("_u") <= F.col("cum_hi"))
     if not keep:
         return drawn.join(slots, [*group, "_slot"]).where(hit).drop("_u", "_slot", "cum_lo", "cum_hi")

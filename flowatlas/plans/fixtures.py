@@ -11,6 +11,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowatlas.functions import draws
+
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 #: The clip polygon of the queries.
 RING = [(5.42, 51.42), (5.53, 51.43), (5.50, 51.46), (5.54, 51.49), (5.45, 51.50), (5.41, 51.46)]
@@ -28,9 +30,13 @@ def ctes(engine: str) -> dict[str, str]:
     big = "BIGINT"
 
     def uniform(key: str, salt: int, seed: int = 0) -> str:
-        x = f"((CAST({key} AS {big}) * 2654435761 + {salt * 40503 + seed * 69069}) % 4294967296)"
-        for _ in range(2):
-            x = f"((({shift(x, 16)}) * 73244475) % 4294967296)"
+        k, c, full = f"CAST({key} AS {big})", (salt * 40503 + seed * 69069) % 2**32, 2**32
+        high = f"(shiftright({k}, 32) & {full - 1})" if spark else f"(({k} >> 32) & {full - 1})"
+        x = f"((({k} & {full - 1}) * {draws.LOW} + {c}) % {full})"
+        for step in range(4):
+            x = f"(({shift(x, 16)}) * {draws.MIX} % {full})"
+            if step == 1:
+                x = f"(({x} + {high} * {draws.HIGH}) % {full})"
         return f"(({shift(x, 16)}) / 4.294967296e9)"
 
     codes = ", ".join(f"({i}, '{c}')" for i, c in enumerate(("Y_LT5", "Y5-9", "Y10-14", "Y15-19", "Y20-24", "Y25-29", "Y30-34", "Y35-39", "Y40-44", "Y45-49", "Y50-54", "Y55-59", "Y60-64", "Y65-69", "Y70-74", "Y75-79", "Y80-84", "Y85-89", "Y_GE90")))
@@ -90,6 +96,8 @@ UNION ALL SELECT n_name, 'cancelled', CAST(1 + n_nationkey % 4 AS {text}) || '%'
         "fx_leg_keys": "SELECT option_id, leg_seq, option_id * 16 + leg_seq AS leg_key, mode, departure, arrival, operator FROM fx_legs",
         "fx_u_bin": f"SELECT option_id, leg_seq, leg_key, mode, departure, arrival, operator, {uniform('leg_key', 20)} AS u0, {uniform('leg_key', 21)} AS u1, {uniform('leg_key', 22)} AS u2 FROM fx_leg_keys",
         "fx_draws": "SELECT c_custkey AS vc_id, " + ", ".join(f"{uniform('c_custkey', k)} AS u{k}" for k in (1, 2, 3, 4, 5, 6, 7, 8, 12, 13, 14, 15, 16, 17, 18, 19, 23, 24)) + " FROM customer",
+        # keys from all over the 64 bits, of either sign
+        "fx_wide_draws": f"SELECT order_key, wide_key, {uniform('wide_key', 3, 11)} AS u FROM (SELECT o_orderkey AS order_key, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END * ((o_orderkey * 7919 % 2147483647) * 4294967296 + o_custkey * 31337) AS wide_key FROM orders) k",
         "fx_roads": "SELECT option_id AS road_id, leg_seq AS idx, lon, lat FROM fx_stops WHERE idx = 0",
         "fx_graph_nodes": f"SELECT CAST(i AS BIGINT) AS node_id, 5.40e0 + (i % 30) * 0.005e0 AS lon, 51.40e0 + floor(i / 30) * 0.005e0 AS lat FROM (SELECT 1 AS one) o {series(599)}",
         "fx_graph": "SELECT node_lo, node_hi, 300e0 + (node_lo * 37 + node_hi * 11) % 200 AS length FROM (SELECT node_id AS node_lo, node_id + 1 AS node_hi FROM fx_graph_nodes WHERE node_id % 30 < 29 UNION ALL SELECT node_id, node_id + 30 FROM fx_graph_nodes WHERE node_id < 570) e",

@@ -264,6 +264,12 @@ def weighted_choice(t: Tables) -> DataFrame:
     return sampling.weighted_choice(t.commuters.select("vc_id", "region"), cdf, ["region"], uniform(F.col("vc_id"), Salt.HOME)).select("vc_id", "region", "cell")
 
 
+@query("SELECT order_key, wide_key, round(u, 9) AS u FROM fx_wide_draws")
+def wide_draws(t: Tables) -> DataFrame:
+    """Draws for keys from all over the 64 bits."""
+    return rounded(t.wide_draws.select("order_key", "wide_key", uniform(F.col("wide_key"), 3, 11).alias("u")), 9)
+
+
 def _cells(t: Tables) -> DataFrame:
     """Tiles with grid cells instead of part keys."""
     return t.tiles.withColumn("cell", geo.cell_id(F.col("cell") % 150, F.floor(F.col("cell") / 150)))
