@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowatlas.functions import geo
+from flowatlas.operators.paths import shortest_paths
 from flowatlas.sources.store import shared_checkpoint
 
 
@@ -49,47 +48,6 @@ def nearest_nodes(points: DataFrame, nodes: DataFrame, *, cell_degrees: float =
         cell *= 2
 
 
-def shortest_paths(pairs: DataFrame, edges: DataFrame, *, max_rounds: int | None = None) -> DataFrame:
-    """(source, target, length, path): shortest paths by length on the undirected graph, path as an array of nodes.
-
-    ``pairs`` has source and target. One search per source serves all its targets: each round, the nodes improved in
-    the last round pass their distance on over their edges; a source stops when nothing beyond its farthest target's
-    distance is left to improve. Ties go to the smaller parent. Unreachable targets drop out.
-    Rounds go on until nothing improves; a search that is still open after ``max_rounds``, if given, is an error.
-    """
-    both = edges.select(F.col("node_lo").alias("node"), F.col("node_hi").alias("next"), "length").unionByName(edges.select(F.col("node_hi").alias("node"), F.col("node_lo").alias("next"), "length"))
-    wanted = pairs.distinct()
-    reached = shared_checkpoint(wanted.select("source", F.col("source").alias("node")).distinct().withColumn("dist", F.lit(0.0)).withColumn("parent", F.lit(None).cast("long")))
-    frontier = reached
-    for done in count(1):
-        # a source's bound: the farthest of its targets, once all of them are reached
-        far = wanted.join(reached.select("source", F.col("node").alias("target"), "dist"), ["source", "target"], "left").groupBy("source").agg(F.max("dist").alias("_far"), F.max(F.col("dist").isNull()).alias("_open"))
-        passed = frontier.join(both, "node").select("source", F.col("next").alias("node"), (F.col("dist") + F.col("length")).alias("dist"), F.col("node").alias("parent"))
-        passed = passed.join(far, "source").where(F.col("_open") | (F.col("dist") < F.col("_far"))).select("source", "node", "dist", "parent")
-        best = passed.groupBy("source", "node").agg(F.min(F.struct("dist", "parent")).alias("_b")).select("source", "node", F.col("_b.dist").alias("_d"), F.col("_b.parent").alias("_q"))
-        joined = shared_checkpoint(reached.join(best, ["source", "node"], "full"))
-        better = F.col("_d").isNotNull() & (F.col("dist").isNull() | (F.col("_d") < F.col("dist")))
-        updated = joined.select("source", "node", F.when(better, F.col("_d")).otherwise(F.col("dist")).alias("dist"), F.when(better, F.col("_q")).otherwise(F.col("parent")).alias("parent"), better.alias("_new"))
-        frontier = updated.where("_new").drop("_new")
-        reached = updated.drop("_new")
-        if frontier.isEmpty():
-            break
-        if max_rounds is not None and done >= max_rounds:
-            raise RuntimeError(f"shortest paths still open after {max_rounds} rounds")
-    # back from each target to its source, a step a round
-    walk = shared_checkpoint(wanted.join(reached.select("source", F.col("node").alias("target"), "dist", "parent"), ["source", "target"]).select("source", "target", F.col("dist").alias("length"), F.array("target").alias("path"), F.col("parent").alias("_at")))
-    ends = None
-    while True:
-        home = walk.where("_at is null").drop("_at")
-        ends = home if ends is None else ends.unionByName(home)
-        going = walk.where("_at is not null")
-        if going.isEmpty():
-            break
-        parents = reached.select("source", F.col("node").alias("_at"), "parent")
-        walk = shared_checkpoint(going.join(parents, ["source", "_at"]).select("source", "target", "length", F.concat(F.array("_at"), "path").alias("path"), F.col("parent").alias("_at")))
-    return ends
-
-
 def match_legs(steps: DataFrame, nodes: DataFrame, edges: DataFrame, *, matched: DataFrame | None = None, **options) -> DataFrame:
     """(leg_key, osm_nodes): the route of each leg through its step points, joints not repeated.
 

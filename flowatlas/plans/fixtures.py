@@ -119,7 +119,8 @@ def with_ctes(engine: str, body: str) -> str:
     if not needed:
         return body
     head = ", ".join(f"{n} AS ({tables[n]})" for n in needed)
-    return f"WITH {head}, {m[1]}" if (m := re.match(r"\s*WITH\s+(.*)", body, re.S)) else f"WITH {head} {body}"
+    m = re.match(r"\s*WITH\s+(RECURSIVE\s+)?(.*)", body, re.S)
+    return f"WITH {m[1] or ''}{head}, {m[2]}" if m else f"WITH {head} {body}"
 
 
 class Tables:

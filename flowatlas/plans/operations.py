@@ -93,12 +93,6 @@ def nearest_node(t: Tables) -> DataFrame:
     return matching.nearest_nodes(_steps(t), t.graph_nodes).select("leg_key", "step", "node_id")
 
 
-@query()
-def route_matching(t: Tables) -> DataFrame:
-    matched = matching.match_legs(_steps(t), t.graph_nodes, t.graph)
-    return matched.select("leg_key", F.array_join(F.transform("osm_nodes", lambda n: n.cast("string")), ",").alias("osm_nodes"))
-
-
 @query(f"""WITH {STEPS}, {NEAR}, hops AS (SELECT leg_key, node_id AS source, lead(node_id) OVER (PARTITION BY leg_key ORDER BY step) AS target FROM steps s JOIN near n ON s.lon = n.lon AND s.lat = n.lat), wanted AS (SELECT DISTINCT source, target FROM hops WHERE target IS NOT NULL)
 SELECT source, target FROM wanted""")
 def matching_pairs(t: Tables) -> DataFrame:
@@ -111,17 +105,16 @@ def matching_pairs(t: Tables) -> DataFrame:
 LONGEST = 48 * 499 // 300 + 1
 
 
-def _lengths_sql() -> str:
-    """Distances of all pairs by relaxing all edges as often as a shortest path can have edges."""
+def _distances() -> str:
+    """CTEs up to the distances of all pairs, by relaxing all edges as often as a shortest path can have edges."""
     rounds = ["d0 AS (SELECT DISTINCT source, source AS node, 0e0 AS dist FROM wanted)"]
     for k in range(1, LONGEST + 1):
         rounds.append(f"d{k} AS MATERIALIZED (SELECT source, node, min(dist) AS dist FROM (SELECT * FROM d{k - 1} UNION ALL SELECT source, after, dist + length FROM d{k - 1} JOIN roads ON node = before) r GROUP BY 1, 2)")
-    return f"""WITH {STEPS}, {NEAR}, hops AS (SELECT leg_key, node_id AS source, lead(node_id) OVER (PARTITION BY leg_key ORDER BY step) AS target FROM steps s JOIN near n ON s.lon = n.lon AND s.lat = n.lat), wanted AS MATERIALIZED (SELECT DISTINCT source, target FROM hops WHERE target IS NOT NULL),
-roads AS MATERIALIZED (SELECT node_lo AS before, node_hi AS after, length FROM fx_graph UNION ALL SELECT node_hi, node_lo, length FROM fx_graph), {', '.join(rounds)}
-SELECT w.source, w.target, dist AS length, dist AS walked FROM wanted w JOIN d{LONGEST} d ON w.source = d.source AND w.target = d.node"""
+    return f"""{STEPS}, {NEAR}, hops AS (SELECT leg_key, step, node_id AS source, lead(node_id) OVER (PARTITION BY leg_key ORDER BY step) AS target FROM steps s JOIN near n ON s.lon = n.lon AND s.lat = n.lat), wanted AS MATERIALIZED (SELECT DISTINCT source, target FROM hops WHERE target IS NOT NULL),
+roads AS MATERIALIZED (SELECT node_lo AS before, node_hi AS after, length FROM fx_graph UNION ALL SELECT node_hi, node_lo, length FROM fx_graph), {', '.join(rounds)}"""
 
 
-@query(_lengths_sql())
+@query(f"WITH {_distances()} SELECT w.source, w.target, dist AS length, dist AS walked FROM wanted w JOIN d{LONGEST} d ON w.source = d.source AND w.target = d.node")
 def path_lengths(t: Tables) -> DataFrame:
     """Each pair's distance, and the sum of the edges of its path."""
     pairs = matching_pairs(t)
@@ -131,6 +124,16 @@ def path_lengths(t: Tables) -> DataFrame:
     return paths.select("source", "target", "length").join(walked, ["source", "target"], "left").withColumn("walked", F.coalesce("walked", F.lit(0.0)))
 
 
+@query(f"""WITH RECURSIVE {_distances()}, parents AS MATERIALIZED (SELECT d.source, d.node, min(before) AS parent FROM d{LONGEST} d JOIN roads ON node = after JOIN d{LONGEST} b ON b.source = d.source AND b.node = before WHERE b.dist + length = d.dist GROUP BY 1, 2),
+walk AS (SELECT source, target, target AS spot, 0 AS back FROM wanted UNION ALL SELECT w.source, target, parent, back + 1 FROM walk w JOIN parents p ON w.source = p.source AND spot = p.node),
+spots AS (SELECT leg_key, step, spot, back, back = max(back) OVER (PARTITION BY leg_key, step) AS joint, step = min(step) OVER (PARTITION BY leg_key) AS opens FROM hops h JOIN walk w ON h.source = w.source AND h.target = w.target)
+SELECT leg_key, string_agg(CAST(spot AS VARCHAR), ',' ORDER BY step, back DESC) AS osm_nodes FROM spots WHERE opens OR NOT joint GROUP BY leg_key""")
+def route_matching(t: Tables) -> DataFrame:
+    """The whole route of every car leg: each node the smallest one that lies on a shortest way."""
+    matched = matching.match_legs(_steps(t), t.graph_nodes, t.graph)
+    return matched.select("leg_key", F.array_join(F.transform("osm_nodes", lambda n: n.cast("string")), ",").alias("osm_nodes"))
+
+
 @query("SELECT least(a, b) AS node_lo, greatest(a, b) AS node_hi, min(len) AS length FROM (SELECT node AS a, after AS b, 50e0 + (node * 31 + after * 17) % 400 AS len FROM (SELECT node, lead(node) OVER (PARTITION BY option_id, leg_seq ORDER BY i) AS after FROM fx_route_nodes) p WHERE after IS NOT NULL) q GROUP BY 1, 2")
 def undirected_graph(t: Tables) -> DataFrame:
     edges = congestion.used_edges(t.routes().where("osm_nodes is not null"))

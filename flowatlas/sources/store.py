@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,16 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_table(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again; unlike a checkpoint, its size is what was written.
+
+    Rounds that join their own results need that: sizes that are estimated from estimates grow with every round.
+    """
+    folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def upsert(store: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """The store with ``new`` merged by key: its fields overwrite, others stay, unknown keys are added."""
     fields = [c for c in new.columns if c != key]

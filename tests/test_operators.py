@@ -221,8 +221,9 @@ def test_shortest_paths_against_dijkstra(spark):
 
 
 def test_matching_leaves_nothing_out_silently(spark):
-    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(6)], "node_lo long, node_hi long, length double")
-    pairs = spark.createDataFrame([(0, 6)], "source long, target long")
+    ladder = [(i, i + 2, 1.0) for i in range(60)] + [(i, i + 1, 1.0) for i in range(0, 60, 2)]
+    edges = spark.createDataFrame(ladder, "node_lo long, node_hi long, length double")
+    pairs = spark.createDataFrame([(0, 60)], "source long, target long")
     with pytest.raises(RuntimeError):
         matching.shortest_paths(pairs, edges, max_rounds=3).collect()
     assert matching.shortest_paths.__kwdefaults__["max_rounds"] is None
