@@ -29,6 +29,12 @@ def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     return F.lit(2 * EARTH_M) * F.atan2(F.sqrt(a), F.sqrt(1 - a))
 
 
+def unit_vector(lon: Column, lat: Column) -> list[Column]:
+    """x, y and z on the unit sphere, where neither poles nor the antimeridian are special."""
+    p, q = F.radians(lat), F.radians(lon)
+    return [F.cos(p) * F.cos(q), F.cos(p) * F.sin(q), F.sin(p)]
+
+
 def project_x(lon: Column) -> Column:
     return F.radians(lon) * F.lit(A * K0)
 

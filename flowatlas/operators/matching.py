@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,10 +12,6 @@ from flowatlas.operators.paths import shortest_paths
 from flowatlas.sources.store import shared_checkpoint
 
 
-#: Metres in a degree of latitude.
-METRES = 111_195.0
-
-
 def undirected(edges: DataFrame) -> DataFrame:
     """(node_lo, node_hi, length): the shortest of the parallel edges in either direction."""
     return edges.groupBy(F.least("origin", "destination").alias("node_lo"), F.greatest("origin", "destination").alias("node_hi")).agg(F.min("length").alias("length"))
@@ -22,30 +20,33 @@ def undirected(edges: DataFrame) -> DataFrame:
 def nearest_nodes(points: DataFrame, nodes: DataFrame, *, cell_degrees: float = 0.005) -> DataFrame:
     """``points`` (lon, lat and their own columns) with node_id of the nearest node by great-circle distance; of equal ones the smallest.
 
-    Nodes are binned in a grid of degrees; a point looks at its bin and the eight around it. Points whose best node may
-    be farther than what lies outside look again in a grid twice as coarse, until the grid spans the globe; no point is
-    left out unless there is no node at all.
+    Nodes are binned by their unit vectors in cubes, so poles and the antimeridian are like all other places. A point
+    looks at its cube and the 26 around it: whatever lies outside is at least a cube's side away, as the chord goes.
+    Points whose best node may be farther look again in cubes twice as large, until these span the globe; no point is
+    left out unless it has no coordinates or there is no node at all.
     """
     columns = points.columns
-    todo = shared_checkpoint(points.withColumn("_p", F.monotonically_increasing_id()))
-    done, cell = None, cell_degrees
+    todo = shared_checkpoint(points.where("lon is not null and lat is not null").withColumn("_p", F.monotonically_increasing_id()))
+    placed = nodes.select("node_id", F.col("lon").alias("_lon"), F.col("lat").alias("_lat"))
+    done, side = None, math.radians(cell_degrees)
     while True:
-        at = lambda c: F.floor(F.col(c) / cell)
-        binned = nodes.select("node_id", F.col("lon").alias("_lon"), F.col("lat").alias("_lat"), at("lon").alias("_x"), at("lat").alias("_y"))
-        around = lambda c: F.explode(F.array(at(c) - 1, at(c), at(c) + 1))
-        probes = todo.withColumn("_x", around("lon")).withColumn("_y", around("lat"))
-        found = probes.join(binned, ["_x", "_y"]).withColumn("_d", geo.haversine(F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat")))
+        bins = lambda lon, lat: [F.floor(v / side) for v in geo.unit_vector(F.col(lon), F.col(lat))]
+        binned = placed.select("*", *[b.alias(c) for b, c in zip(bins("_lon", "_lat"), ("_x", "_y", "_z"))])
+        probes = todo
+        for b, c in zip(bins("lon", "lat"), ("_x", "_y", "_z")):
+            probes = probes.withColumn(c, F.explode(F.array(b - 1, b, b + 1)))
+        found = probes.join(binned, ["_x", "_y", "_z"]).withColumn("_d", geo.haversine(F.col("lon"), F.col("lat"), F.col("_lon"), F.col("_lat")))
         best = found.groupBy("_p").agg(F.min(F.struct("_d", "node_id")).alias("_best"))
-        # what lies outside is at least a bin away: degrees of longitude shrink towards the poles
-        safe = cell * METRES * F.cos(F.radians(F.least(F.abs("lat") + cell, F.lit(90.0))))
         joined = shared_checkpoint(todo.join(best, "_p", "left"))
-        sure = F.lit(True) if cell >= 360 else F.coalesce(F.col("_best._d") <= safe, F.lit(False))
+        chord = 2 * F.sin(F.col("_best._d") / (2 * geo.EARTH_M))
+        last = side >= 2  # three cubes in each direction hold the whole sphere
+        sure = F.lit(last) | F.coalesce(chord <= side * (1 - 1e-9), F.lit(False))
         ready = joined.where(sure & F.col("_best").isNotNull())
         done = ready if done is None else done.unionByName(ready)
         todo = joined.where(~sure).drop("_best")
-        if cell >= 360 or todo.isEmpty():
+        if last or todo.isEmpty():
             return done.select(*columns, F.col("_best.node_id").alias("node_id"))
-        cell *= 2
+        side *= 2
 
 
 def match_legs(steps: DataFrame, nodes: DataFrame, edges: DataFrame, *, matched: DataFrame | None = None, **options) -> DataFrame:

@@ -99,6 +99,9 @@ UNION ALL SELECT n_name, 'cancelled', CAST(1 + n_nationkey % 4 AS {text}) || '%'
         # keys from all over the 64 bits, of either sign
         "fx_wide_draws": f"SELECT order_key, wide_key, {uniform('wide_key', 3, 11)} AS u FROM (SELECT o_orderkey AS order_key, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END * ((o_orderkey * 7919 % 2147483647) * 4294967296 + o_custkey * 31337) AS wide_key FROM orders) k",
         "fx_roads": "SELECT option_id AS road_id, leg_seq AS idx, lon, lat FROM fx_stops WHERE idx = 0",
+        # the whole globe: nodes at both poles and on either side of the antimeridian, points everywhere
+        "fx_globe_nodes": "SELECT s_suppkey AS node_id, CASE WHEN s_suppkey % 3 = 0 THEN (CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE -1 END) * (179e0 + (s_suppkey * 37 % 100) * 0.01e0) ELSE (s_suppkey * 7919 % 36000) * 0.01e0 - 180e0 END AS lon, CASE WHEN s_suppkey % 10 = 1 THEN 89e0 + (s_suppkey % 7) * 0.1e0 WHEN s_suppkey % 10 = 2 THEN -89e0 - (s_suppkey % 7) * 0.1e0 ELSE (s_suppkey * 104729 % 16000) * 0.01e0 - 80e0 END AS lat FROM supplier",
+        "fx_globe_points": "SELECT c_custkey AS point_id, CASE WHEN c_custkey % 4 = 0 THEN (CASE WHEN c_custkey % 8 = 0 THEN 1 ELSE -1 END) * (179.5e0 + (c_custkey * 31 % 50) * 0.01e0) ELSE (c_custkey * 7907 % 36000) * 0.01e0 - 180e0 END AS lon, CASE WHEN c_custkey % 9 = 0 THEN 88.5e0 + (c_custkey % 15) * 0.1e0 WHEN c_custkey % 9 = 1 THEN -88.5e0 - (c_custkey % 15) * 0.1e0 ELSE (c_custkey * 104723 % 17000) * 0.01e0 - 85e0 END AS lat FROM customer",
         "fx_graph_nodes": f"SELECT CAST(i AS BIGINT) AS node_id, 5.40e0 + (i % 30) * 0.005e0 AS lon, 51.40e0 + floor(i / 30) * 0.005e0 AS lat FROM (SELECT 1 AS one) o {series(599)}",
         "fx_graph": "SELECT node_lo, node_hi, 300e0 + (node_lo * 37 + node_hi * 11) % 200 AS length FROM (SELECT node_id AS node_lo, node_id + 1 AS node_hi FROM fx_graph_nodes WHERE node_id % 30 < 29 UNION ALL SELECT node_id, node_id + 30 FROM fx_graph_nodes WHERE node_id < 570) e",
     }

@@ -101,6 +101,13 @@ def matching_pairs(t: Tables) -> DataFrame:
     return placed.withColumn("target", F.lead("node_id").over(order)).where("target is not null").select(F.col("node_id").alias("source"), "target").distinct()
 
 
+@query("""SELECT point_id, arg_min(node_id, (2 * 6371000e0 * asin(least(sqrt(pow(sin((radians(n.lat) - radians(p.lat)) / 2), 2) + cos(radians(p.lat)) * cos(radians(n.lat)) * pow(sin((radians(n.lon) - radians(p.lon)) / 2), 2)), 1e0)), node_id)) AS node_id
+FROM fx_globe_points p CROSS JOIN fx_globe_nodes n GROUP BY point_id""")
+def nearest_on_globe(t: Tables) -> DataFrame:
+    """Nearest nodes across the antimeridian and at the poles, few and far between."""
+    return matching.nearest_nodes(t.globe_points, t.globe_nodes, cell_degrees=1.0).select("point_id", "node_id")
+
+
 #: Edges are 300 to 499 long and any two nodes of the 30 by 20 grid are at most 48 edges apart: no shortest path has more edges.
 LONGEST = 48 * 499 // 300 + 1
 

@@ -233,6 +233,15 @@ def test_matching_leaves_nothing_out_silently(spark):
     assert matching.nearest_nodes(far, nodes.limit(0)).count() == 0
 
 
+def test_nearest_nodes_across_the_antimeridian_and_at_the_poles(spark):
+    nodes = spark.createDataFrame([(1, 179.5, 0.0), (2, -179.99, 0.0), (3, 10.0, 89.9), (4, 100.0, 89.0), (5, 0.0, -90.0)], "node_id long, lon double, lat double")
+    points = [(0, 179.99, 0.0), (1, -170.0, 89.95), (2, 100.0, 89.3), (3, 170.0, -89.99), (4, -180.0, 0.0), (5, 180.0, 0.0), (6, None, 1.0), (7, 179.7, 0.0)]
+    rows = spark.createDataFrame(points, "k long, lon double, lat double")
+    for cell in (0.005, 1.0, 90.0):
+        found = {r.k: r.node_id for r in matching.nearest_nodes(rows, nodes, cell_degrees=cell).collect()}
+        assert found == {0: 2, 1: 3, 2: 4, 3: 5, 4: 2, 5: 2, 7: 1}
+
+
 def test_long_paths_and_matched_legs(spark):
     edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(30)], "node_lo long, node_hi long, length double")
     nodes = spark.createDataFrame([(i, 5.0 + i / 100, 51.0) for i in range(31)], "node_id long, lon double, lat double")
