@@ -4,14 +4,11 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from flowatlas.functions import geo
-from flowatlas.sources.store import shared_checkpoint
+from flowatlas.functions.clipping import areas_by_cell
 
 #: Area that a land-use point stands for, in square metres.
 POINT_AREA = 100.0
@@ -57,57 +54,12 @@ def tile_cover(polygons: DataFrame) -> DataFrame:
     return rows.where(geo.in_ring_column(geo.centre_x(F.col("cell")), geo.centre_y(F.col("cell")), F.col("ring"))).select("place_id", "cell").distinct()
 
 
-def cover_with_border(polygons: DataFrame, key: str) -> DataFrame:
-    """(key, cell): all cells that may touch the polygon: the bounding box widened by a cell."""
-    height, width = geo.SIDE * 1.5, geo.SIDE * math.sqrt(3)
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    boxes = polygons.select(key, (F.array_min(xs) - geo.SIDE).alias("x0"), (F.array_max(xs) + geo.SIDE).alias("x1"), (F.array_min(ys) - geo.SIDE).alias("y0"), (F.array_max(ys) + geo.SIDE).alias("y1"))
-    rows = boxes.withColumn("r", F.explode(F.sequence(F.floor(F.col("y0") / height).cast("long"), F.ceil(F.col("y1") / height).cast("long"))))
-    rows = rows.withColumn("q", F.explode(F.sequence(F.floor(F.col("x0") / width - F.col("r") / 2).cast("long"), F.ceil(F.col("x1") / width - F.col("r") / 2).cast("long"))))
-    return rows.select(key, geo.cell_id(F.col("q"), F.col("r")).alias("cell"))
-
-
-def hexagon(x: float, y: float) -> np.ndarray:
-    turns = np.pi / 6 + np.arange(6) * np.pi / 3
-    return np.stack((x + geo.SIDE * np.cos(turns), y + geo.SIDE * np.sin(turns)), axis=1)
-
-
-def clipped_area(ring: np.ndarray, window: np.ndarray) -> float:
-    """Area of a polygon inside a convex window (counter-clockwise): its edges cut it one by one."""
-    points = ring
-    for a, b in zip(window, np.roll(window, -1, axis=0)):
-        if not len(points):
-            return 0.0
-        side = (b[0] - a[0]) * (points[:, 1] - a[1]) - (b[1] - a[1]) * (points[:, 0] - a[0])
-        following, ahead = np.roll(points, -1, axis=0), np.roll(side, -1)
-        kept: list[np.ndarray] = []
-        for p, s, q, t in zip(points, side, following, ahead):
-            if s >= 0:
-                kept.append(p)
-            if (s >= 0) != (t >= 0):
-                kept.append(p + (q - p) * (s / (s - t)))
-        points = np.array(kept)
-    if len(points) < 3:
-        return 0.0
-    x, y = points[:, 0], points[:, 1]
-    return float(abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2)
-
-
-@F.pandas_udf(DoubleType())
-def area_in_cell(ring: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
-    """Area of a projected ring inside the hexagon around (x, y)."""
-    return pd.Series([clipped_area(np.array([(p["x"], p["y"]) for p in r]), hexagon(cx, cy)) for r, cx, cy in zip(ring, x, y)], dtype="float64")
-
-
 def tile_region(tiles: DataFrame, regions: DataFrame) -> DataFrame:
     """(cell, region): the region with the largest area in the tile, of equal ones the first by id; with none, the first region.
 
-    ``regions`` has region and ring, a row per part; areas of a region's parts add up.
+    ``regions`` has region and ring, a row per part; areas of a region's parts add up. Areas count to a thousandth.
     """
-    parts = shared_checkpoint(regions.withColumn("_row", F.monotonically_increasing_id()))  # the numbers are fixed once written
-    touching = cover_with_border(parts, "_row").join(tiles, "cell", "left_semi")
-    areas = touching.join(parts, "_row").withColumn("_a", area_in_cell("ring", geo.centre_x(F.col("cell")), geo.centre_y(F.col("cell"))))
-    summed = areas.groupBy("cell", "region").agg(F.sum("_a").alias("_a")).where("_a > 0")
+    summed = areas_by_cell(regions, "region", tiles).groupBy("cell", "region").agg(F.round(F.sum("area"), 3).alias("_a"))
     best = summed.groupBy("cell").agg(F.min(F.struct((-F.col("_a")).alias("less"), "region"))["region"].alias("region"))
     first = regions.agg(F.min("region").alias("_first"))
     return tiles.select("cell").join(best, "cell", "left").join(F.broadcast(first)).select("cell", F.coalesce("region", "_first").alias("region"))
@@ -141,7 +93,7 @@ def zone_areas(zoned: DataFrame) -> DataFrame:
     """
     polygons = zoned.where(F.col("geom_type") == "Polygon")
     shapes = polygons.select("feature_id", "ring").dropDuplicates(["feature_id"])
-    areas = cover_with_border(shapes, "feature_id").join(shapes, "feature_id").select("feature_id", "cell", area_in_cell("ring", geo.centre_x(F.col("cell")), geo.centre_y(F.col("cell"))).alias("area")).where("area > 0")
+    areas = areas_by_cell(shapes, "feature_id")
     by_zone = polygons.select("feature_id", "zone").join(areas, "feature_id").groupBy("cell", "zone").agg(F.sum("area").alias("area"))
     return by_zone.unionByName(zone_points(zoned)).groupBy("cell", "zone").agg(F.sum("area").alias("area"))
 

@@ -185,9 +185,37 @@ def zone_points(t: Tables) -> DataFrame:
     return tiles.zone_points(tiles.zone_classes(_features(t)))
 
 
-@query()
+def cell_areas(edges: str) -> str:
+    """CTEs up to ``cell_areas`` (key, cell, area): exact areas of polygons in cells, from ``edges`` (key, xa, ya, xb, yb).
+
+    A polygon's area left of its edges is a signed sum over them; of what a cell holds of it, the width at a height is
+    linear between the heights where the edge's line meets the cell's six lines, so trapezoids are exact.
+    """
+    h, w, r, root = geo.SIDE * 1.5, geo.SIDE * 3**0.5, geo.SIDE, 3**0.5
+    half = f"least({root / 2 * r!r}e0, {root!r}e0 * ({r!r}e0 - abs(y)))"
+    slants = ", ".join(f"({s * root * r!r}e0 - xs) / nullif(m + {s * t * root!r}e0, 0)" for s in (1, -1) for t in (1, -1))
+    return f"""edges AS ({edges}), boxes AS (SELECT key, min(xa) - {r!r}e0 AS x0, max(xa) + {r!r}e0 AS x1, min(ya) - {r!r}e0 AS y0, max(ya) + {r!r}e0 AS y1 FROM edges GROUP BY key),
+box_rows AS (SELECT *, unnest(range(CAST(floor(y0 / {h!r}e0) AS BIGINT), CAST(ceil(y1 / {h!r}e0) AS BIGINT) + 1)) AS r FROM boxes),
+box_cells AS (SELECT *, unnest(range(CAST(floor(x0 / {w!r}e0 - r / 2e0) AS BIGINT), CAST(ceil(x1 / {w!r}e0 - r / 2e0) AS BIGINT) + 1)) AS q FROM box_rows),
+seen AS (SELECT c.key, c.q, c.r, xa - (c.q + c.r / 2e0) * {w!r}e0 AS xa, ya - c.r * {h!r}e0 AS ya, xb - (c.q + c.r / 2e0) * {w!r}e0 AS xb, yb - c.r * {h!r}e0 AS yb FROM box_cells c JOIN edges e ON c.key = e.key WHERE ya <> yb),
+lines AS (SELECT *, (xb - xa) / (yb - ya) AS m, xa - ya * (xb - xa) / (yb - ya) AS xs, greatest(least(ya, yb), {-r!r}e0) AS low, least(greatest(ya, yb), {r!r}e0) AS high, sign(yb - ya) AS s FROM seen),
+heights AS (SELECT key, q, r, m, xs, s, unnest(list_filter([low, high, {r / 2!r}e0, {-r / 2!r}e0, ({root / 2 * r!r}e0 - xs) / nullif(m, 0), ({-root / 2 * r!r}e0 - xs) / nullif(m, 0), {slants}], lambda y: y >= low AND y <= high)) AS y, row_number() OVER () AS e FROM lines WHERE high > low),
+widths AS (SELECT key, q, r, s, e, y, least(greatest(m * y + xs + {half}, 0e0), 2 * {half}) AS f FROM heights),
+strips AS (SELECT key, q, r, s, (lead(y) OVER v - y) * (lead(f) OVER v + f) / 2 AS a FROM widths WINDOW v AS (PARTITION BY e ORDER BY y)),
+cell_areas AS (SELECT key, (q + {geo.OFFSET}) * {geo.SPAN} + r + {geo.OFFSET} AS cell, abs(sum(s * a)) AS area FROM strips WHERE a IS NOT NULL GROUP BY ALL)"""
+
+
+def _square_edges(source: str) -> str:
+    corner = [(-1, -1), (1, -1), (1, 1), (-1, 1)]
+    return " UNION ALL ".join(f"SELECT feature_id AS key, x + {a} * p_size * 10e0 AS xa, y + {b} * p_size * 10e0 AS ya, x + {c} * p_size * 10e0 AS xb, y + {d} * p_size * 10e0 AS yb FROM {source}" for (a, b), (c, d) in zip(corner, corner[1:] + corner[:1]))
+
+
+@query(f"""WITH zoned AS ({_zones_sql()}), squares AS (SELECT DISTINCT feature_id, x, y, p_size FROM zoned WHERE geom_type = 'Polygon'), {cell_areas(_square_edges('squares'))},
+parts AS (SELECT cell, zone, area FROM zoned z JOIN cell_areas a ON z.feature_id = a.key WHERE geom_type = 'Polygon' AND area > 1e-6 UNION ALL SELECT cell, zone, 100e0 FROM ({_point_cells()}) c)
+SELECT cell, zone, round(sum(area), 3) AS area FROM parts GROUP BY cell, zone""")
 def zone_area(t: Tables) -> DataFrame:
-    return rounded(tiles.zone_areas(tiles.zone_classes(_features(t))), 3)
+    areas = tiles.zone_areas(tiles.zone_classes(_features(t)))
+    return rounded(areas.where("area > 1e-6"), 3)
 
 
 @query(f"SELECT zone, round(sum(CASE geom_type WHEN 'Polygon' THEN 4 * (p_size * 10e0) * (p_size * 10e0) WHEN 'Point' THEN 100e0 END), 0) AS area FROM ({_zones_sql()}) z WHERE geom_type <> 'MultiPolygon' GROUP BY zone")
@@ -196,7 +224,13 @@ def zone_area_total(t: Tables) -> DataFrame:
     return tiles.zone_areas(tiles.zone_classes(_features(t))).groupBy("zone").agg(F.round(F.sum("area"), 0).alias("area"))
 
 
-@query()
+def _ring_edges() -> str:
+    ring = _ring_sql()
+    return " UNION ALL ".join(f"SELECT n_name AS key, {xa} AS xa, {ya} AS ya, {xb} AS xb, {yb} AS yb FROM nation" for (xa, ya), (xb, yb) in zip(ring, ring[1:] + ring[:1]))
+
+
+@query(f"""WITH {cell_areas(_ring_edges())}, cover AS ({_cover_sql()}), best AS (SELECT cell, min(key) AS region FROM (SELECT *, round(area, 3) = max(round(area, 3)) OVER (PARTITION BY cell) AS top FROM cell_areas) x WHERE top GROUP BY cell)
+SELECT c.cell, coalesce(region, (SELECT min(n_name) FROM nation)) AS region FROM (SELECT DISTINCT cell FROM cover) c LEFT JOIN best b ON c.cell = b.cell""")
 def tile_region(t: Tables) -> DataFrame:
     cells = tiles.tile_cover(_polygon(t)).select("cell").distinct()
     return tiles.tile_region(cells, _polygon(t).withColumnRenamed("place_id", "region"))

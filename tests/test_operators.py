@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowatlas.functions import geo
+from flowatlas.functions import clipping, geo
 from flowatlas.functions.draws import uniform
 from flowatlas.functions.polyline import decode, encode
 from flowatlas.operators import choice, congestion, delays, feeds, heatmap, matching, sampling, shares, tiles, traces
@@ -125,13 +125,32 @@ def test_cells(spark):
         assert r.lon2 == pytest.approx(r.lon, abs=1e-9) and r.lat2 == pytest.approx(r.lat, abs=1e-7)
 
 
-def test_clipped_areas_of_neighbouring_cells_add_up():
-    ring = np.array([(-900.0, -700.0), (1100.0, -600.0), (300.0, 200.0), (900.0, 1300.0), (-500.0, 800.0)])
-    x, y = ring[:, 0], ring[:, 1]
-    whole = abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2
-    width, height = geo.SIDE * math.sqrt(3), geo.SIDE * 1.5
-    total = sum(tiles.clipped_area(ring, tiles.hexagon((q + r / 2) * width, r * height)) for q in range(-5, 6) for r in range(-5, 6))
-    assert total == pytest.approx(whole, rel=1e-9)
+def _area(ring):
+    x, y = np.array(ring).T
+    return abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2
+
+
+def test_areas_in_cells_add_up_to_the_rings(spark):
+    dice = random.Random(3)
+    star = lambda n, size, cx, cy: [(cx + size * (0.4 + 0.6 * dice.random()) * math.cos(2 * math.pi * k / n), cy + size * (0.4 + 0.6 * dice.random()) * math.sin(2 * math.pi * k / n)) for k in range(n)]
+    rings = [[(-900.0, -700.0), (1100.0, -600.0), (300.0, 200.0), (900.0, 1300.0), (-500.0, 800.0)], star(40, 9000, 1e6, -2e6), star(500, 40_000, -5e5, 6e6), star(7, 50, 3e6, 1e6), [(0.0, 0.0), (60_000.0, 0.0), (60_000.0, 60_000.0), (0.0, 60_000.0)]]
+    rows = spark.createDataFrame([(k, r) for k, r in enumerate(rings)] + [(90, []), (91, [(0.0, 0.0), (1.0, 1.0)]), (92, None), (93, [(1.0, 1.0)] * 4)], "k long, ring array<struct<x:double,y:double>>")
+    found = clipping.areas_by_cell(rows, "k").toPandas()
+    assert not found.duplicated(["k", "cell"]).any() and found.area.max() <= geo.CELL_AREA * (1 + 1e-9)
+    sums = found.groupby("k").area.sum()
+    assert set(sums.index) == set(range(5))
+    for k, ring in enumerate(rings):
+        assert sums[k] == pytest.approx(_area(ring), rel=1e-9)
+    some = spark.createDataFrame([(int(c),) for c in found.cell[:5]], "cell long")
+    assert set(clipping.areas_by_cell(rows, "k", some).toPandas().cell) == set(found.cell[:5])
+
+
+def test_rings_of_a_batch_are_cut_each_on_its_own():
+    square = [(-1.0, -1.0), (1.0, -1.0), (1.0, 1.0), (-1.0, 1.0)]
+    rings = [square, [], [(x + 1, y) for x, y in square], [(x + 9, y) for x, y in square], [(5 * x, 5 * y) for x, y in square][::-1]]
+    flat = np.array([p for r in rings for p in r])
+    out = clipping.clipped((flat[:, 0], flat[:, 1], np.cumsum([0, *map(len, rings)])), np.array(square))
+    assert list(clipping.areas(out)) == [4.0, 0.0, 2.0, 0.0, 4.0]
 
 
 def test_parking_is_monotone_and_bounded(spark):
