@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from flowatlas.functions import clipping, geo
 from flowatlas.functions.draws import uniform
-from flowatlas.functions.polyline import decode, encode
+from flowatlas.functions.polyline import decode, decode_polyline, encode
 from flowatlas.operators import choice, congestion, delays, feeds, heatmap, matching, sampling, shares, tiles, traces
 from flowatlas.sources import journeys, store, tables
 
@@ -286,6 +286,20 @@ def test_flows_stay_inside_their_place(spark):
     assert found == {(1, 1): 2.5, (1, 2): 7.5, (2, 1): 5.0, (2, 2): 15.0, (3, 3): 0.0}
 
 
+def test_polylines_of_a_batch_are_decoded_each_on_its_own(spark):
+    dice = random.Random(8)
+    lines = [[(round(dice.uniform(-90, 90), 5), round(dice.uniform(-180, 180), 5)) for _ in range(dice.randrange(6))] for _ in range(200)]
+    texts = [None if k % 9 == 0 else encode(line) + "~" * (k % 3) for k, line in enumerate(lines)]  # an unfinished number at the end
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    found = {r.k: r.line for r in rows.select("k", decode_polyline("text").alias("line")).collect()}
+    for k, line in enumerate(lines):
+        if texts[k] is None:
+            assert found[k] is None
+        else:
+            assert np.allclose(np.array([(p.lat, p.lon) for p in found[k]]).reshape(-1, 2), np.array(line).reshape(-1, 2))
+    assert rows.where("false").select(decode_polyline("text")).collect() == []
+
+
 def test_polyline_round_trip():
     line = [(38.5, -120.2), (40.7, -120.95), (43.252, -126.453)]
     assert encode(line) == "_p~iF~ps|U_ulLnnqC_mqNvxq`@"
