@@ -35,6 +35,7 @@ class Salt(IntEnum):
     DELAY_MINUTE = 22
     ROAD = 23
     ROAD_AT = 24
+    START = 25
 
 
 #: Odd multipliers below 2^31, so that their products with 32 bits stay within 63 bits in any engine.

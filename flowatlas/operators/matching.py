@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowatlas.functions import geo
+from flowatlas.operators.congestion import edge_keys
 from flowatlas.operators.paths import shortest_paths
 from flowatlas.sources.store import shared_checkpoint
 
 
 def undirected(edges: DataFrame) -> DataFrame:
-    """(node_lo, node_hi, length): the shortest of the parallel edges in either direction."""
-    return edges.groupBy(F.least("origin", "destination").alias("node_lo"), F.greatest("origin", "destination").alias("node_hi")).agg(F.min("length").alias("length"))
+    """(node_lo, node_hi, length): the shortest of the parallel edges in either direction, by the graph's date if there is one."""
+    ends = [F.least("origin", "destination").alias("node_lo"), F.greatest("origin", "destination").alias("node_hi")]
+    return edges.groupBy(*ends, *edge_keys(edges)[2:]).agg(F.min("length").alias("length"))
 
 
 def nearest_nodes(points: DataFrame, nodes: DataFrame, *, cell_degrees: float = 0.005) -> DataFrame:
@@ -68,6 +70,7 @@ def match_legs(steps: DataFrame, nodes: DataFrame, edges: DataFrame, *, matched:
 
 
 def edge_metadata(used: DataFrame, edges: DataFrame) -> DataFrame:
-    """Metadata of used edges (origin, destination, directed) without geometry, by undirected key."""
-    keys = used.select(F.least("origin", "destination").alias("node_lo"), F.greatest("origin", "destination").alias("node_hi")).distinct()
-    return edges.drop("geometry").join(keys, ["node_lo", "node_hi"])
+    """Metadata of used edges (origin, destination, directed) without geometry, by undirected key and the graph's date."""
+    keys = edge_keys(used, edges)
+    ends = [F.least("origin", "destination").alias("node_lo"), F.greatest("origin", "destination").alias("node_hi")]
+    return edges.drop("geometry").join(used.select(*ends, *keys[2:]).distinct(), keys)

@@ -68,6 +68,8 @@ FROM (SELECT *, max(leg_seq) OVER (PARTITION BY option_id) AS last_leg FROM fx_l
         "fx_route_nodes": f"SELECT vc_id, option_id, opt_ord, leg_seq, departure, arrival, i, (pk * 13 + i * (1 + sk % 3) * 17) % 600 AS node FROM (SELECT l.*, o.vc_id, o.opt_ord FROM fx_legs l JOIN fx_options o ON l.option_id = o.option_id WHERE mode = 'car' AND pk % 9 <> 0) x {series('4 + pk % 4')}",
         "fx_edges": f"""SELECT lo AS node_lo, hi AS node_hi, 50e0 + (lo * 31 + hi * 17) % 400 AS length, CASE (lo + hi) % 6 WHEN 0 THEN NULL WHEN 1 THEN '0' WHEN 2 THEN 'x' WHEN 3 THEN '1' WHEN 4 THEN '2' ELSE '3' END AS lane
 FROM (SELECT DISTINCT least(node, after) AS lo, greatest(node, after) AS hi FROM (SELECT node, lead(node) OVER (PARTITION BY option_id, leg_seq ORDER BY i) AS after FROM fx_route_nodes) p WHERE after IS NOT NULL) q""",
+        # graphs of two dates: some edges longer, some of other lanes, some gone; simulations of either date
+        "fx_dated_edges": "SELECT node_lo, node_hi, d AS graph_date, CASE WHEN d = '2024-01-01' AND node_lo % 3 = 0 THEN length * 2 ELSE length END AS length, CASE WHEN d = '2024-01-01' AND node_hi % 4 = 0 THEN '1' ELSE lane END AS lane FROM fx_edges CROSS JOIN (VALUES ('2021-01-01'), ('2024-01-01')) AS v(d) WHERE d = '2021-01-01' OR (node_lo + node_hi) % 17 <> 0",
         "fx_age": f"SELECT {nuts3} || CAST(n_nationkey % 2 AS {text}) AS geo, age, CAST(1000 + (n_nationkey * 37 + no * 101) % 5000 AS DOUBLE) AS value, 2020 + n_nationkey % 3 AS year FROM nation CROSS JOIN (VALUES {codes}) AS c(no, age) WHERE (n_nationkey + no) % 29 <> 0",
         "fx_sector": f"SELECT {nuts3} || CAST(n_nationkey % 2 AS {text}) AS geo, sector, CAST(1000 + (n_nationkey * 37 + no * 101) % 5000 AS DOUBLE) AS value, n_nationkey FROM nation CROSS JOIN (VALUES {sectors}) AS c(no, sector) WHERE (n_nationkey + no) % 29 <> 0",
         "fx_vehicle": f"SELECT {nuts3} AS geo, vehicle, CAST(1000 + (n_nationkey * 37 + no * 101) % 5000 AS DOUBLE) AS value FROM nation CROSS JOIN (VALUES {kinds}) AS c(no, vehicle) WHERE (n_nationkey + no) % 29 <> 0 UNION ALL SELECT {nuts3}, 'CAR', 3e0 FROM nation WHERE n_nationkey % 4 = 0",
@@ -95,7 +97,7 @@ FROM (SELECT *, (0.012e0 + 0.002e0 * (n_nationkey % 7)) * (1e0 + 0.08e0 * ((i *
 UNION ALL SELECT n_name, 'cancelled', CAST(1 + n_nationkey % 4 AS {text}) || '%' FROM (SELECT n_nationkey, n_name FROM nation WHERE n_nationkey % 5 <> 4 UNION ALL SELECT 25, 'average') n UNION ALL SELECT n_name, 'substituted', '2%' FROM (SELECT n_nationkey, n_name FROM nation WHERE n_nationkey % 5 <> 4 UNION ALL SELECT 25, 'average') n""",
         "fx_leg_keys": "SELECT option_id, leg_seq, option_id * 16 + leg_seq AS leg_key, mode, departure, arrival, operator FROM fx_legs",
         "fx_u_bin": f"SELECT option_id, leg_seq, leg_key, mode, departure, arrival, operator, {uniform('leg_key', 20)} AS u0, {uniform('leg_key', 21)} AS u1, {uniform('leg_key', 22)} AS u2 FROM fx_leg_keys",
-        "fx_draws": "SELECT c_custkey AS vc_id, " + ", ".join(f"{uniform('c_custkey', k)} AS u{k}" for k in (1, 2, 3, 4, 5, 6, 7, 8, 12, 13, 14, 15, 16, 17, 18, 19, 23, 24)) + " FROM customer",
+        "fx_draws": "SELECT c_custkey AS vc_id, " + ", ".join(f"{uniform('c_custkey', k)} AS u{k}" for k in (1, 2, 3, 4, 5, 6, 7, 8, 12, 13, 14, 15, 16, 17, 18, 19, 23, 24, 25)) + " FROM customer",
         # keys from all over the 64 bits, of either sign
         "fx_wide_draws": f"SELECT order_key, wide_key, {uniform('wide_key', 3, 11)} AS u FROM (SELECT o_orderkey AS order_key, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END * ((o_orderkey * 7919 % 2147483647) * 4294967296 + o_custkey * 31337) AS wide_key FROM orders) k",
         "fx_roads": "SELECT option_id AS road_id, leg_seq AS idx, lon, lat FROM fx_stops WHERE idx = 0",
@@ -158,5 +160,12 @@ class Tables:
         legs = self.legs.where("mode = 'car'").select("option_id", "leg_seq", "departure", "arrival", F.when(F.col("pk") % 9 != 0, nodes).alias("osm_nodes"))
         return legs.join(self.options.select("option_id", "vc_id", F.col("opt_ord").alias("option_ord")), "option_id").withColumn("itinerary_ord", F.lit(0))
 
+    def dated_routes(self) -> DataFrame:
+        """Routes with the date of their commuter's simulation."""
+        return self.routes().withColumn("graph_date", F.when(F.col("vc_id") % 2 == 0, "2021-01-01").otherwise("2024-01-01"))
+
+    def dated_edge_table(self) -> DataFrame:
+        return self.dated_edges.select("node_lo", "node_hi", "graph_date", "length", F.when(F.col("lane").isNotNull(), F.array("lane")).alias("lanes"))
+
     def edge_table(self) -> DataFrame:
         return self.edges.select("node_lo", "node_hi", "length", F.when(F.col("lane").isNotNull(), F.array("lane")).alias("lanes"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowatlas.functions import geo, predicates
-from flowatlas.operators import choice, congestion, feedback, heatmap, places, shares, traces
+from flowatlas.operators import choice, congestion, feedback, heatmap, matching, places, shares, traces
 from flowatlas.plans.fixtures import RING, VEHICLE_FACTORS, Tables
 
 QUERIES, SQL = {}, {}
@@ -267,6 +267,44 @@ def option_delay(t: Tables) -> DataFrame:
     return rounded(congestion.option_delays(congestion.leg_delays(routes, t.edge_table(), _factors(t, routes), t.commuters)), 3)
 
 
+def _dated(sql: str) -> str:
+    """The SQL of usage, factors and delays with the graph's date in every key."""
+    for a, b in (
+        ("SELECT *, least(node, after)", "SELECT *, CASE WHEN vc_id % 2 = 0 THEN '2021-01-01' ELSE '2024-01-01' END AS graph_date, least(node, after)"),
+        ("used AS (SELECT node_lo, node_hi, count(*) * 0.5e0 AS usage FROM hops GROUP BY 1, 2)", "used AS (SELECT node_lo, node_hi, graph_date, count(*) * 0.5e0 AS usage FROM hops GROUP BY 1, 2, 3)"),
+        ("SELECT u.node_lo, u.node_hi, usage", "SELECT u.node_lo, u.node_hi, u.graph_date, usage"),
+        ("ON u.node_lo = e.node_lo", "ON u.graph_date = e.graph_date AND u.node_lo = e.node_lo"),
+        ("ON h.node_lo = e.node_lo", "ON h.graph_date = e.graph_date AND h.node_lo = e.node_lo"),
+        ("ON h.node_lo = f.node_lo", "ON h.graph_date = f.graph_date AND h.node_lo = f.node_lo"),
+        ("fx_edges", "fx_dated_edges"),
+    ):
+        sql = sql.replace(a, b)
+    return sql
+
+
+@query(_dated(f"WITH {FIRST}, {FACTORS} SELECT node_lo, node_hi, graph_date, usage, round(factor, 6) AS factor FROM factors"))
+def dated_factor(t: Tables) -> DataFrame:
+    """Congestion of each edge of the graphs of two dates, by the routes of the simulations of that date."""
+    usage = congestion.edge_usage(congestion.first_car_routes(t.dated_routes()), vehicles_per_journey=0.5)
+    return rounded(congestion.congestion_factors(usage, t.dated_edge_table()))
+
+
+@query(_dated(f"WITH {FIRST}, {FACTORS}, {DELAYS} SELECT option_id, round(sum(delay), 3) AS delay FROM delays GROUP BY option_id"))
+def dated_delay(t: Tables) -> DataFrame:
+    """Delay of each option on the graph of its simulation's date."""
+    routes, edges = congestion.first_car_routes(t.dated_routes()), t.dated_edge_table()
+    factors = congestion.congestion_factors(congestion.edge_usage(routes, vehicles_per_journey=0.5), edges)
+    return rounded(congestion.option_delays(congestion.leg_delays(routes, edges, factors, t.commuters)), 3)
+
+
+@query("""WITH hops AS (SELECT least(node, after) AS node_lo, greatest(node, after) AS node_hi, CASE WHEN vc_id % 2 = 0 THEN '2021-01-01' ELSE '2024-01-01' END AS graph_date FROM (SELECT vc_id, node, lead(node) OVER (PARTITION BY option_id, leg_seq ORDER BY i) AS after FROM fx_route_nodes) h WHERE after IS NOT NULL)
+SELECT e.node_lo, e.node_hi, e.graph_date, e.length FROM fx_dated_edges e SEMI JOIN hops h ON e.node_lo = h.node_lo AND e.node_hi = h.node_hi AND e.graph_date = h.graph_date""")
+def dated_metadata(t: Tables) -> DataFrame:
+    """Metadata of the edges that simulations of either date use, from the graph of that date."""
+    used = congestion.used_edges(t.dated_routes().where("osm_nodes is not null"))
+    return matching.edge_metadata(used, t.dated_edge_table()).select("node_lo", "node_hi", "graph_date", "length")
+
+
 CITIZENS = 1000.0
 
 
@@ -307,17 +345,24 @@ def od_points(t: Tables) -> DataFrame:
     return rounded(first.select("vc_id", F.explode(ends).alias("e")).select("vc_id", "e.*"))
 
 
-def _loop_sql(rounds: int) -> str:
+def _loop_sql(rounds: int, mix: float, start: float) -> str:
     """The loop's rounds one after the other; a round that changes no choice is the last one."""
-    parts = ["hops AS (SELECT *, least(node, after) AS node_lo, greatest(node, after) AS node_hi FROM (SELECT *, lead(node) OVER (PARTITION BY option_id, leg_seq ORDER BY i) AS after FROM fx_route_nodes) h WHERE after IS NOT NULL)", "late0 AS (SELECT option_id, 0e0 AS delay FROM fx_options)"]
+    late = lambda k: DELAYS.replace("sums AS", f"sums{k} AS").replace("delays AS", f"delays{k} AS").replace("FROM sums s", f"FROM sums{k} s").replace("JOIN factors f", f"JOIN factors{k} f")
+    factors = lambda k: FACTORS.replace("factors AS", f"factors{k} AS").replace("FROM used u", f"FROM used{k} u")
+    parts = [
+        "hops AS MATERIALIZED (SELECT *, least(node, after) AS node_lo, greatest(node, after) AS node_hi FROM (SELECT *, lead(node) OVER (PARTITION BY option_id, leg_seq ORDER BY i) AS after FROM fx_route_nodes) h WHERE after IS NOT NULL)",
+        "plain AS MATERIALIZED (SELECT o.vc_id, o.option_id, o.opt_ord, f.duration FROM fx_options o LEFT JOIN fx_facts f ON o.option_id = f.option_id JOIN fx_commuters c ON o.vc_id = c.vc_id WHERE c.usage IS NOT NULL OR NOT coalesce(f.has_car, false))",
+        f"used0 AS (SELECT node_lo, node_hi, count(*) * 0.5e0 AS usage FROM hops h JOIN (SELECT vc_id, min(opt_ord) AS opt_ord FROM fx_route_nodes GROUP BY vc_id) p ON h.vc_id = p.vc_id AND h.opt_ord = p.opt_ord WHERE h.vc_id IN (SELECT vc_id FROM fx_draws WHERE u25 < {start}) GROUP BY 1, 2)",
+        factors(0), late(0),
+        f"late0 AS MATERIALIZED (SELECT o.option_id, {'coalesce(n.delay, 0e0)' if start else '0e0'} AS delay FROM fx_options o LEFT JOIN (SELECT option_id, sum(delay) AS delay FROM delays0 GROUP BY option_id) n ON o.option_id = n.option_id)",
+    ]
     for k in range(1, rounds + 1):
         parts += [
-            f"""chosen{k} AS MATERIALIZED (SELECT o.vc_id, arg_min(o.option_id, (coalesce(f.duration + coalesce(d.delay, 0), 0), o.opt_ord)) AS option_id FROM fx_options o LEFT JOIN fx_facts f ON o.option_id = f.option_id LEFT JOIN late{k - 1} d ON o.option_id = d.option_id JOIN fx_commuters c ON o.vc_id = c.vc_id
-WHERE c.usage IS NOT NULL OR NOT coalesce(f.has_car, false) GROUP BY o.vc_id)""",
+            f"chosen{k} AS MATERIALIZED (SELECT o.vc_id, arg_min(o.option_id, (coalesce(o.duration + coalesce(d.delay, 0), 0), o.opt_ord)) AS option_id FROM plain o LEFT JOIN late{k - 1} d ON o.option_id = d.option_id GROUP BY o.vc_id)",
             f"used{k} AS (SELECT node_lo, node_hi, count(*) * 0.5e0 AS usage FROM hops WHERE option_id IN (SELECT option_id FROM chosen{k}) GROUP BY 1, 2)",
-            FACTORS.replace("factors AS", f"factors{k} AS").replace("FROM used u", f"FROM used{k} u"),
-            DELAYS.replace("sums AS", f"sums{k} AS").replace("delays AS", f"delays{k} AS").replace("FROM sums s", f"FROM sums{k} s").replace("JOIN factors f", f"JOIN factors{k} f"),
-            f"late{k} AS MATERIALIZED (SELECT o.option_id, 0.9e0 * o.delay + 0.1e0 * coalesce(n.delay, 0) AS delay FROM late{k - 1} o LEFT JOIN (SELECT option_id, sum(delay) AS delay FROM delays{k} GROUP BY option_id) n ON o.option_id = n.option_id)",
+            factors(k),
+            late(k),
+            f"late{k} AS MATERIALIZED (SELECT o.option_id, {1 - mix}e0 * o.delay + {mix}e0 * coalesce(n.delay, 0) AS delay FROM late{k - 1} o LEFT JOIN (SELECT option_id, sum(delay) AS delay FROM delays{k} GROUP BY option_id) n ON o.option_id = n.option_id)",
         ]
     same = " ".join(f"WHEN NOT EXISTS (SELECT * FROM chosen{k} EXCEPT SELECT * FROM chosen{k - 1}) THEN {k}" for k in range(2, rounds + 1))
     ends = [(k, k - 1) for k in range(2, rounds + 1)] + [(0, rounds)]
@@ -326,6 +371,17 @@ WHERE c.usage IS NOT NULL OR NOT coalesce(f.has_car, false) GROUP BY o.vc_id)"""
     return f"WITH {', '.join(parts)} {rows}"
 
 
-@query(_loop_sql(4))
+def _loop(t: Tables, **options) -> DataFrame:
+    routes = t.routes().where("osm_nodes is not null")
+    return rounded(feedback.congestion_loop(t.options, choice.option_facts(t.legs), _commuters(t), routes, t.edge_table(), vehicles_per_journey=0.5, **options), delay=3)
+
+
+@query(_loop_sql(4, 0.1, 0.0))
 def congestion_loop(t: Tables) -> DataFrame:
-    return rounded(feedback.congestion_loop(t.options, choice.option_facts(t.legs), _commuters(t), t.routes().where("osm_nodes is not null"), t.edge_table(), vehicles_per_journey=0.5, rounds=4), delay=3)
+    return _loop(t, rounds=4)
+
+
+@query(_loop_sql(20, 0.25, 0.5))
+def congestion_feedback(t: Tables) -> DataFrame:
+    """Twenty rounds at most, from half of the commuters on their first car route."""
+    return _loop(t, rounds=20, mix=0.25, start=0.5)

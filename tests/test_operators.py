@@ -358,3 +358,18 @@ def test_tile_region_takes_the_largest_area_then_the_first(spark):
     here, far = (spark.range(1).select(geo.cell_of_plane(F.lit(float(x)), F.lit(float(x))).alias("cell")) for x in (0, 500000))
     found = {r.cell: r.region for r in tiles.tile_region(here.unionByName(far), regions).collect()}
     assert found == {here.first().cell: "b", far.first().cell: "a"}
+
+
+def test_dated_graphs_are_not_mixed(spark):
+    routes = spark.createDataFrame([(1, 1, 1, 0, 0, [1, 2, 3], "a"), (2, 2, 1, 0, 0, [3, 2], "b")], "vc_id int, option_id int, option_ord int, itinerary_ord int, leg_seq int, osm_nodes array<bigint>, graph_date string")
+    edges = spark.createDataFrame([(1, 2, "a", 5.0, ["4"]), (2, 3, "a", 5.0, ["4"]), (2, 3, "b", 9.0, ["1"])], "node_lo long, node_hi long, graph_date string, length double, lanes array<string>")
+    usage = congestion.edge_usage(routes, vehicles_per_journey=4.0)
+    found = {(r.node_lo, r.node_hi, r.graph_date): (r.usage, r.factor) for r in congestion.congestion_factors(usage, edges).collect()}
+    assert found == {(1, 2, "a"): (4.0, 1.0), (2, 3, "a"): (4.0, 1.0), (2, 3, "b"): (4.0, 0.25)}
+    assert congestion.missing_edges(usage, edges).count() == 0
+    used = congestion.used_edges(routes)
+    assert {tuple(r) for r in used.collect()} == {(1, 2, "a"), (2, 3, "a"), (3, 2, "b")}
+    assert matching.edge_metadata(used, edges).count() == 3
+    for a, b in ((usage, edges.drop("graph_date")), (usage.drop("graph_date"), edges)):
+        with pytest.raises(ValueError, match="graph_date"):
+            congestion.congestion_factors(a, b)
