@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from flowatlas.functions import geo
 from flowatlas.functions.draws import Salt, uniform
 from flowatlas.functions.prefix import running_sums
+from flowatlas.sources.store import shared_table
 
 #: Least distance in metres for a car or motorcycle; use of a utility vehicle; parking chance where it isn't modelled.
 MIN_DISTANCE, UTILITY_USE, PLAIN_PARKING = 3000.0, 0.95, 0.9
@@ -31,7 +32,8 @@ def weights_cdf(events: DataFrame, group: list[str], event: str, weight: str, *,
         up, down = least + F.col("_before"), F.when(F.col("_previous").isNull(), 0).otherwise(least + F.col("_before") - F.col("_previous"))
     else:
         up, down = F.col("_before") + F.col("_value"), F.col("_before")
-    return rows.select(*group, event, part(down).alias("cum_lo"), F.when(last, 1.0).otherwise(part(up)).alias("cum_hi")).where("cum_hi > cum_lo")
+    found = rows.select(*group, event, part(down).alias("cum_lo"), F.when(last, 1.0).otherwise(part(up)).alias("cum_hi")).where("cum_hi > cum_lo")
+    return shared_table(found)  # it is used more than once, and draws needn't plan it anew
 
 
 def weighted_choice(rows: DataFrame, cdf: DataFrame, group: list[str], u: Column, *, keep: bool = False) -> DataFrame:
@@ -152,6 +154,7 @@ def vehicle_usage(commuters: DataFrame, parking: DataFrame | None = None, seed:
 def generate(spark: SparkSession, n: int, *, sim_id: str, tiles: DataFrame, shares: DataFrame, rates: DataFrame, types: DataFrame, means: DataFrame, interests: list[str], weights: DataFrame | None = None, parking: DataFrame | None = None, seed: int = 0) -> DataFrame:
     """n commuters of a simulation with all attributes; the same for any number of partitions."""
     rows = spark.range(n).withColumnRenamed("id", "vc_id").withColumn("sim_id", F.lit(sim_id))
-    rows = destinations(attributes(homes(rows, tiles, seed), shares, rates, types, seed), tiles, interests, seed)
+    rows = shared_table(attributes(homes(rows, tiles, seed), shares, rates, types, seed))
+    rows = destinations(rows, tiles, interests, seed)
     rows = vehicles(rows, means, weights, seed).withColumn("distance", geo.planar_distance(F.col("origin_lon"), F.col("origin_lat"), F.col("destination_lon"), F.col("destination_lat")))
     return vehicle_usage(rows, parking, seed)

@@ -82,6 +82,7 @@ FROM part JOIN (SELECT n_nationkey AS k, {nuts3} AS region FROM nation) r ON p_p
         "fx_features": f"""SELECT p_partkey AS feature_id, CASE p_partkey % 4 WHEN 0 THEN 'Point' WHEN 1 THEN 'MultiPolygon' ELSE 'Polygon' END AS geom_type, p_size,
   CASE WHEN p_partkey % 3 = 0 THEN CASE p_partkey % 7 WHEN 0 THEN 'retail' WHEN 1 THEN 'farmyard' WHEN 2 THEN 'industrial' WHEN 3 THEN 'education' WHEN 4 THEN 'forest' WHEN 5 THEN 'construction' ELSE 'religious' END END AS landuse,
   CASE WHEN p_partkey % 5 = 0 THEN 'yes' END AS office, CASE WHEN p_partkey % 6 = 1 THEN 'school' WHEN p_partkey % 6 = 2 THEN 'restaurant' END AS amenity, CASE WHEN p_partkey % 8 = 3 THEN 'hotel' WHEN p_partkey % 8 = 5 THEN 'yes' END AS building, CASE WHEN p_partkey % 10 = 4 THEN 'water' END AS natural_,
+  CASE WHEN p_partkey % 11 = 3 THEN 'bakery' END AS shop, CASE WHEN p_partkey % 13 = 5 THEN 'clinic' END AS healthcare, CASE WHEN p_partkey % 9 = 7 THEN 'park' END AS leisure, CASE WHEN p_partkey % 14 = 9 THEN 'tennis' END AS sport, CASE WHEN p_partkey % 16 = 6 THEN 'museum' END AS tourism,
   524000e0 + (p_partkey * 7 % 160) * 100e0 AS x, 5710000e0 + (p_partkey * 5 % 110) * 120e0 AS y
 FROM part""",
         # places of two parts, each with a hole; the parts of some overlap
@@ -98,6 +99,7 @@ UNION ALL SELECT n_name, 'cancelled', CAST(1 + n_nationkey % 4 AS {text}) || '%'
         "fx_leg_keys": "SELECT option_id, leg_seq, option_id * 16 + leg_seq AS leg_key, mode, departure, arrival, operator FROM fx_legs",
         "fx_u_bin": f"SELECT option_id, leg_seq, leg_key, mode, departure, arrival, operator, {uniform('leg_key', 20)} AS u0, {uniform('leg_key', 21)} AS u1, {uniform('leg_key', 22)} AS u2 FROM fx_leg_keys",
         "fx_draws": "SELECT c_custkey AS vc_id, " + ", ".join(f"{uniform('c_custkey', k)} AS u{k}" for k in (1, 2, 3, 4, 5, 6, 7, 8, 12, 13, 14, 15, 16, 17, 18, 19, 23, 24, 25)) + " FROM customer",
+        "fx_seeded": "SELECT c_custkey AS vc_id, " + ", ".join(f"{uniform('c_custkey', k, 1)} AS u{k}" for k in range(1, 18)) + " FROM customer",
         # keys from all over the 64 bits, of either sign
         "fx_wide_draws": f"SELECT order_key, wide_key, {uniform('wide_key', 3, 11)} AS u FROM (SELECT o_orderkey AS order_key, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END * ((o_orderkey * 7919 % 2147483647) * 4294967296 + o_custkey * 31337) AS wide_key FROM orders) k",
         "fx_roads": "SELECT option_id AS road_id, leg_seq AS idx, lon, lat FROM fx_stops WHERE idx = 0",

@@ -151,8 +151,12 @@ def tile_merge(t: Tables) -> DataFrame:
     return tiles.merge_fields(merged, fields).select("cell", "population", "region")
 
 
+#: Tag keys of the features, as their columns are named.
+KEYS = ("landuse", "office", "amenity", "building", "shop", "healthcare", "leisure", "sport", "tourism")
+
+
 def _features(t: Tables) -> DataFrame:
-    tags = F.map_filter(F.create_map(*[x for k in ("landuse", "office", "amenity", "building") for x in (F.lit(k), F.col(k))], F.lit("natural"), F.col("natural_")), lambda k, v: v.isNotNull())
+    tags = F.map_filter(F.create_map(*[x for k in KEYS for x in (F.lit(k), F.col(k))], F.lit("natural"), F.col("natural_")), lambda k, v: v.isNotNull())
     half = F.col("p_size") * 10.0
     corner = lambda dx, dy: F.struct((F.col("x") + dx * half).alias("x"), (F.col("y") + dy * half).alias("y"))
     ring = F.when(F.col("geom_type") == "Polygon", F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1)))
@@ -160,10 +164,10 @@ def _features(t: Tables) -> DataFrame:
 
 
 def _zones_sql() -> str:
-    column = {"landuse": "landuse", "office": "office", "amenity": "amenity", "building": "building", "natural": "natural_"}
+    column = {k: k for k in KEYS} | {"natural": "natural_"}
     parts = []
     for zone, rules in tiles.ZONE_TAGS.items():
-        tests = [f"{column[k]} IS NOT NULL" if v is True else _any(column[k], tuple(v)) + ("" if len(v) > 1 else "") for k, v in rules.items() if k in column]
+        tests = [f"{column[k]} IS NOT NULL" if v is True else _any(column[k], tuple(v)) + ("" if len(v) > 1 else "") for k, v in rules.items()]
         only = f" AND geom_type = '{tiles.ONLY[zone]}'" if zone in tiles.ONLY else ""
         parts.append(f"SELECT feature_id, geom_type, x, y, p_size, '{zone}' AS zone FROM fx_features WHERE ({' OR '.join(f'coalesce({x}, false)' for x in tests)}){only}")
     return " UNION ALL ".join(parts)
@@ -388,7 +392,55 @@ def usage(t: Tables) -> DataFrame:
     return sampling.vehicle_usage(rows).select("vc_id", "usage")
 
 
-@query()
+def _plane(lon: str, lat: str) -> tuple[str, str]:
+    """SQL of a point's projected x and y."""
+    v = f"sin(radians({lat}))"
+    y = f"{1 - geo.E2!r}e0 * ({v} / (1 - {geo.E2!r}e0 * {v} * {v}) - {1 / (2 * geo.E1)!r}e0 * ln((1 - {geo.E1!r}e0 * {v}) / (1 + {geo.E1!r}e0 * {v}))) * {geo.A / (2 * geo.K0)!r}e0"
+    return f"radians({lon}) * {geo.A * geo.K0!r}e0", y
+
+
+def _point_sql(side: str, u: str, v: str) -> tuple[str, str]:
+    """SQL of the degrees of a drawn point in the cell of q and r."""
+    pole = 1 - (1 - geo.E2) / (2 * geo.E1) * math.log((1 - geo.E1) / (1 + geo.E1))
+    a, b = (f"CASE WHEN {u} + {v} > 1 THEN 1 - {x} ELSE {x} END" for x in (u, v))
+    turn = lambda f, k: f"{f}(pi() / 6 + (floor({side} * 6) + {k}) * pi() / 3)"
+    at = lambda f: f"{geo.SIDE!r}e0 * (({a}) * {turn(f, 0)} + ({b}) * {turn(f, 1)})"
+    x, y = f"((q + r / 2) * {geo.SIDE * math.sqrt(3)!r}e0 + {at('cos')})", f"(r * {geo.SIDE * 1.5!r}e0 + {at('sin')})"
+    beta, e2 = f"asin({y} * {2 * geo.K0 / geo.A / pole!r})", geo.E2
+    series = [e2 / 3 + 31 * e2**2 / 180 + 517 * e2**3 / 5040, 23 * e2**2 / 360 + 251 * e2**3 / 3780, 761 * e2**3 / 45360]
+    lat = " + ".join(f"{c:.20e} * sin({2 * k} * {beta})" for k, c in enumerate(series, 1))
+    return f"degrees({x} / {geo.A * geo.K0!r}e0)", f"degrees({beta} + {lat})"
+
+
+def _commuters_sql() -> str:
+    """All steps one after the other: home, age, employment, destination, vehicles, usage."""
+    hit = lambda u, c: f"({u} > {c}.cum_lo OR {u} = 0 AND {c}.cum_lo = 0) AND {u} <= {c}.cum_hi"
+    hlon, hlat = _point_sql("u2", "u3", "u4")
+    wlon, wlat = _point_sql("u9", "u10", "u11")
+    (hx, hy), (wx, wy) = _plane("origin_lon", "origin_lat"), _plane("destination_lon", "destination_lat")
+    cases = " ".join(f"WHEN {_any('age', codes)} THEN '{g}'" for g, codes in statistics.AGE_GROUPS.items())
+    named = {"A": "agricultural", "F": "industrial", "G-I": "commercial", "J": "office", "O-Q": "social"}
+    jobs = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in named.items())
+    weight = lambda v: f"(exp({_park(*tiles.PARKING['origin'][v])}) / sum(exp({_park(*tiles.PARKING['origin'][v])})) OVER ()) / (population / sum(population) OVER ())"
+    means = {"car": "1.3e0 * coalesce(g.car_weight, 1e0)", "moto": "0.2e0 * coalesce(g.moto_weight, 1e0)", "utilities": "0.1e0"}
+    owned = ", ".join(f"CASE WHEN age <> 'under_20' THEN {_count(f'({p})', u)} END AS {v}" for (v, p), u in zip(means.items(), ("u12", "u13", "u14")))
+    return f"""WITH grid AS (SELECT *, (q + {geo.OFFSET}) * {geo.SPAN} + r + {geo.OFFSET} AS tile, {weight('car')} AS car_weight, {weight('moto')} AS moto_weight, {_park(*tiles.PARKING['destination']['car'])} AS to_car, {_park(*tiles.PARKING['destination']['moto'])} AS to_moto
+  FROM (SELECT *, cell % 150 AS q, CAST(floor(cell / 150) AS BIGINT) AS r FROM fx_tiles WHERE population IS NOT NULL) g),
+pc AS ({cdf_sql('grid', '', 'tile', 'population')}), home AS (SELECT d.*, g.tile AS origin_cell, g.region, {hlon} AS origin_lon, {hlat} AS origin_lat FROM fx_seeded d JOIN pc ON {hit('u1', 'pc')} JOIN grid g ON pc.tile = g.tile),
+age_weights AS (SELECT left(geo, length(geo) - 1) AS region, CASE {cases} END AS age, sum(value) AS weight FROM fx_age GROUP BY 1, 2), ac AS ({cdf_sql('age_weights', 'region', 'age', 'weight')}),
+jobs AS (SELECT left(geo, length(geo) - 1) AS region, CASE sector {jobs} END AS employment_type, sum(value) AS weight FROM fx_sector WHERE {_any('sector', tuple(named))} GROUP BY 1, 2), jc AS ({cdf_sql('jobs', 'region', 'employment_type', 'weight')}),
+aged AS (SELECT h.*, ac.age, coalesce(ac.age <> 'under_20' AND u6 * 100 <= CASE WHEN ac.age = 'between_20_64' THEN 70e0 ELSE 12e0 END, false) AS employed FROM home h LEFT JOIN ac ON h.region = ac.region AND {hit('u5', 'ac')}),
+typed AS (SELECT a.*, CASE WHEN employed THEN jc.employment_type END AS employment_type FROM aged a LEFT JOIN jc ON a.region = jc.region AND {hit('u7', 'jc')}),
+wished AS (SELECT *, CASE WHEN age = 'under_20' THEN 'education' WHEN employment_type IS NOT NULL THEN 'work_' || employment_type END AS interest FROM typed),
+long AS ({' UNION ALL '.join(f"SELECT tile, '{k}' AS interest, {k} AS area FROM grid" for k in INTERESTS)}), ic AS ({cdf_sql('long', 'interest', 'tile', 'area')}),
+going AS (SELECT w.vc_id, ic.tile AS destination_cell, g.to_car, g.to_moto, {wlon} AS destination_lon, {wlat} AS destination_lat FROM wished w JOIN ic ON w.interest = ic.interest AND {hit('u8', 'ic')} JOIN grid g ON ic.tile = g.tile),
+owning AS (SELECT w.* EXCLUDE (interest), destination_cell, t.to_car, t.to_moto, destination_lon, destination_lat, {owned} FROM wished w LEFT JOIN going t ON w.vc_id = t.vc_id JOIN grid g ON w.origin_cell = g.tile),
+far AS (SELECT *, coalesce(round(sqrt(pow({hx} - {wx}, 2) + pow({hy} - {wy}, 2)), 2), 0e0) AS distance FROM owning)
+SELECT vc_id, 's1' AS sim_id, origin_cell, round(origin_lon, 6) AS origin_lon, round(origin_lat, 6) AS origin_lat, region, age, employed, employment_type, destination_cell, round(destination_lon, 6) AS destination_lon, round(destination_lat, 6) AS destination_lat, car, moto, utilities, distance,
+CASE WHEN utilities > 0 AND u17 < 0.95 THEN 'utilities' WHEN moto > 0 AND distance > 3000 AND u16 < coalesce(to_moto, 0) THEN 'moto' WHEN car > 0 AND distance > 3000 AND u15 < coalesce(to_car, 0) THEN 'car' END AS usage FROM far"""
+
+
+@query(_commuters_sql())
 def commuters(t: Tables) -> DataFrame:
     shares, rates, types = _regional(t)
     cells = _cells(t).where("population is not null")

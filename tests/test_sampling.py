@@ -36,7 +36,7 @@ def test_running_sums_are_exact_for_any_ranges(spark, ranges):
 def test_no_task_sees_a_whole_group(spark):
     table = spark.range(500).select(F.lit("a").alias("g"), F.col("id").alias("k"), (F.col("id") % 9 + 1.0).alias("w"))
     for group in ([], ["g"]):
-        plan = sampling.weights_cdf(table, group, "k", "w")._jdf.queryExecution().executedPlan().toString()
+        plan = running_sums(table, group, ["w", "k"], "w")._jdf.queryExecution().executedPlan().toString()
         assert "SinglePartition" not in plan and "NestedLoop" not in plan
         assert "hashpartitioning(g#" not in plan
 
