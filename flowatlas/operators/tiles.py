@@ -151,13 +151,37 @@ def place_summary(tiles: DataFrame) -> DataFrame:
     return grouped.select("place", city_of(F.col("place")).alias("city"), country_of(F.col("place")).alias("country"), "n_tiles", "regions")
 
 
-def flows(tiles: DataFrame, origins: DataFrame | None = None, *, place: str = "place") -> DataFrame:
+def place_documents(tiles: DataFrame, shapes: DataFrame) -> DataFrame:
+    """A document for each place: city, country, n_tiles, the sorted cells of its tiles and their sorted regions, shape and box.
+
+    ``tiles`` has place ("City, Country"), cell and region; ``shapes`` has place and ring (ARRAY<STRUCT<x, y>>), a row for
+    each part. The shape is a MULTIPOLYGON in millimetres' precision, its parts in the order of their text; the box is
+    min x, min y, max x, max y. Cells and regions that come twice are listed once. A place without a shape has none.
+    """
+    from flowatlas.functions.predicates import city_of, country_of
+
+    listed = tiles.groupBy("place").agg(F.sort_array(F.collect_set("cell")).alias("tiles"), F.sort_array(F.collect_set("region")).alias("regions"))  # one place's list is what its document holds
+    corner = lambda p: F.format_string("%.3f %.3f", p["x"], p["y"])
+    closed = F.concat("ring", F.slice("ring", F.lit(1), F.lit(1)))
+    part = F.concat(F.lit("(("), F.array_join(F.transform(closed, corner), ", "), F.lit("))"))
+    ends = [f(F.transform("ring", lambda p: p[c])).alias(f"_{c}{k}") for k, f in enumerate((F.array_min, F.array_max)) for c in "xy"]
+    drawn = shapes.where(F.size("ring") > 0).select("place", part.alias("_part"), *ends)
+    box = F.array(*[f(c) for f, c in ((F.min, "_x0"), (F.min, "_y0"), (F.max, "_x1"), (F.max, "_y1"))]).alias("bbox")
+    text = F.concat(F.lit("MULTIPOLYGON ("), F.array_join(F.sort_array(F.collect_list("_part")), ", "), F.lit(")")).alias("shape")
+    joined = listed.join(drawn.groupBy("place").agg(text, box), "place", "left")
+    return joined.select(city_of(F.col("place")).alias("name"), country_of(F.col("place")).alias("country"), F.size("tiles").cast("long").alias("n_tiles"), "tiles", "regions", "shape", "bbox")
+
+
+def flows(tiles: DataFrame, origins: DataFrame | None = None, *, place: str = "place", base_work: float = 0.0) -> DataFrame:
     """(place, origin, destination, flow) for all pairs of a place's tiles: workers, pupils and others by the destination's shares.
 
+    ``base_work`` is added to each tile's work area first, so that no tile is without any (500 m² is usual).
+
     ``tiles`` has the place, cell, work, education, leisure, workers, pupils, others. Tiles meet by an equi-join on their
     place; each place's part is a full matrix by definition, so its size is the square of the place's tiles.
     """
     kinds = ("work", "education", "leisure")
+    tiles = tiles.withColumn("work", F.coalesce("work", F.lit(0.0)) + base_work) if base_work else tiles
     totals = tiles.groupBy(place).agg(*[F.sum(c).alias(f"_{c}") for c in kinds])  # a row per place
     shares = [F.coalesce(F.try_divide(F.col(c), F.col(f"_{c}")), F.lit(0.0)).alias(f"_s{c}") for c in kinds]
     ends = tiles.join(totals, place).select(place, F.col("cell").alias("destination"), *shares)

@@ -76,6 +76,12 @@ def transit_share(t: Tables) -> DataFrame:
     return rounded(stats.select("transit_share"))
 
 
+@query(f"WITH {CHOSEN}, few AS (SELECT * FROM chosen ORDER BY vc_id LIMIT 700), p AS ({pairs('(SELECT t.* FROM fx_trace t SEMI JOIN few c ON t.option_id = c.option_id)')}), s AS (SELECT {MEASURE} FROM p), z AS (SELECT {SUMS} FROM s) SELECT {measures()}, {share_columns()}, {TRANSIT} FROM z")
+def first_shares(t: Tables) -> DataFrame:
+    """Modal shares of the first 700 commuters' choices; the limit is the feature."""
+    return rounded(shares.simulation_stats(_selection(t), t.nested_legs(), max_count=700), **{m: 2 for m in M8})
+
+
 @query(f"WITH {CHOSEN} SELECT c.vc_id, c.option_id, f.has_car, f.duration FROM chosen c LEFT JOIN fx_facts f ON c.option_id = f.option_id")
 def choose_option(t: Tables) -> DataFrame:
     return _selection(t).join(choice.option_facts(t.legs), "option_id", "left").select("vc_id", "option_id", "has_car", "duration")

@@ -269,6 +269,37 @@ def od_matrix(t: Tables) -> DataFrame:
     return rounded(tiles.flows(t.tiles.where("population is not null").select(*ends, *people), place="region"), 4)
 
 
+@query("""WITH p AS (SELECT region, cell, CASE WHEN work_office < 300 THEN 0e0 ELSE work_office END + 500e0 AS work, education, leisure, population * 0.5e0 AS workers, population * 0.2e0 AS pupils, population * 0.3e0 AS others FROM fx_tiles WHERE population IS NOT NULL),
+e AS (SELECT region, cell AS destination, work / sum(work) OVER w AS a, education / sum(education) OVER w AS b, leisure / sum(leisure) OVER w AS c FROM p WINDOW w AS (PARTITION BY region))
+SELECT p.region, p.cell AS origin, destination, round(a * workers + b * pupils + c * others, 4) AS flow FROM p JOIN e ON p.region = e.region""")
+def od_matrix_base(t: Tables) -> DataFrame:
+    """The matrix with 500 m² of work in each tile beside what is mapped there."""
+    work = F.when(F.col("work_office") < 300, 0.0).otherwise(F.col("work_office"))
+    people = [(F.col("population") * share).alias(name) for name, share in (("workers", 0.5), ("pupils", 0.2), ("others", 0.3))]
+    rows = t.tiles.where("population is not null").select("region", "cell", work.alias("work"), "education", "leisure", *people)
+    return rounded(tiles.flows(rows, place="region", base_work=500.0), 4)
+
+
+def _document_sql() -> str:
+    ring = [(x, y) for x, y in _ring_sql()]
+    corners = ", ".join(f"printf('%.3f %.3f', {x}, {y})" for x, y in [*ring, ring[0]])
+    xs, ys = (", ".join(p[k] for p in ring) for k in (0, 1))
+    return f"""WITH cover AS ({_cover_sql()}), listed AS (SELECT place_id, list(cell ORDER BY cell) AS tiles, list_sort(list(DISTINCT 'R' || CAST(cell % 5 AS VARCHAR))) AS regions FROM cover GROUP BY place_id)
+SELECT n_name AS name, 'Country ' || CAST(n_regionkey AS VARCHAR) AS country, CAST(len(tiles) AS BIGINT) AS n_tiles, array_to_string(tiles, ',') AS tiles, array_to_string(regions, ',') AS regions,
+'MULTIPOLYGON (((' || array_to_string([{corners}], ', ') || ')))' AS shape, round(least({xs}), 3) AS x0, round(least({ys}), 3) AS y0, round(greatest({xs}), 3) AS x1, round(greatest({ys}), 3) AS y1 FROM nation JOIN listed ON n_name = place_id"""
+
+
+@query(_document_sql())
+def place_document(t: Tables) -> DataFrame:
+    """The whole document of each nation's place, its list of tiles among them."""
+    named = t.base("nation").select(F.col("n_name").alias("place_id"), F.concat("n_name", F.lit(", Country "), F.col("n_regionkey").cast("string")).alias("place"))
+    polygons = _polygon(t)
+    cells = tiles.tile_cover(polygons).join(named, "place_id").select("place", "cell", F.concat(F.lit("R"), (F.col("cell") % 5).cast("string")).alias("region"))
+    found = tiles.place_documents(cells, polygons.join(named, "place_id").select("place", "ring"))
+    joined = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), ",").alias(c)
+    return rounded(found.select("name", "country", "n_tiles", joined("tiles"), joined("regions"), "shape", *[F.col("bbox")[k].alias(c) for k, c in enumerate(("x0", "y0", "x1", "y1"))]), 3)
+
+
 @query("SELECT cell, round(population / sum(population) OVER (), 9) AS population_share FROM fx_tiles")
 def population_share(t: Tables) -> DataFrame:
     return rounded(tiles_share(t), 9)
