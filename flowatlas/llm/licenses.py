@@ -18,7 +18,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowatlas.llm.common import whole_text
+from flowatlas.llm.common import KEY, keyed, whole_text
 
 #: What parts words: all of ASCII but digits and letters. Case is folded for A-Z only.
 NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -59,15 +59,16 @@ def corpus_ranks(blocks: DataFrame, templates: dict[str, str]) -> dict[str, int]
     return {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (rows.get(w, 0), w)))}
 
 
-def template_matches(docs: DataFrame, *, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, block, label, containment, text: every line that holds enough of a template.
+def template_matches(docs: DataFrame, *, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, key: list[str] | None = None) -> DataFrame:
+    """doc_id, block, label, containment, text: every line that holds enough of a template. ``key`` names documents by other columns than doc_id.
 
     Null texts are empty and match nothing; rows that repeat a doc_id give their matches each; empty tables none.
     """
     templates = TEMPLATES if templates is None else templates
     sets = {label: sorted(set(t.split())) for label, t in templates.items()}
     vocabulary = sorted({w for words in sets.values() for w in words})
-    lines = docs.select("doc_id", F.posexplode(F.split(whole_text(), "\n")).alias("block", "text"))
+    key = key or ["doc_id"]
+    lines = docs.select(*key, F.posexplode(F.split(whole_text(), "\n")).alias("block", "text"))
     # words outside the templates can't be shared
     blocks = lines.withColumn("_words", F.array_intersect(split_words(F.col("text")), F.array(*map(F.lit, vocabulary))))
     ranks = corpus_ranks(blocks, templates)
@@ -79,20 +80,21 @@ def template_matches(docs: DataFrame, *, templates: dict[str, str] | None = None
     rank = F.create_map(*[F.lit(x) for w, i in ranks.items() for x in (w, i)])
     rare = F.array(*[F.lit(w) for w in sorted({p[0] for p in prefixes})])
     ordered = F.transform(F.array_sort(F.transform("_words", lambda w: F.struct(rank[w].alias("rank"), w.alias("word")))), lambda x: x["word"])
-    probes = blocks.where(F.arrays_overlap("_words", rare)).withColumn("_words", ordered).select("doc_id", "block", "text", "_words", F.posexplode("_words").alias("at", "word"))
+    probes = blocks.where(F.arrays_overlap("_words", rare)).withColumn("_words", ordered).select(*key, "block", "text", "_words", F.posexplode("_words").alias("at", "word"))
     pairs = probes.join(F.broadcast(prefix), "word").where(F.size("_words") >= F.col("need"))  # length filter
-    first = pairs.groupBy("doc_id", "block", "text", "_words", "label", "size", "need").agg(F.min(F.struct("place", "at")).alias("first"))
+    first = pairs.groupBy(*key, "block", "text", "_words", "label", "size", "need").agg(F.min(F.struct("place", "at")).alias("first"))
     possible = F.least(F.col("size") - F.col("first.place"), F.size("_words") - F.col("first.at"))  # positional filter
     whole = F.create_map(*[x for label, words in sets.items() for x in (F.lit(label), F.array(*map(F.lit, words)))])
     shared = F.size(F.array_intersect("_words", whole[F.col("label")]))
-    return first.where(possible >= F.col("need")).withColumn("shared", shared).where("shared >= need").select("doc_id", "block", "label", (F.col("shared") / F.col("size")).alias("containment"), "text")
+    return first.where(possible >= F.col("need")).withColumn("shared", shared).where("shared >= need").select(*key, "block", "label", (F.col("shared") / F.col("size")).alias("containment"), "text")
 
 
 def phrase_places(docs: DataFrame, phrases: dict[str, str] | None = None) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, _labels: the places where phrases stand, counted in words."""
+    """The columns of ``docs`` but text, and n_words, n_base, first_word, last_word, _labels: the places where phrases stand, counted in words."""
+    kept = [c for c in docs.columns if c != "text"]
     phrases = PHRASES if phrases is None else phrases
     w = F.col("_w")
-    found = docs.select("doc_id", F.array_remove(split_words(whole_text()), "").alias("_w"))
+    found = docs.select(*kept, F.array_remove(split_words(whole_text()), "").alias("_w"))
 
     def places(phrase: str) -> Column:
         """All starts of the phrase; places are only tried in texts that hold each of its words."""
@@ -101,21 +103,22 @@ def phrase_places(docs: DataFrame, phrases: dict[str, str] | None = None) -> Dat
         there = reduce(and_, [F.array_contains(w, part) for part in sorted(set(parts))])
         return F.when(there, F.filter(F.sequence(F.lit(0), F.size(w) - 1), here)).otherwise(F.array().cast("array<int>"))
 
-    spots = found.select("doc_id", F.size(w).cast("long").alias("n_words"), *[places(p).alias(f"_p{i}") for i, p in enumerate(phrases)])
+    spots = found.select(*kept, F.size(w).cast("long").alias("n_words"), *[places(p).alias(f"_p{i}") for i, p in enumerate(phrases)])
     every = F.concat(F.array().cast("array<int>"), *[F.col(f"_p{i}") for i in range(len(phrases))])
     labels = F.array_distinct(F.filter(F.array(*[F.when(F.size(f"_p{i}") > 0, F.lit(label)) for i, label in enumerate(phrases.values())]), lambda x: x.isNotNull()))
-    return spots.select("doc_id", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), labels.alias("_labels"))
+    return spots.select(*kept, "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), labels.alias("_labels"))
 
 
 def scan_licenses(docs: DataFrame, *, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     score is 1 where a phrase stands, else the highest containment of a matching template, else 0. Null texts are
-    empty: 0 words, no labels. doc_id is the key: rows that repeat it keep their own phrases and share the templates'
-    labels. An empty table gives no rows; further columns are ignored.
+    empty: 0 words, no labels. Rows that repeat or lack a doc_id keep their own labels: rows are told apart by a hash of
+    all columns. An empty table gives no rows; further columns are ignored.
     """
-    found = template_matches(docs, templates=templates, threshold=threshold).groupBy("doc_id").agg(F.collect_set("label").alias("_found"), F.max("containment").alias("_best"))  # a set of labels: bounded by the templates
-    joined = phrase_places(docs).join(found.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    rows = keyed(docs, "doc_id", "text").drop("row")
+    found = template_matches(rows, templates=templates, threshold=threshold, key=KEY).groupBy(*KEY).agg(F.collect_set("label").alias("_found"), F.max("containment").alias("_best"))  # a set of labels: bounded by the templates
+    joined = phrase_places(rows).join(found, KEY, "left")
     text = lambda x: F.concat_ws(",", F.array_sort(x))
     every = F.array_union("_labels", F.coalesce("_found", F.array().cast("array<string>")))
     score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("_best", F.lit(0.0)))
