@@ -226,8 +226,8 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sent_to_segments(plain: DataFrame, filters: DataFrame, words: object, power: int, salts: dict[int, int], weight: float, denominator: float) -> DataFrame:
-    """(doc_id, held_out, score): the score of all tokens with a known context, probed where the pair segments are."""
-    token = [("key", "<u8"), ("doc", "<i8"), ("one", "u1"), ("context", "u1"), ("held", "u1"), ("null", "u1")]
+    """(doc_id, held_out, row, score): the score of all tokens with a known context, probed where the pair segments are."""
+    token = [("key", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("one", "u1"), ("context", "u1"), ("held", "u1"), ("null", "u1")]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, batch in enumerate(_batches(batches)):
@@ -236,6 +236,7 @@ def _sent_to_segments(plain: DataFrame, filters: DataFrame, words: object, power
             rows = np.zeros(len(b.flat), token)
             rows["key"], rows["one"], rows["context"] = b.pairs, one, context
             rows["doc"] = batch.column(0).fill_null(0).to_numpy()[b.doc]
+            rows["row"] = batch.column(3).to_numpy()[b.doc]
             rows["held"], rows["null"] = batch.column(2).to_numpy(zero_copy_only=False)[b.doc], batch.column(0).is_null().to_numpy(zero_copy_only=False)[b.doc]
             rows = rows[context > 0]
             segment = segment_of(rows["key"], power)
@@ -249,15 +250,15 @@ def _sent_to_segments(plain: DataFrame, filters: DataFrame, words: object, power
         rows = np.frombuffer(b"".join(sent.column("packed").to_pylist()), token)
         model = Filter({s: bytes(f) for s, f in zip(kept.column("segment").to_pylist(), kept.column("filter").to_pylist())}, power)
         score = mixed(estimate(model.level(rows["key"])), estimate(rows["one"].astype(np.int64)), estimate(rows["context"].astype(np.int64)), weight, denominator)
-        who, at = np.unique(rows[["doc", "held", "null"]], return_inverse=True)
+        who, at = np.unique(rows[["doc", "row", "held", "null"]], return_inverse=True)
         ids = pa.array(who["doc"], pa.int64(), mask=who["null"].astype(bool))
-        return pa.table({"doc_id": ids, "held_out": pa.array(who["held"].astype(bool)), "score": pa.array(np.bincount(at, score, len(who)).astype(float))})
+        return pa.table({"doc_id": ids, "held_out": pa.array(who["held"].astype(bool)), "row": pa.array(who["row"]), "score": pa.array(np.bincount(at, score, len(who)).astype(float))})
 
     many = F.create_map(*[F.lit(x) for s, n in salts.items() for x in (s, n)]) if salts else None
     times = F.coalesce(many[F.col("segment")], F.lit(1)) if salts else F.lit(1)
     copies = filters.where("kind = 1").select("segment", F.explode(F.sequence(F.lit(0), times - 1)).alias("salt"), F.col("packed").alias("filter"))
     sent = plain.mapInArrow(deal, "segment int, salt int, packed binary")
-    return sent.groupBy("segment", "salt").cogroup(copies.groupBy("segment", "salt")).applyInArrow(probe, "doc_id long, held_out boolean, score double")
+    return sent.groupBy("segment", "salt").cogroup(copies.groupBy("segment", "salt")).applyInArrow(probe, "doc_id long, held_out boolean, row long, score double")
 
 
 def scored(docs: DataFrame, *, max_bytes: int = MAX_BYTES, entry: int = BITS) -> DataFrame:
@@ -265,14 +266,15 @@ def scored(docs: DataFrame, *, max_bytes: int = MAX_BYTES, entry: int = BITS) ->
 
     Documents whose crc32(doc_id as text) mod 5 is 1 are held out; the others are learned from. Tokens are the
     lower-cased (A-Z) words and one end. base_score is the exact add-half one-word score; score is the model's log10
-    probability. Null and empty texts have just the end token. A null doc_id is never held out. Rows that repeat a
-    doc_id are learned from each and summed into one row. With no training documents every
-    word is unknown. An empty table gives no rows; further columns are ignored. Words are told apart by 64-bit hashes.
+    probability. Null and empty texts have just the end token. A null doc_id is never held out. Rows that repeat
+    or lack a doc_id are documents of their own, told apart by a hash of the row; rows equal in all columns are scored
+    once and come as often as they are there. With no training documents every word is unknown. An empty table gives no rows; further columns are ignored. Words are told apart by 64-bit hashes.
     The filters have ``entry`` bits for each sequence and level, so how full they are doesn't depend on the corpus.
     """
     spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held_out"))
+    row = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held_out"), row.alias("row"))
     power = segment_power(plain)
     built = stable(build(plain.where("not held_out"), power, entry))
     counts = built.where("packed is null").select("key", "count")
@@ -326,24 +328,26 @@ def scored(docs: DataFrame, *, max_bytes: int = MAX_BYTES, entry: int = BITS) ->
             take = pa.array(np.concatenate((np.arange(n), owner)))
             none = np.zeros(m, np.int64)
             columns = {
-                "key": (np.full(n, -1), word.view(np.int64)), "times": (np.zeros(n, np.int64), times), "tokens": (b.lengths, none), "known": (n_known, none),
+                "copies": (np.ones(n, np.int64), none), "key": (np.full(n, -1), word.view(np.int64)), "times": (np.zeros(n, np.int64), times), "tokens": (b.lengths, none), "known": (n_known, none),
                 "base": (base, none.astype(float)), "score": (score, none.astype(float)),
             }
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), *(pa.array(np.concatenate(x)) for x in columns.values())], names=["doc_id", "held_out", *columns])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in (0, 2, 3)), *(pa.array(np.concatenate(x)) for x in columns.values())], names=["doc_id", "held_out", "row", *columns])
 
-    rows = plain.mapInArrow(run, "doc_id long, held_out boolean, key long, times long, tokens long, known long, base double, score double")
+    rows = plain.mapInArrow(run, "doc_id long, held_out boolean, row long, copies long, key long, times long, tokens long, known long, base double, score double")
     if not here:
         salts = {r["segment"]: -(-r["key"] // SALTED) for r in filters.where("kind = 1").where(F.col("key") > SALTED).select("segment", "key").collect()}
         far = _sent_to_segments(plain, filters, shared, power, salts, weight, denominator)
         none = F.lit(0).cast("long")
-        rows = rows.unionByName(far.select("doc_id", "held_out", none.alias("key"), none.alias("times"), none.alias("tokens"), none.alias("known"), F.lit(0.0).alias("base"), "score"))
+        rows = rows.unionByName(far.select("doc_id", "held_out", "row", none.alias("copies"), none.alias("key"), none.alias("times"), none.alias("tokens"), none.alias("known"), F.lit(0.0).alias("base"), "score"))
     rest = counts.where(eighth < edge).withColumnRenamed("count", "c")
-    # a row that carries a document's own figures has no word; its key is its id's hash, so that no task gets them all
-    rows = rows.withColumn("key", F.when(F.col("times") == 0, F.xxhash64("doc_id")).otherwise(F.col("key")))
+    # a row that carries a document's own figures has no word; its key is its row's hash, so that no task gets them all
+    rows = rows.withColumn("key", F.when(F.col("times") == 0, F.col("row")).otherwise(F.col("key")))
     joined = rows.join(rest, "key", "left")
     log = F.when(F.col("times") == 0, 0.0).when(F.col("c").isNull(), F.lit(log_none)).otherwise(F.log10((F.col("c") + 0.5) / F.lit(float(denominator or 1))))
-    sums = joined.groupBy("doc_id", "held_out").agg(
-        F.sum("tokens").alias("n_tokens"), (F.sum("known") + F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0))).alias("n_known"),
+    sums = joined.groupBy("doc_id", "held_out", "row").agg(
+        F.sum("copies").cast("int").alias("copies"), F.sum("tokens").alias("n_tokens"), (F.sum("known") + F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0))).alias("n_known"),
         (F.sum("base") + F.sum(F.col("times") * log)).alias("base_score"), F.sum("score").alias("score"),
     )
-    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
+    one = sums.withColumns({c: (F.col(c) / F.col("copies")).cast(sums.schema[c].dataType) for c in ("n_tokens", "n_known", "base_score", "score")})
+    one = one.withColumn("copies", F.explode(F.sequence(F.lit(1), "copies")))
+    return one.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
