@@ -167,18 +167,19 @@ def pack(pieces: DataFrame, *, shard_pieces: int = SHARD_PIECES, max_tokens: int
     """``pieces`` (doc_id, piece, start, length, ids_crc32) with sequence_id and offset.
 
     Full pieces are sequences by themselves. The others are packed shard by shard; the numbers of sequences are unique
-    but have gaps.
+    but have gaps. Shards are even whatever repeats: rows are dealt by their places too, so ``pieces`` must be a written
+    table or a checkpoint.
     """
     spark = pieces.sparkSession
     shards = max(1, -(-pieces.where(F.col("length") < max_tokens).count() // shard_pieces))
 
     def run(shard: pa.Table) -> pa.Table:
         number = shard.column("shard")[0].as_py()
-        shard = shard.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        shard = shard.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         place, offset = best_fit(shard.column("length").to_numpy(), max_tokens=max_tokens, max_docs=max_docs, max_cost=max_cost, weights=weights)
         return pa.table({**{c: shard.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")}, "sequence_id": place * (2 * shards) + 2 * number, "offset": offset})
 
-    short = pieces.where(F.col("length") < max_tokens).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
+    short = pieces.where(F.col("length") < max_tokens).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards)))
     packed = short.groupBy("shard").applyInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     full = pieces.where(F.col("length") >= max_tokens).select("doc_id", "piece", "start", "length", "ids_crc32", (2 * F.monotonically_increasing_id() + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.unionByName(full)

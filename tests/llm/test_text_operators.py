@@ -198,6 +198,14 @@ def test_licenses_of_no_rows(spark):
 # 4: language model
 
 
+def test_license_labels_stay_with_their_rows(spark):
+    mit = "Released under the MIT License"
+    rows = [(None, mit), (None, "plain words"), (3, mit), (3, "other plain words"), (4, mit), (4, mit)]
+    table = spark.createDataFrame([(i, t, "en", "s", 0, "clash", 0.5) for i, t in rows], DOCS)
+    found = sorted(((r.doc_id or -1, r.n_words), r.labels, r.score) for r in licenses.scan_licenses(table).collect())
+    assert found == [((-1, 2), "", 0.0), ((-1, 5), "mit", 1.0), ((3, 3), "", 0.0), ((3, 5), "mit", 1.0), ((4, 5), "mit", 1.0), ((4, 5), "mit", 1.0)]
+
+
 def test_lm_base_score_is_exact(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "COMMON", 5)
     dice = random.Random(6)
@@ -258,6 +266,15 @@ def test_lm_score_against_brute_force(spark, monkeypatch, max_bytes, salted):
         assert found[i] == pytest.approx(score, rel=1e-6), i
 
 
+@pytest.mark.parametrize("max_bytes", [1 << 27, 1500])
+def test_lm_scores_each_row_whatever_its_id(spark, max_bytes):
+    rows = [(None, "a b c"), (None, "x"), (7, "a b"), (7, "a b c d"), (7, "a b"), (8, None), (8, "")]
+    table = spark.createDataFrame([(i, t, "en", "s", 0, "clash", 0.5) for i, t in rows + [(k, "a b c d a b x") for k in range(20, 60)]], DOCS)
+    found = sorted((r.doc_id or -1, r.n_tokens, round(r.score, 6), round(r.base_score, 6)) for r in lm_score.scored(table, max_bytes=max_bytes).collect())
+    assert [f[:2] for f in found[:7]] == [(-1, 2), (-1, 4), (7, 3), (7, 3), (7, 5), (8, 1), (8, 1)] and len(found) == 47
+    assert found[2] == found[3] and found[5] == found[6] and found[1][2] == pytest.approx(found[2][2], abs=9) and len(set(found[7:])) == 40
+
+
 def test_lm_without_training_or_rows(spark):
     only_held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
     r = lm_score.scored(docs(spark, ["a b"]).withColumn("doc_id", F.lit(only_held).cast("long"))).first()
@@ -362,6 +379,15 @@ def test_best_fit_keeps_every_capacity():
         assert len(mine) <= 3 and mine.sum() <= 4096 and ((mine.astype(float) ** 2).sum() <= 9e6 or len(mine) == 1)
 
 
+def test_packing_shards_are_even_whatever_repeats(spark, monkeypatch):
+    rows = [(None, 0, 0, 100, 7)] * 3000 + [(k % 50, 0, 0, 50 + k % 9, k) for k in range(3000)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(7).checkpoint()
+    packed = packing.pack(pieces, shard_pieces=500).toPandas()
+    assert len(packed) == 6000
+    sizes = packed.groupby((packed.sequence_id // 2) % 12).size()
+    assert len(sizes) == 12 and sizes.max() < 1.5 * sizes.min()
+
+
 def test_packing_of_no_rows(spark):
     from flowatlas.llm.queries import tokenizer_path
 
