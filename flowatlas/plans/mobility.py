@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowatlas.functions import geo, predicates
 from flowatlas.operators import choice, congestion, feedback, heatmap, matching, places, shares, traces
 from flowatlas.plans.fixtures import RING, VEHICLE_FACTORS, Tables
+from flowatlas.sources.store import shared_table
 
 QUERIES, SQL = {}, {}
 
@@ -239,38 +240,39 @@ delays AS (SELECT vc_id, option_id, leg_seq, factor, date_diff('second', departu
 
 
 def _first(t: Tables) -> DataFrame:
-    return congestion.first_car_routes(t.routes())
+    """The first car routes, written once for all that is made of them."""
+    return shared_table(congestion.first_car_routes(t.routes()))
 
 
-def _factors(t: Tables, routes: DataFrame) -> DataFrame:
-    return congestion.congestion_factors(congestion.edge_usage(routes, vehicles_per_journey=0.5), t.edge_table())
+def _factors(routes: DataFrame, edges: DataFrame) -> DataFrame:
+    return congestion.congestion_factors(congestion.edge_usage(routes, vehicles_per_journey=0.5), edges)
 
 
 @query(f"WITH {FIRST} SELECT DISTINCT vc_id, option_id, CAST(leg_seq AS BIGINT) AS leg_seq, CAST(count(*) AS INTEGER) AS n_nodes FROM car GROUP BY vc_id, option_id, leg_seq")
 def first_car_route(t: Tables) -> DataFrame:
-    return _first(t).select("vc_id", "option_id", F.col("leg_seq").cast("long").alias("leg_seq"), F.size("osm_nodes").alias("n_nodes"))
+    return congestion.first_car_routes(t.routes()).select("vc_id", "option_id", F.col("leg_seq").cast("long").alias("leg_seq"), F.size("osm_nodes").alias("n_nodes"))
 
 
 @query(f"WITH {FIRST} SELECT * FROM used")
 def edge_usage(t: Tables) -> DataFrame:
-    return congestion.edge_usage(_first(t), vehicles_per_journey=0.5)
+    return congestion.edge_usage(congestion.first_car_routes(t.routes()), vehicles_per_journey=0.5)
 
 
 @query(f"WITH {FIRST}, {FACTORS} SELECT node_lo, node_hi, usage, round(factor, 6) AS factor FROM factors")
 def congestion_factor(t: Tables) -> DataFrame:
-    return rounded(_factors(t, _first(t)))
+    return rounded(_factors(_first(t), t.edge_table()))
 
 
 @query(f"WITH {FIRST}, {FACTORS}, {DELAYS} SELECT vc_id, option_id, CAST(leg_seq AS BIGINT) AS leg_seq, round(factor, 6) AS factor, round(delay, 4) AS delay FROM delays")
 def leg_delay(t: Tables) -> DataFrame:
-    routes = _first(t)
-    return rounded(congestion.leg_delays(routes, t.edge_table(), _factors(t, routes), t.commuters).withColumn("leg_seq", F.col("leg_seq").cast("long")), delay=4)
+    routes, edges = _first(t), shared_table(t.edge_table())
+    return rounded(congestion.leg_delays(routes, edges, _factors(routes, edges), t.commuters).withColumn("leg_seq", F.col("leg_seq").cast("long")), delay=4)
 
 
 @query(f"WITH {FIRST}, {FACTORS}, {DELAYS} SELECT option_id, round(sum(delay), 3) AS delay FROM delays GROUP BY option_id")
 def option_delay(t: Tables) -> DataFrame:
-    routes = _first(t)
-    return rounded(congestion.option_delays(congestion.leg_delays(routes, t.edge_table(), _factors(t, routes), t.commuters)), 3)
+    routes, edges = _first(t), shared_table(t.edge_table())
+    return rounded(congestion.option_delays(congestion.leg_delays(routes, edges, _factors(routes, edges), t.commuters)), 3)
 
 
 def _dated(sql: str) -> str:
@@ -298,9 +300,8 @@ def dated_factor(t: Tables) -> DataFrame:
 @query(_dated(f"WITH {FIRST}, {FACTORS}, {DELAYS} SELECT option_id, round(sum(delay), 3) AS delay FROM delays GROUP BY option_id"))
 def dated_delay(t: Tables) -> DataFrame:
     """Delay of each option on the graph of its simulation's date."""
-    routes, edges = congestion.first_car_routes(t.dated_routes()), t.dated_edge_table()
-    factors = congestion.congestion_factors(congestion.edge_usage(routes, vehicles_per_journey=0.5), edges)
-    return rounded(congestion.option_delays(congestion.leg_delays(routes, edges, factors, t.commuters)), 3)
+    routes, edges = shared_table(congestion.first_car_routes(t.dated_routes())), shared_table(t.dated_edge_table())
+    return rounded(congestion.option_delays(congestion.leg_delays(routes, edges, _factors(routes, edges), t.commuters)), 3)
 
 
 @query("""WITH hops AS (SELECT least(node, after) AS node_lo, greatest(node, after) AS node_hi, CASE WHEN vc_id % 2 = 0 THEN '2021-01-01' ELSE '2024-01-01' END AS graph_date FROM (SELECT vc_id, node, lead(node) OVER (PARTITION BY option_id, leg_seq ORDER BY i) AS after FROM fx_route_nodes) h WHERE after IS NOT NULL)
