@@ -15,9 +15,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import re
 import uuid
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from flowatlas.llm.common import shared_folder
 
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 #: A document's number times this, plus an end's offset, is the key of the end.
 SPAN = 2**40
 #: A pair's number is A's id times this plus B's id.
@@ -55,25 +57,35 @@ class Encoders:
     """Both tokenizers of a worker, and the bytes of every id."""
 
     def __init__(self, byte_path: str, ranks_path: str, piece_path: str, pattern: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(byte_path)
-        self.whole.encode_special_tokens = True
+        self.byte_path = byte_path
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.quick = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         level = _byte_level()
-        names = [self.whole.id_to_token(i) for i in range(self.whole.get_vocab_size())]
+        with open(byte_path, encoding="utf-8") as f:
+            entries = json.load(f)
+        numbers = entries["model"]["vocab"] | {t["content"]: t["id"] for t in entries["added_tokens"]}
+        names = sorted(numbers, key=numbers.get)
         self.a_bytes = pa.array([bytes(level[c] for c in n) if all(c in level for c in n) else n.encode() for n in names], pa.binary())
         names = [self.pieces.id_to_piece(i) for i in range(self.pieces.get_piece_size())]
         self.b_bytes = pa.array([bytes([int(n[3:5], 16)]) if self.pieces.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)], pa.binary())
 
+    @cached_property
+    def whole(self):
+        """The general tokenizer, for the few texts that need it."""
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.byte_path)
+        found.encode_special_tokens = True
+        return found
+
     def a(self, text: str) -> list[int]:
         """Ids of the byte-level vocabulary; the two libraries give the same ones (tested over all characters)."""
         if LONG_SPACE.search(text):
