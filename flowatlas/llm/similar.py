@@ -11,7 +11,9 @@ once in a million, so the budget prunes strangers and practically no link.
 
 Equal sets are one node. Up to ``GROUP`` nodes of a block are compared with each other. Of more, all are first compared
 with ``CENTRES`` of them; then the trie is walked once more for pairs of nodes that these links don't connect, so no pair
-is left out that could connect two components, and no links inside a component are listed. A pair is wanted in the block
+is left out that could connect two components, and no links inside a component are listed. Of the pairs of smaller blocks, one of each
+node is compared first, and then those whose ends no links connect: texts of large groups of copies are sent a few times
+each, not for every pair. A pair is wanted in the block
 of the first shingle that both share, where the places of that shingle bound what they can share after it; most pairs
 are so found once. All pairs pass a parity sketch of the whole sets before any text is sent: the sketches of two sets
 differ in at most as many bits as the sets differ in shingles.
@@ -266,6 +268,20 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return stable(both.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long"))
 
 
+def _one_each(pairs: DataFrame) -> DataFrame:
+    """Of the pairs (a, b), a < b, one for each node: that with the smallest other end."""
+    ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    best = ends.groupBy("a").agg(F.min("b").alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose ends no links connect."""
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    named = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return named.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
 def near_copies(docs: DataFrame, *, group: int = GROUP, large: int = LARGE) -> DataFrame:
     """One row per document: doc_id, component_id (the smallest doc_id reachable by steps of similarity 0.8 or more),
     kept (true for one document of each component) and the row's key (``common.keyed``).
@@ -277,8 +293,15 @@ def near_copies(docs: DataFrame, *, group: int = GROUP, large: int = LARGE) -> D
     texts = keyed(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), *KEY, F.col("text").cast("string").alias("text"))
     nodes = stable(_nodes(texts, _levels(texts)))
     met = stable(_met(nodes, group))
-    links = _confirmed(stable(_sketched(met.where("token is null").select("a", "b").distinct(), nodes)), texts)
+    pairs = stable(_sketched(met.where("token is null").select("a", "b").distinct(), nodes))
+    # one pair of each node first; of the others, those that could still connect two components
+    first = stable(_one_each(pairs))
+    links = _confirmed(first, texts)
     roots = components(links)
+    rest = stable(_apart(pairs.join(first, ["a", "b"], "left_anti"), roots))
+    if not rest.isEmpty():
+        links = links.unionByName(_confirmed(rest, texts))
+        roots = components(links)
     more = stable(_across(met.where("token is not null").select("token", "a", (-1 - F.col("b")).alias("place")), nodes, roots, large))
     if not more.isEmpty():
         links = links.unionByName(_confirmed(more, texts))
