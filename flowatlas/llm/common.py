@@ -27,10 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 #: The columns of a row key.
 KEY = ["k1", "k2"]
 
@@ -49,6 +45,23 @@ def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*columns, every.alias("row"), F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit(1), *parts).alias("k2"))
 
 
-def only(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """The columns of each row of ``keyed`` documents whose key is among ``keys``, once for each key."""
-    return rows.join(keys.select(*KEY), KEY, "left_semi").dropDuplicates(KEY).select("row.*")
+#: Bits of the broadcast map of keys in doubt: 262 144 rows of 64 bits at most.
+MAP = 1 << 24
+
+
+def only(rows: DataFrame, decided: DataFrame) -> DataFrame:
+    """The columns of each row of ``keyed`` documents that ``decided`` (k1, k2, kept) keeps, once for each key.
+
+    ``decided`` has a row for each of the documents. Rows whose key is there once and kept stay where they are; only those
+    whose bit of the map is set, because their key or another one is in doubt, are sent to be looked up.
+    """
+    doubt = decided.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.bool_and("kept").alias("all")).where("n > 1 or not all")
+    bit = F.pmod("k1", F.lit(MAP))
+    of = lambda name, x, n: F.call_function(name, x, n.cast("int"))
+    word = F.bit_or(of("shiftleft", F.lit(1).cast("long"), bit % 64)).alias("bits")
+    words = stable(doubt.groupBy(F.shiftright(bit, 6).alias("at")).agg(word))
+    marked = rows.join(F.broadcast(words), F.shiftright(bit, 6) == F.col("at"), "left")
+    unsure = of("shiftright", F.coalesce("bits", F.lit(0).cast("long")), bit % 64).bitwiseAND(F.lit(1)) == 1
+    kept = decided.where("kept").select(*KEY)
+    looked_up = marked.where(unsure).join(kept, KEY, "left_semi").dropDuplicates(KEY).select("row.*")
+    return marked.where(~unsure).select("row.*").union(looked_up)

@@ -14,7 +14,7 @@ FOLDER = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(sql.ORACLE_SQL))
 def test_same_as_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "embeddings", "conversations"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     a, b = queries.queries()[name](spark, FOLDER).toPandas(), c.sql(sql.ORACLE_SQL[name]).df()
     columns = sorted(a.columns)
