@@ -31,8 +31,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Null and empty texts are one group; null ids lose ties. Rows of one id with different texts all stay.
     """
-    kept = stable(exact_dedup.decisions(docs).where("kept").select("k1", "k2"))
-    return only(keyed(docs), kept)
+    return only(keyed(docs), stable(exact_dedup.decisions(docs).select("k1", "k2", "kept")))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +40,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Links come from the walk of the fingerprints' tries and are confirmed by the whole shingle sets. Null and empty
     texts are one group; null ids come last, and rows that tie in doc_id are ordered by their hashes.
     """
-    kept = stable(similar.near_copies(docs).where("kept").select("k1", "k2").distinct())
-    return only(keyed(docs), kept)
+    return only(keyed(docs), stable(similar.near_copies(docs).select("k1", "k2", "kept")))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
