@@ -126,13 +126,16 @@ def test_cells(spark):
 
 
 def _area(ring):
-    x, y = np.array(ring).T
+    x, y = (np.array(ring) - ring[0]).T
     return abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2
 
 
 def test_areas_in_cells_add_up_to_the_rings(spark):
     dice = random.Random(3)
-    star = lambda n, size, cx, cy: [(cx + size * (0.4 + 0.6 * dice.random()) * math.cos(2 * math.pi * k / n), cy + size * (0.4 + 0.6 * dice.random()) * math.sin(2 * math.pi * k / n)) for k in range(n)]
+    def star(n, size, cx, cy):
+        reach = [size * (0.4 + 0.6 * dice.random()) for _ in range(n)]
+        return [(cx + r * math.cos(2 * math.pi * k / n), cy + r * math.sin(2 * math.pi * k / n)) for k, r in enumerate(reach)]
+
     rings = [[(-900.0, -700.0), (1100.0, -600.0), (300.0, 200.0), (900.0, 1300.0), (-500.0, 800.0)], star(40, 9000, 1e6, -2e6), star(500, 40_000, -5e5, 6e6), star(7, 50, 3e6, 1e6), [(0.0, 0.0), (60_000.0, 0.0), (60_000.0, 60_000.0), (0.0, 60_000.0)]]
     rows = spark.createDataFrame([(k, r) for k, r in enumerate(rings)] + [(90, []), (91, [(0.0, 0.0), (1.0, 1.0)]), (92, None), (93, [(1.0, 1.0)] * 4)], "k long, ring array<struct<x:double,y:double>>")
     found = clipping.areas_by_cell(rows, "k").toPandas()
