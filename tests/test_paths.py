@@ -87,7 +87,7 @@ def counted(spark, monkeypatch, edges, pairs):
 
 
 def test_long_chain_takes_few_rounds(spark, monkeypatch):
-    n = 800
+    n = 400
     found, rows, rounds = counted(spark, monkeypatch, [(i, i + 1, 1.0) for i in range(n)], [(0, n)])
     assert found[0]["path"] == list(range(n + 1)) and found[0]["length"] == n
     assert rounds <= 2  # n rounds without contraction
