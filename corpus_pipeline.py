@@ -40,7 +40,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Links come from the walk of the fingerprints' tries and are confirmed by the whole shingle sets. Null and empty
     texts are one group; null ids come last, and rows that tie in doc_id are ordered by their hashes.
     """
-    return only(keyed(docs), stable(similar.near_copies(docs).select("k1", "k2", "kept")))
+    kept = stable(similar.near_copies(docs).where("kept").select("k1", "k2").distinct())
+    return keyed(docs).join(kept, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("row.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
