@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowatlas.llm import fingerprints, html_extract, licenses, lm_score, packing, quality, toxicity
+from flowatlas.llm import common, fingerprints, html_extract, licenses, lm_score, packing, quality, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, label string, score double"
 ODD = [None, "", " \n\t", "x", "It's ÉTÉ, isn't it? 3.5%  a b", "word " * 30_000, "A-B_C d.e", "all rights reserved", "İ ſ K"]
@@ -448,6 +448,29 @@ def test_kneser_ney_against_the_recursion(spark):
     assert np.allclose(whole, 1, atol=1e-3)
 
 
+def test_model_counts_every_trusted_document(spark, monkeypatch):
+    """Each of more than 20 000 trusted documents counts once a row, no other does, though ids share bits of the map."""
+    monkeypatch.setattr(common, "MAP", 64)
+    rows = spark.range(60_000).select((F.col("id") * 64).alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string"), F.when(F.col("id") % 2 == 0, "good").otherwise("bad")).alias("text"))
+    rows = rows.unionByName(rows.where("doc_id = 0")).unionByName(spark.createDataFrame([(None, "zz")], "doc_id long, text string"))
+    labels = spark.range(60_000).select((F.col("id") * 64).alias("doc_id"), F.when(F.col("id") % 2 == 0, 1).otherwise(0).alias("quality"))
+    labels = labels.unionByName(labels.where("doc_id % 256 = 0"))
+    seen = []
+    monkeypatch.setattr(quality, "kneser_ney", lambda counts: seen.extend(counts.collect()))
+    quality.train(rows, labels)
+    digits = [int(c) for i in range(0, 60_000, 2) for c in str(i)]
+    assert sum(r.c for r in seen) == len(digits) + 5 * 30_000 + 6  # the document of id 0 is there twice
+    letters = lambda word: sum(r.c for r in seen if r.gram == int(quality.grams(quality.symbols(word))[-1]))
+    assert (letters("good"), letters("zz"), letters("bad")) == (30_001, 0, 0)
+
+
+def test_gram_counts_do_not_overflow(spark, monkeypatch):
+    texts = ["abcd abcd", "", None, "abc"] * 5
+    whole = sorted(quality.gram_counts(docs(spark, texts)).collect())
+    monkeypatch.setattr(quality, "HELD", 7)
+    assert sorted(quality.gram_counts(docs(spark, texts)).collect()) == whole and sum(r.c for r in whole) == 60
+
+
 def test_classifier_rejects_junk_and_keeps_clean(spark):
     dice = random.Random(10)
     words = ["thing", "ration", "under", "stone", "after", "morning", "house"]
