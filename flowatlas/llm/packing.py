@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,12 +28,16 @@ MAX_TOKENS = 4096
 SHARD_PIECES = 4096
 #: Tokens that follow each document.
 END_ID = 1
-#: Words remembered by a worker; beyond it, it starts anew.
-REMEMBERED = 800_000
+#: Parts of words remembered by a worker; beyond it, it starts anew.
+REMEMBERED = 1_400_000
+#: Bytes of text that are encoded at once, or one text.
+BLOCK = 8 << 20
+#: Parts of words that are encoded in one call.
+CALL = 100
 
 #: A word of Latin-1 letters with ASCII punctuation behind it (no apostrophe): its parts never merge.
-_PARTS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
-_TAILS = frozenset(bytes([c]) for c in range(33, 127) if not chr(c).isalnum() and c != 39)
+_PARTS = r"^(?P<core>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[!-&(-/:-@\[-`{-~]*)$"
+_CORE = re.compile("[a-zß-öø-ÿ]+")
 _workers: dict[str, "WordTokens"] = {}
 
 
@@ -40,7 +45,7 @@ class WordTokens:
     """Ids of white-space separated words by a tokenizer that never joins across white space, remembered per worker.
 
     Letters and the punctuation behind them are separate pre-tokens and case doesn't count, so a word like ``Abc,`` is
-    looked up by its parts; all other words are encoded whole.
+    looked up by its parts; all other words are encoded whole. Words are split, told apart and put together as columns.
     """
 
     def __init__(self, path: str):
@@ -56,52 +61,44 @@ class WordTokens:
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         if hasattr(self.plain.model, "_resize_cache"):
             self.plain.model._resize_cache(0)  # no word comes twice
-        self.words: dict[bytes, bytes] = {}
-
-    def learn(self, words: set[bytes], wanted: set[bytes]) -> None:
-        """Add ``words``; if there are too many by now, start anew with all that are ``wanted``."""
-        known = self.words
-        if len(known) > REMEMBERED:
-            known.clear()
-            words = wanted
-        simple, cores, whole = [], set(), set()
-        for w in words:
-            if w.isalpha():
-                core, tail = w.lower(), b""
-            elif w[:-1].isalpha() and w[-1:] in _TAILS:
-                core, tail = w[:-1].lower(), w[-1:]
-            elif m := _PARTS.match(w.decode()):
-                core, tail = m[1].lower().encode(), m[2].encode()
-            else:
-                whole.add(w)
-                continue
-            simple.append((w, core, tail))
-            if core not in known:
-                cores.add(core)
-            if tail and tail not in known:
-                whole.add(tail)
-        new = list(cores)
-        for k in range(0, len(new), 100):
-            part = new[k : k + 100]
-            found = self.plain.encode(b" ".join(part).decode(), add_special_tokens=False)
-            packed, of = np.array(found.ids, "<u4").tobytes(), np.array(found.word_ids, np.int64)
-            cuts = (4 * np.searchsorted(of, np.arange(len(part) + 1))).tolist()
-            known.update((c, packed[a:b]) for c, a, b in zip(part, cuts, cuts[1:]))
-        single = list(whole)
-        for w, found in zip(single, self.tokenizer.encode_batch_fast([w.decode() for w in single], add_special_tokens=False)):
-            known[w] = np.array(found.ids, "<u4").tobytes()
-        for w, core, tail in simple:
-            known[w] = known[core] + known[tail] if tail else known[core]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+        self.parts: dict[str, bytes] = {}
+
+    def learn(self, parts: list[str]) -> None:
+        """Add ``parts``: lower-case letters, or anything else that holds no white space."""
+        cores = list(filter(_CORE.fullmatch, parts))
+        for k in range(0, len(cores), CALL):
+            part = cores[k : k + CALL]
+            found = self.plain.encode(" ".join(part), add_special_tokens=False)
+            packed = np.array(found.ids, "<u4").tobytes()
+            cuts = (4 * np.cumsum(np.bincount(found.word_ids, minlength=len(part)))).tolist()
+            self.parts.update((c, packed[a:b]) for c, a, b in zip(part, [0, *cuts], cuts))
+        whole = list(set(parts).difference(cores))
+        for p, found in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)):
+            self.parts[p] = np.array(found.ids, "<u4").tobytes()
+
+    def look_up(self, parts: pa.Array) -> pa.Array:
+        """The ids of every part."""
+        if len(self.parts) > REMEMBERED:
+            self.parts.clear()
+        found = parts.dictionary_encode()
+        different = found.dictionary.to_pylist()
+        ids = list(map(self.parts.get, different))
+        if missing := [p for p, x in zip(different, ids) if x is None]:
+            self.learn(missing)
+            ids = [self.parts[p] if x is None else x for p, x in zip(different, ids)]
+        return pa.array(ids, pa.large_binary()).take(found.indices)
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of every text as little-endian unsigned 32-bit numbers."""
-        split = [(t or "").encode().split() for t in texts]
-        seen: set[bytes] = set()
-        seen.update(*split)
-        if missing := seen - self.words.keys():
-            self.learn(missing, seen)
-        get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+        words = split.flatten().dictionary_encode()
+        parts = pc.extract_regex(words.dictionary, _PARTS)
+        first = pc.if_else(parts.is_valid(), pc.utf8_lower(pc.struct_field(parts, "core")), words.dictionary)
+        second = pc.struct_field(parts, "tail").fill_null("")
+        ids = pc.binary_join_element_wise(self.look_up(first), self.look_up(second), pa.scalar(b"", pa.large_binary())).take(words.indices)
+        _, ends, packed = ids.buffers()
+        cuts = np.frombuffer(ends, np.int64, len(ids) + 1)[split.offsets.to_numpy()].tolist()
+        return [packed[a:b].to_pybytes() for a, b in zip(cuts, cuts[1:])]
 
 
 def tokenized(docs: DataFrame, path: str, *, max_tokens: int = MAX_TOKENS, with_ids: bool = False) -> DataFrame:
@@ -112,10 +109,13 @@ def tokenized(docs: DataFrame, path: str, *, max_tokens: int = MAX_TOKENS, with_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _workers.setdefault(path, WordTokens(path)) if path not in _workers else _workers[path]
         for whole in batches:
-            for k in range(0, whole.num_rows, 256):
-                batch = whole.slice(k, 256)
+            ends, k = np.cumsum(pc.binary_length(whole.column(1)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+            while k < whole.num_rows:
+                upto = int(np.searchsorted(ends, BLOCK + (ends[k - 1] if k else 0), "right"))
+                batch = whole.slice(k, max(upto - k, 1))
+                k += batch.num_rows
                 rows: list[tuple] = []
-                for doc_id, packed in zip(batch.column(0).to_pylist(), words.encode(batch.column(1).to_pylist())):
+                for doc_id, packed in zip(batch.column(0).to_pylist(), words.encode(batch.column(1))):
                     packed += end
                     rows += [(doc_id, i // step, i // 4, len(part := packed[i : i + step]) // 4, zlib.crc32(part), part if with_ids else None) for i in range(0, len(packed), step)]
                 columns = list(zip(*rows))

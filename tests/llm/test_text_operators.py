@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -7,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -365,6 +367,55 @@ def test_packing_against_the_tokenizer(spark):
     assert len(places) <= math.ceil(sum(r.length for r in rows) / 4096) + 1
 
 
+def test_packing_of_odd_words_against_the_tokenizer():
+    """Words of every kind, several blocks, and a memory that is cleared between them."""
+    from tokenizers import Tokenizer
+
+    from flowatlas.llm.queries import tokenizer_path
+
+    dice = random.Random(6)
+    signs = [*"abcXYZéÉßÿÖµªºİſKﬁйж漢0९ \t\n\x0b\x0c\r\x1c\x1f\x85\xa0\u2028\u3000\u0301\u00ad\x00.,;!?'’\"-_=~{}<|>€😀", "<|endoftext|>", "'s", "can't", "the", "  "]
+    texts = [None, "", " ", "\x1c", *("".join(dice.choices(signs, k=dice.randint(1, 30))) for _ in range(1500))]
+    texts += [f"{chr(a)}{chr(b)} {chr(b)}x{chr(a)}" for a in range(33, 256) for b in (65, 233, 46, 39)]
+    tokenizer, words = Tokenizer.from_file(tokenizer_path()), packing.WordTokens(tokenizer_path())
+    for k in range(0, len(texts), 500):
+        found = words.encode(pa.array(texts[k : k + 500]))
+        for t, ids in zip(texts[k : k + 500], found, strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids, repr(t)
+        words.parts.clear()
+
+
+def test_packing_encodes_each_core_once(monkeypatch):
+    """Case and punctuation make no new word to encode or remember."""
+    from flowatlas.llm.queries import tokenizer_path
+
+    monkeypatch.setattr(packing, "REMEMBERED", 1000)
+    words, asked = packing.WordTokens(tokenizer_path()), Counter()
+
+    class Counting:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode(self, text, **options):
+            asked.update(text.split())
+            return self.inner.encode(text, **options)
+
+    words.plain = Counting(words.plain)
+    cores = ["w" + "".join(c) for c in itertools.product("abcdefgh", repeat=3)]
+    for tail in ("", ".", ",", "!", ");"):
+        for case in (str.lower, str.upper, str.capitalize):
+            words.encode(pa.array([" ".join(case(c) + tail for c in cores)]))
+    assert asked == Counter(cores)
+
+
+def test_packing_cuts_blocks_by_size(spark):
+    from flowatlas.llm.queries import tokenizer_path
+
+    texts = ["word " * 2_000_000, None, "a b", "word " * 10, "", "c"]  # the first is longer than a block
+    rows = packing.tokenized(docs(spark, texts).coalesce(1), tokenizer_path(), max_tokens=1 << 30).collect()
+    assert [(r.doc_id, r.length) for r in rows] == [(0, 2_000_001), (1, 1), (2, 3), (3, 11), (4, 1), (5, 2)]
+
+
 def test_small_capacities_bind_in_packing(spark):
     rows = spark.createDataFrame([(i, 0, 0, 10 + i % 5, 0) for i in range(60)], "doc_id long, piece int, start long, length long, ids_crc32 long")
     sums = packing.pack(rows, max_tokens=100, max_docs=3, max_cost=400.0).groupBy("sequence_id").agg(F.count("*").alias("n"), F.sum("length").alias("t"), F.sum(F.col("length") * F.col("length")).alias("c")).collect()
