@@ -18,7 +18,7 @@ SUM = "decimal(36,12)"
 
 
 def _before(parts: DataFrame, ranges: int) -> DataFrame:
-    """(_g, _range, _offset, _high): sum and maximum of a group's parts in the ranges before each of its ranges."""
+    """(_g, _range, _offset, _high): sum and last row of a group's parts in the ranges before each of its ranges."""
     levels = F.explode(F.sequence(F.lit(0), F.lit(max(ranges - 1, 1).bit_length() - 1)))
     spread = parts.withColumn("_level", levels).withColumn("_block", F.expr("shiftright(_range, _level)"))
     blocks = spread.groupBy("_g", "_level", "_block").agg(F.sum("_sum").cast(SUM).alias("_s"), F.max("_high").alias("_h"))
@@ -30,17 +30,16 @@ def _before(parts: DataFrame, ranges: int) -> DataFrame:
 def running_sums(rows: DataFrame, group: list[str], order: list[str], value: str) -> DataFrame:
     """``rows`` with the decimals _before (sum of ``value`` over the group's rows before), _total and _previous.
 
-    ``order`` starts with ``value`` and tells the rows of a group apart; _previous is the value of the row before, null
-    on a group's first. Nulls of a group column are a group. Values count to 12 decimal places.
+    ``order`` tells the rows of a group apart; _previous is the value of the row before, null on a group's first. Nulls of a group column are a group. Values count to 12 decimal places.
     """
     ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = rows.withColumn("_v", F.col(value).cast(EXACT)).withColumn("_g", F.struct(F.lit(0).alias("_0"), *group))
     dealt = shared_checkpoint(keyed.repartitionByRange(ranges, *group, *order).withColumn("_range", F.spark_partition_id()))
-    parts = dealt.groupBy("_g", "_range").agg(F.sum("_v").cast(SUM).alias("_sum"), F.max("_v").alias("_high"))
+    parts = dealt.groupBy("_g", "_range").agg(F.sum("_v").cast(SUM).alias("_sum"), F.max(F.struct(*order, "_v")).alias("_high"))
     totals = parts.groupBy("_g").agg(F.sum("_sum").cast(SUM).alias("_total"), F.count(F.lit(1)).alias("_parts"))
     several = parts.join(totals.where("_parts > 1").select("_g"), "_g", "left_semi")  # at most two rows a range
     inside = Window.partitionBy("_g", "_range").orderBy(*order)
     added = dealt.withColumn("_sum", F.sum("_v").over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_lag", F.lag("_v").over(inside))
     joined = added.join(_before(several, ranges), ["_g", "_range"], "left").join(totals.drop("_parts"), "_g")
     before = (F.coalesce("_offset", F.lit(0).cast(SUM)) + F.col("_sum") - F.col("_v")).cast(SUM)
-    return joined.select(*rows.columns, before.alias("_before"), "_total", F.coalesce("_lag", "_high").alias("_previous"), F.col("_v").alias("_value"))
+    return joined.select(*rows.columns, before.alias("_before"), "_total", F.coalesce("_lag", "_high._v").alias("_previous"), F.col("_v").alias("_value"))

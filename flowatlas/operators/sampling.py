@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowatlas.functions import geo
 from flowatlas.functions.draws import Salt, uniform
-from flowatlas.functions.prefix import running_sums
+from flowatlas.functions.prefix import EXACT, running_sums
 from flowatlas.sources.store import shared_table
 
 #: Least distance in metres for a car or motorcycle; use of a utility vehicle; parking chance where it isn't modelled.
@@ -17,12 +17,21 @@ MIN_DISTANCE, UTILITY_USE, PLAIN_PARKING = 3000.0, 0.95, 0.9
 
 
 def weights_cdf(events: DataFrame, group: list[str], event: str, weight: str, *, reference_thresholds: bool = False) -> DataFrame:
-    """``group``, ``event``, cum_lo, cum_hi: intervals (cum_lo, cum_hi] of each event, ordered by weight, then event.
+    """``group``, ``event``, cum_lo, cum_hi: intervals (cum_lo, cum_hi] of each event, ordered by share, then event.
 
-    The last interval ends at 1. ``reference_thresholds`` gives the thresholds p0, 2 p0, 2 p0 + p1, ... instead. Weights
+    A share is the weight over the group's exact sum as a double, so weights whose shares don't differ are ordered by
+    event. The last interval ends at 1. ``reference_thresholds`` gives the thresholds p0, 2 p0, 2 p0 + p1, ... instead. Weights
     count to 12 decimal places and are added exactly, in ranges, whatever the size of a group.
     """
-    rows = running_sums(events.where(F.col(weight) > 0).select(*group, event, weight), group, [weight, event], weight)
+    heavy = events.where(F.col(weight) > 0).select(*group, event, weight)
+    whole = F.sum(F.col(weight).cast(EXACT)).cast("double").alias("_whole")
+    if group:
+        sums = heavy.groupBy(*[F.col(c).alias(f"_of_{c}") for c in group]).agg(whole)  # a row for a group
+        shared = heavy.join(sums, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in group])
+    else:
+        shared = heavy.join(F.broadcast(heavy.agg(whole)))  # one row
+    shared = shared.select(*heavy.columns, (F.col(weight) / F.col("_whole")).alias("_share"))
+    rows = running_sums(shared, group, ["_share", event], weight)
     least, total = F.coalesce(F.col("_least"), F.lit(0)), F.col("_total").cast("double")
     part = lambda x: F.least(x.cast("double") / total, F.lit(1.0))
     last = F.col("_before") + F.col("_value") >= F.col("_total")

@@ -85,3 +85,16 @@ def test_draws_are_even_and_independent(spark, step):
         counts = np.histogram(rows[:, c], 50, (0, 1))[0]
         assert ((counts - n / 50) ** 2 / (n / 50)).sum() < 110  # chi square of 49 degrees: far beyond 99.9 %
     assert abs(np.corrcoef(rows.T) - np.eye(3)).max() < 0.03
+
+
+def test_weights_of_one_share_are_ordered_by_event(spark):
+    """Weights that differ by less than their shares can tell are in order of event, as in the SQL's ORDER BY p, event."""
+    total = 441616942.3
+    steps = [1.9 + k * 2.0**-52 for k in range(0, 64)]
+    light, heavy = next((a, b) for a, b in zip(steps, steps[1:]) if a < b and a / total == b / total)
+    rest = total - light - heavy
+    rows = spark.createDataFrame([(9, light), (3, heavy), (5, rest)], "event long, w double")
+    exact = sum(Decimal(repr(w)).quantize(Decimal("1e-12")) for w in (light, heavy, rest))
+    assert light / float(exact) == heavy / float(exact)
+    cdf = sampling.weights_cdf(rows, [], "event", "w").orderBy("cum_lo").collect()
+    assert [r.event for r in cdf] == [3, 9, 5]
