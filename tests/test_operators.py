@@ -255,6 +255,26 @@ def test_matching_leaves_nothing_out_silently(spark):
     assert matching.nearest_nodes(far, nodes.limit(0)).count() == 0
 
 
+def test_nearest_among_dense_nodes_starts_in_small_cubes(spark):
+    """Many nodes in one cube, some of them at one place: points meet few of them and still find the nearest."""
+    r = random.Random(3)
+    spots = [(r.uniform(5, 5.01), r.uniform(89.5, 89.9)) for _ in range(600)]
+    nodes = [(i, *spots[i % 500]) for i in range(600)]
+    points = [(k, r.uniform(5, 5.01), r.uniform(89.5, 89.9)) for k in range(300)]
+    table = spark.createDataFrame(nodes, "node_id long, lon double, lat double")
+    plain = table.selectExpr("node_id", "lon _lon", "lat _lat").dropDuplicates(["_lon", "_lat"])
+    side = matching._first_side(plain, math.radians(1.0))
+    assert matching._binned(plain, "_lon", "_lat", side).groupBy(*matching.CUBE).count().agg(F.max("count")).first()[0] <= matching.FULL
+    rows = spark.createDataFrame(points, "k long, lon double, lat double")
+    found = {x.k: x.node_id for x in matching.nearest_nodes(rows, table, cell_degrees=1.0).collect()}
+
+    def distance(a, b, c, d):
+        a, b, c, d = (math.radians(v) for v in (a, b, c, d))
+        return math.asin(min(1.0, math.sqrt(math.sin((d - b) / 2) ** 2 + math.cos(b) * math.cos(d) * math.sin((c - a) / 2) ** 2)))
+
+    assert found == {k: min((round(distance(x, y, u, v), 13), n) for n, u, v in nodes)[1] for k, x, y in points}
+
+
 def test_nearest_nodes_across_the_antimeridian_and_at_the_poles(spark):
     nodes = spark.createDataFrame([(1, 179.5, 0.0), (2, -179.99, 0.0), (3, 10.0, 89.9), (4, 100.0, 89.0), (5, 0.0, -90.0)], "node_id long, lon double, lat double")
     points = [(0, 179.99, 0.0), (1, -170.0, 89.95), (2, 100.0, 89.3), (3, 170.0, -89.99), (4, -180.0, 0.0), (5, 180.0, 0.0), (6, None, 1.0), (7, 179.7, 0.0)]
