@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from flowatlas.functions.draws import Salt, uniform
 from flowatlas.functions.predicates import percent
+from flowatlas.sources.store import shared_checkpoint
 
 TRANSIT = ("train", "bus", "watercraft", "aircraft", "gondola")
-#: Width in minutes of the last bin.
-LAST_BIN = 5
+#: Width in minutes of the last bin; rows up to which the operators' rates and bins are broadcast.
+LAST_BIN, ROWS = 5, 100_000
 
 
 def delay_bins(rows: DataFrame) -> DataFrame:
@@ -33,22 +34,30 @@ def operator_rates(rows: DataFrame) -> DataFrame:
     return rows.groupBy(F.lower("operator").alias("operator")).agg(of("cancelled").alias("cancelled_percent"), of("substituted").alias("substituted_percent"))
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """``rows`` of operators, worked out once, and broadcast unless there are too many."""
+    kept = shared_checkpoint(rows)
+    return F.broadcast(kept) if kept.count() <= ROWS else kept
+
+
 def draw_delays(legs: DataFrame, bins: DataFrame, rates: DataFrame, seed: int = 0) -> DataFrame:
     """``legs`` (leg_key, operator) with cancelled and delay in minutes; unknown operators are ``average``.
 
     A bin is drawn by weight, then a whole minute evenly in it. Cancelled legs have no delay.
     """
-    known = rates.select(F.col("operator").alias("_known"), "cancelled_percent")
+    known = _small(rates.select(F.col("operator").alias("_known"), "cancelled_percent"))
     named = legs.withColumn("_op", F.lower("operator")).join(known, F.col("_op") == F.col("_known"), "left")
     named = named.withColumn("_op", F.when(F.col("_known").isNull(), "average").otherwise(F.col("_op"))).drop("_known", "cancelled_percent")
     rated = named.join(known.withColumnRenamed("_known", "_op"), "_op")
-    u, v = uniform(F.col("leg_key"), Salt.DELAY_BIN, seed), uniform(F.col("leg_key"), Salt.DELAY_MINUTE, seed)
-    # a handful of bins per operator: all of them in one row, the first whose end isn't below the draw
-    packed = bins.groupBy(F.col("operator").alias("_op")).agg(F.array_sort(F.collect_list(F.struct("bin", "start", "end", "cum_hi"))).alias("_bins"))
-    drawn = rated.join(packed, "_op").withColumn("_bin", F.element_at(F.filter("_bins", lambda b: u <= b["cum_hi"]), 1))
+    # the draw is a column of its own, not to be taken anew for each bin; its bin is the first whose end isn't below it
+    rated = rated.withColumn("_u", uniform(F.col("leg_key"), Salt.DELAY_BIN, seed))
+    before = Window.partitionBy("operator").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    ends = bins.select(F.col("operator").alias("_op"), "start", "end", "cum_hi", F.coalesce(F.max("cum_hi").over(before), F.lit(-1.0)).alias("_lo"))
+    drawn = rated.join(_small(ends), "_op").where((F.col("_u") > F.col("_lo")) & (F.col("_u") <= F.col("cum_hi")))
     cancelled = uniform(F.col("leg_key"), Salt.DELAY, seed) * 100 < F.col("cancelled_percent")
-    minute = (F.col("_bin.start") + F.floor(v * (F.col("_bin.end") - F.col("_bin.start")))).cast("int")
-    return drawn.withColumn("cancelled", cancelled).withColumn("delay", F.when(~cancelled, minute)).drop("_op", "cancelled_percent", "_bins", "_bin")
+    v = uniform(F.col("leg_key"), Salt.DELAY_MINUTE, seed)
+    minute = (F.col("start") + F.floor(v * (F.col("end") - F.col("start")))).cast("int")
+    return drawn.withColumn("cancelled", cancelled).withColumn("delay", F.when(~cancelled, minute)).select(*legs.columns, "cancelled", "delay")
 
 
 def propagate(legs: DataFrame, *, delayed_arrival: bool = False) -> DataFrame:

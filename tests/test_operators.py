@@ -200,6 +200,29 @@ def test_transfer_columns_may_be_absent(spark):
     assert feeds.fill_agency_url(stops).columns == ["stop_id", "agency_url"]
 
 
+def test_delay_draws_meet_bins_as_rows(spark):
+    """The first bin whose end isn't below the draw, without arrays and without a shuffle of the legs; empty bins are never drawn."""
+    rows = [(o, f"{5 * k}–", f"{p}%") for o, shares in (("A", (0, 30, 0, 70)), ("average", (50, 50)), ("none", (0, 0, 0))) for k, p in enumerate(shares)]
+    bins = delays.delay_bins(spark.createDataFrame(rows, "operator string, label string, percent string"))
+    rates = spark.createDataFrame([("a", 0.0), ("average", 100.0), ("none", 0.0), ("binless", 0.0)], "operator string, cancelled_percent double")
+    legs = spark.range(400).select(F.col("id").alias("leg_key"), F.element_at(F.array(*[F.lit(o) for o in ("A", "x", "None", None, "binless")]), (F.col("id") % 5 + 1).cast("int")).alias("operator"))
+    drawn = delays.draw_delays(legs, bins, rates)
+    plan = drawn._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and drawn.columns == ["leg_key", "operator", "cancelled", "delay"]
+    assert "Exchange hashpartitioning" not in drawn._jdf.queryExecution().sparkPlan().toString() and "SortMergeJoin" not in drawn._jdf.queryExecution().sparkPlan().toString()
+    ends = {}
+    for r in bins.orderBy("operator", "bin").collect():
+        ends.setdefault(r.operator, []).append((r.cum_hi, r.start, r.end))
+    draws = {r.leg_key: (r.u, r.v) for r in legs.select("leg_key", uniform(F.col("leg_key"), 21).alias("u"), uniform(F.col("leg_key"), 22).alias("v")).collect()}
+    found = {r.leg_key: r for r in drawn.collect()}
+    assert set(found) == {k for k in range(400) if k % 5 != 4}
+    for k, r in found.items():
+        op = {0: "a", 2: "none"}.get(k % 5, "average")
+        u, v = draws[k]
+        _, start, end = next(x for x in ends[op] if x[0] is not None and u <= x[0])
+        assert r.cancelled == (op == "average") and r.delay == (None if r.cancelled else start + int(v * (end - start)))
+
+
 def test_delays_stop_at_a_missed_connection(spark):
     import datetime as dt
 
