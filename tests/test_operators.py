@@ -200,6 +200,22 @@ def test_transfer_columns_may_be_absent(spark):
     assert feeds.fill_agency_url(stops).columns == ["stop_id", "agency_url"]
 
 
+def test_flows_of_one_place_are_the_work_of_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "FLOW_BLOCK", 4, raising=False)
+    table = spark.range(40).selectExpr("if(id < 37, 'a', 'b') place", "id cell", "double(id) work", "1.0D education", "2.0D leisure", "id + 1.0D workers", "2.0D pupils", "3.0D others")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = tiles.flows(table).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {(r.place, r.origin, r.destination) for r in found} == {("a" if i < 37 else "b", i, j) for i in range(40) for j in range(40) if (i < 37) == (j < 37)} and len(found) == 37**2 + 3**2
+    assert len({r.task for r in found if r.place == "a"}) > 1
+    total = {"a": sum(range(37)), "b": sum(range(37, 40))}
+    assert all(r.flow == pytest.approx(r.destination / total[r.place] * (r.origin + 1) + 5 / (37 if r.place == "a" else 3)) for r in found)
+
+
 def test_delay_draws_meet_bins_as_rows(spark):
     """The first bin whose end isn't below the draw, without arrays and without a shuffle of the legs; empty bins are never drawn."""
     rows = [(o, f"{5 * k}–", f"{p}%") for o, shares in (("A", (0, 30, 0, 70)), ("average", (50, 50)), ("none", (0, 0, 0))) for k, p in enumerate(shares)]
